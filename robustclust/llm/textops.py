@@ -35,12 +35,12 @@ def column_bytes(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarra
     return body, offsets - base
 
 
-def text_chunks(body: np.ndarray, offsets: np.ndarray, limit: int = CHUNK):
-    """Runs of whole texts of about ``limit`` bytes: (first row, last row, bytes, offsets from 0)."""
+def text_chunks(body: np.ndarray, offsets: np.ndarray, limit: int = CHUNK, rows: int = 2048):
+    """Runs of whole texts of about ``limit`` bytes and at most ``rows`` texts: (first row, last row, bytes, offsets from 0)."""
     n, i = len(offsets) - 1, 0
     while i < n:
         j = int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1
-        j = min(n, max(i + 1, j))
+        j = min(n, i + rows, max(i + 1, j))
         yield i, j, body[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         i = j
 
