@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +26,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def light_batches(df: DataFrame) -> DataFrame:
+    """Sees to it that batches of long texts stay small in the Python workers: 8 MB unless the session has less."""
+    spark = df.sparkSession
+    if not 0 < int(re.sub(r"\D", "", spark.conf.get(BATCH)) or 0) <= 8 << 20:
+        spark.conf.set(BATCH, str(8 << 20))
+    return df
+
+
 def buckets_for(rows_or_bytes: int, each: int, least: int = 1) -> int:
     """How many buckets keep each near ``each``; grows with the input without a ceiling."""
     return max(least, -(-int(rows_or_bytes) // each))

@@ -2,8 +2,9 @@
 
 Suffixes are sorted by induction from a sample. The sample is content-defined: of every ``LENGTH``-byte string the
 position of the least hashed ``GRAM``-gram (the rightmost of equals), so equal strings have the same sampled position.
-Sampled positions whose gram occurs in one document only can't be in a shared string; the others send a suffix tuple
-(the bytes from the position on, those before it, the document) to the shard of their gram. A shard sorts its tuples
+Sampled positions whose gram occurs in one document only can't be in a shared string. Of the others, those whose whole
+surroundings an earlier document has go whole; where a gram has different surroundings, the first document with each of
+them sends a suffix tuple (the bytes from the position on, those before it, the document) to the shard of the gram. A shard sorts its tuples
 externally (sorted runs on disk, merged by a priority queue), takes the common-prefix lengths of neighbours, and
 induces the order of the suffixes that begin 1, 2, ... bytes earlier by stable bucket passes over the preceding bytes;
 range minima carry the common prefixes along. Suffixes that agree in ``LENGTH`` bytes are neighbours in that order, and
@@ -31,57 +32,69 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from robustclust.llm.session import buckets_for, text_bytes
-from robustclust.llm.textops import U64, column_bytes, mix, prefix_hash, row_of, span_hash, text_chunks
+from robustclust.llm.session import buckets_for, light_batches, staged, text_bytes
+from robustclust.llm.textops import U64, column_bytes, mix, powers, prefix_hash, span_hash, text_chunks
 
 LENGTH, GRAM = 50, 16
 REACH = LENGTH - GRAM
-CHUNK_BYTES, CHUNK_ROWS, PIECE_BYTES = 8 << 20, 1 << 20, 2 << 20
-TEXT_PER_SHARD = 4 << 20
+CHUNK_BYTES, CHUNK_ROWS, PIECE_BYTES = 6 << 20, 1 << 20, 256 << 10
+TEXT_PER_SHARD = 3 << 20
 #: tuples of a sorted run; a shard of more is merged from runs on disk
 RUN_TUPLES = 1 << 20
 KEY_BITS = 39
+#: bytes of a key told to a chunk
+KEY_BYTES = 7
+KEY_MASK = U64((1 << 8 * KEY_BYTES) - 1)
 LAST = np.iinfo(np.int64).max
 TUPLE = np.dtype([("doc", "<i8"), ("key", "<u8"), ("gram", "<u8"), ("before", "u1"), ("after", "u1"), ("lo", "u1"), ("hi", "u1"), ("left", f"({REACH},)u1"), ("right", f"({LENGTH},)u1")])
 
 
 def sample(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, position, lo, hi, gram hash) of the sampled positions; strings starting lo to hi bytes before it are its own."""
-    n = len(body)
-    none = np.zeros(0, np.int64)
-    if n < LENGTH:
+    n, none = len(body), np.zeros(0, np.int64)
+    long = np.flatnonzero(np.diff(offsets) >= LENGTH)
+    if not len(long):
         return none, none, none, none, np.zeros(0, np.uint64)
-    gram = span_hash(prefix_hash(body), at := np.arange(n - GRAM + 1), at + GRAM)
-    key = (gram & U64(0xFFFFFFFF00000000)) | (U64(n) - at.astype(np.uint64))
-    width, reach = 1, REACH + 1
-    least = key
-    while 2 * width <= reach:
+    _, down = powers(n + 1)
+    prefix = prefix_hash(body)
+    gram = prefix[GRAM:] - prefix[:-GRAM]
+    gram *= down[: n - GRAM + 1]
+    gram = mix(gram)
+    # the least key is the least hash, and of equal hashes the rightmost
+    key = gram & U64(0xFFFFFFFF00000000)
+    key |= np.arange(n, n - len(key), -1, dtype=np.uint64)
+    least, width = key, 1
+    while 2 * width <= REACH + 1:
         least = np.minimum(least[:-width], least[width:])
         width *= 2
-    if width < reach:
-        least = np.minimum(least[: -(reach - width)], least[reach - width :])
-    start = np.concatenate([np.arange(a, b - LENGTH + 1) for a, b in zip(offsets, offsets[1:], strict=False) if b - a >= LENGTH] or [none])
-    if not len(start):
-        return none, none, none, none, np.zeros(0, np.uint64)
+    if width < REACH + 1:
+        least = np.minimum(least[: width - REACH - 1], least[REACH + 1 - width :])
+    first, final = offsets[:-1][long], offsets[1:][long] - LENGTH
+    turn = np.ones(len(least), bool)
+    np.not_equal(least[1:], least[:-1], out=turn[1:])
+    turn[first] = True
+    step = np.zeros(len(least) + 1, np.int8)
+    step[first] += 1
+    step[final + 1] -= 1
+    start = np.flatnonzero(turn & np.cumsum(step[:-1], dtype=np.int8).view(bool))
+    row = np.searchsorted(first, start, "right") - 1
+    end = np.minimum(np.concatenate([start[1:], [len(least)]]) - 1, final[row])
     place = n - (least[start] & U64(0xFFFFFFFF)).astype(np.int64)
-    first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-    last = np.concatenate([first[1:], [len(start)]]) - 1
-    place = place[first]
-    return np.searchsorted(offsets, place, "right") - 1, place, place - start[last], place - start[first], gram[place]
+    return long[row], place, place - end, place - start, gram[place]
 
 
 def shard_of(gram: np.ndarray, shards: int) -> np.ndarray:
     return ((gram >> U64(KEY_BITS)) * U64(shards) >> U64(64 - KEY_BITS)).astype(np.int64)
 
 
-def _pack5(x: np.ndarray) -> np.ndarray:
-    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+def _pack(x: np.ndarray, size: int) -> bytes:
+    """Low bytes of unsigned numbers."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
 
 
-def _unpack5(raw: bytes) -> np.ndarray:
-    five = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-    out = np.zeros((len(five), 8), np.uint8)
-    out[:, :5] = five
+def _unpack(raw: bytes, size: int) -> np.ndarray:
+    out = np.zeros((len(raw) // size, 8), np.uint8)
+    out[:, :size] = np.frombuffer(raw, np.uint8).reshape(-1, size)
     return out.view("<u8").ravel()
 
 
@@ -117,7 +130,19 @@ def _samples(docs, body, offsets):
     return [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 4 + [np.zeros(0, np.uint64)]
 
 
+def _by_shard(shard: np.ndarray, shards: int):
+    """(shard, from, to) of the runs of a sorted array of shards."""
+    cut = np.searchsorted(shard, np.arange(shards + 1))
+    return [(int(k), int(cut[k]), int(cut[k + 1])) for k in np.flatnonzero(np.diff(cut))]
+
+
+def _block_rows(runs, chunk: int, blocks: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in runs], pa.int32()), pa.array([chunk] * len(runs), pa.int64()), pa.array(blocks, pa.binary())], names=["shard", "chunk", "block"])
+
+
 def _grams(shards: int):
+    """For each shard the grams sampled in a chunk, each once, with a bit for those of several documents."""
+
     def run(batches):
         for batch in batches:
             for chunk, head, texts in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
@@ -128,20 +153,16 @@ def _grams(shards: int):
                 first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(gram) else np.zeros(0, np.int64)
                 several = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first) if len(first) else np.zeros(0, bool)
                 gram = gram[first]
-                shard = shard_of(gram, shards)
-                packed = _pack5((gram & U64((1 << KEY_BITS) - 1)) << U64(1) | several.astype(np.uint64))
-                cut = np.searchsorted(shard, np.arange(shards + 1))
-                full = np.flatnonzero(np.diff(cut))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(full.astype(np.int32)), pa.array(np.full(len(full), chunk)), pa.array([packed[cut[s] : cut[s + 1]].tobytes() for s in full], pa.binary())], names=["shard", "chunk", "block"]
-                )
+                low = (gram & U64((1 << KEY_BITS) - 1)) << U64(1) | several.astype(np.uint64)
+                runs = _by_shard(shard_of(gram, shards), shards)
+                yield _block_rows(runs, chunk, [_pack(low[a:b], 5) for _, a, b in runs])
 
     return run
 
 
 def _shared(group: pd.DataFrame) -> pd.DataFrame:
     """Grams of a shard that several documents have, told to each chunk that has them."""
-    parts = [_unpack5(b) for b in group["block"]]
+    parts = [_unpack(b, 5) for b in group["block"]]
     raw = np.concatenate(parts)
     gram, several = raw >> U64(1), (raw & U64(1)).astype(bool)
     order = np.argsort(gram, kind="stable")
@@ -151,7 +172,7 @@ def _shared(group: pd.DataFrame) -> pd.DataFrame:
     flag = np.empty(len(raw), bool)
     flag[order] = often[run]
     cut = np.cumsum([0, *map(len, parts)])
-    blocks = [_pack5(p[flag[a:b]] >> U64(1)).tobytes() for p, a, b in zip(parts, cut, cut[1:], strict=False)]
+    blocks = [_pack(p[flag[a:b]] >> U64(1), 5) for p, a, b in zip(parts, cut, cut[1:], strict=False)]
     out = pd.DataFrame({"chunk": group["chunk"].to_numpy(), "shard": group["shard"].to_numpy(), "block": blocks})
     return out[[len(b) > 0 for b in blocks]]
 
@@ -181,35 +202,90 @@ def _classes(key, doc):
     return order[head], of
 
 
-def _tuples(shards: int):
+def _member(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    if not len(ordered):
+        return np.zeros(len(values), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
+def _contexts(shards: int):
+    """For each shard the surroundings of a chunk's shared grams, each once: gram, key, least document."""
+
     def run(batches):
         squeeze = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for chunk, head, texts, shared in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 docs, _, body, offsets = _open(head, texts)
                 row, place, lo, hi, gram = _samples(docs, body, offsets)
-                wanted = np.sort(np.concatenate([_unpack5(s["block"]) | (U64(s["shard"]) << U64(KEY_BITS)) for s in shared]))
-                shard = shard_of(gram, shards)
-                mine = (gram & U64((1 << KEY_BITS) - 1)) | (shard.astype(np.uint64) << U64(KEY_BITS))
-                hit = wanted[np.minimum(np.searchsorted(wanted, mine), len(wanted) - 1)] == mine
-                row, place, lo, hi, gram, shard = (x[hit] for x in (row, place, lo, hi, gram, shard))
-                key, before, after = _context_keys(body, offsets, row, place, lo, hi)
+                wanted = np.sort(np.concatenate([_unpack(x["block"], 5) | (U64(x["shard"]) << U64(KEY_BITS)) for x in shared]))
+                low, shard = gram & U64((1 << KEY_BITS) - 1), shard_of(gram, shards)
+                hit = _member(low | (shard.astype(np.uint64) << U64(KEY_BITS)), wanted)
+                row, place, lo, hi, low, shard = (x[hit] for x in (row, place, lo, hi, low, shard))
+                key, _, _ = _context_keys(body, offsets, row, place, lo, hi)
                 first, _ = _classes(key, docs[row])
                 first = first[np.argsort(shard[first], kind="stable")]
+                runs = _by_shard(shard[first], shards)
+                low, key, doc = low[first], key[first], docs[row[first]]
+                yield _block_rows(runs, chunk, [squeeze.compress(_pack(low[a:b], 5) + _pack(key[a:b], KEY_BYTES) + doc[a:b].tobytes()) for _, a, b in runs])
+
+    return run
+
+
+def _coded(group: pd.DataFrame) -> pd.DataFrame:
+    """Told to each chunk: the keys that go whole, as an earlier document has the same surroundings; and those whose
+    tuples decide, as the gram has other surroundings too."""
+    parts = []
+    for block in group["block"]:
+        raw = zstandard.ZstdDecompressor().decompress(block)
+        n = len(raw) // (13 + KEY_BYTES)
+        parts.append((_unpack(raw[: 5 * n], 5), _unpack(raw[5 * n : (5 + KEY_BYTES) * n], KEY_BYTES), np.frombuffer(raw[(5 + KEY_BYTES) * n :], "<i8")))
+    gram, key, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((doc, key, gram))
+    g, k, d = gram[order], key[order], doc[order]
+    new_gram = np.concatenate([[True], g[1:] != g[:-1]])
+    new_key = new_gram | np.concatenate([[True], k[1:] != k[:-1]])
+    least = d[np.maximum.accumulate(np.where(new_key, np.arange(len(d)), 0))]
+    run = np.cumsum(new_gram) - 1
+    mixed = np.bincount(run, new_key)[run] > 1
+    code = np.empty(len(d), np.int8)
+    code[order] = np.where(d > least, 1, np.where(mixed, 2, 0))
+    cut = np.cumsum([0, *(len(x[0]) for x in parts)])
+    rows = [(c, _pack(key[a:b][code[a:b] == 1], KEY_BYTES), _pack(key[a:b][code[a:b] == 2], KEY_BYTES)) for c, a, b in zip(group["chunk"], cut, cut[1:], strict=False)]
+    return pd.DataFrame([r for r in rows if r[1] or r[2]], columns=["chunk", "whole", "open"]).astype({"chunk": "int64"})
+
+
+def _keys(blocks) -> np.ndarray:
+    return np.sort(np.concatenate([np.zeros(0, np.uint64), *(_unpack(b, KEY_BYTES) for b in blocks or [] if b)]))
+
+
+def _tuples(shards: int):
+    """The suffix tuples of the keys that need them."""
+
+    def run(batches):
+        squeeze = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            for chunk, head, texts, wanted in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                docs, _, body, offsets = _open(head, texts)
+                row, place, lo, hi, gram = _samples(docs, body, offsets)
+                key, before, after = _context_keys(body, offsets, row, place, lo, hi)
+                hit = _member(key & KEY_MASK, _keys(wanted))
+                row, place, lo, hi, gram, key, before, after = (x[hit] for x in (row, place, lo, hi, gram, key, before, after))
+                first, _ = _classes(key, docs[row])
+                shard = shard_of(gram[first], shards)
+                turn = np.argsort(shard, kind="stable")
+                first = first[turn]
                 padded = np.concatenate([np.zeros(REACH, np.uint8), body, np.zeros(LENGTH, np.uint8)])
-                cut = np.searchsorted(shard[first], np.arange(shards + 1))
-                full = np.flatnonzero(np.diff(cut))
-                blocks = []
-                for s in full:
-                    f = first[cut[s] : cut[s + 1]]
+                runs, blocks = _by_shard(shard[turn], shards), []
+                for _, a, b in runs:
+                    f = first[a:b]
                     t = np.zeros(len(f), TUPLE)
                     t["doc"], t["key"], t["gram"], t["before"], t["after"], t["lo"], t["hi"] = docs[row[f]], key[f], gram[f], before[f], after[f], lo[f], hi[f]
                     span = padded[place[f][:, None] + np.arange(REACH + LENGTH)]
                     t["left"] = span[:, REACH - 1 :: -1]
                     t["right"] = np.where(np.arange(LENGTH) < t["after"][:, None], span[:, REACH:], 0)
-                    # column by column, and whole fields together, it compresses better
+                    # column by column it compresses better
                     blocks.append(squeeze.compress(b"".join(t[name].tobytes() for name in TUPLE.names)))
-                yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(np.full(len(full), chunk)), pa.array(blocks, pa.binary())], names=["shard", "chunk", "block"])
+                yield _block_rows(runs, chunk, blocks)
 
     return run
 
@@ -326,9 +402,6 @@ def induced_marks(t: np.ndarray) -> np.ndarray:
 
 def _marks(group: pd.DataFrame) -> pd.DataFrame:
     parts = [_read_tuples(b) for b in group["block"]]
-    chunk_of = {}
-    for chunk, p in zip(group["chunk"], parts, strict=True):
-        chunk_of.setdefault(int(chunk), []).append(p["key"])
     t = sorted_tuples(parts)
     marks = induced_marks(t)
     found = marks > 0
@@ -347,11 +420,11 @@ def _marks(group: pd.DataFrame) -> pd.DataFrame:
             going = (at < hi) & (docs[np.minimum(at, len(docs) - 1)] != p["doc"])
         hit = at < hi
         if hit.any():
-            rows.append((chunk, p["key"][hit].tobytes() + _pack5(marks[at[hit]]).tobytes()))
+            rows.append((chunk, p["key"][hit].tobytes() + _pack(marks[at[hit]], 5)))
     return pd.DataFrame(rows, columns=["chunk", "block"]).astype({"chunk": "int64"})
 
 
-def removed_bytes(docs, body, offsets, blocks: list[bytes]) -> np.ndarray:
+def removed_bytes(docs, body, offsets, whole: list[bytes], blocks: list[bytes]) -> np.ndarray:
     """Which bytes of a chunk go."""
     row, place, lo, hi, _ = _samples(docs, body, offsets)
     change = np.zeros(len(body) + 1, np.int32)
@@ -359,16 +432,21 @@ def removed_bytes(docs, body, offsets, blocks: list[bytes]) -> np.ndarray:
         return np.zeros(len(body), bool)
     key, _, _ = _context_keys(body, offsets, row, place, lo, hi)
     first, of = _classes(key, docs[row])
-    marks = np.zeros(len(first), np.uint64)
-    sorted_keys = key[first]
-    for b in blocks:
+    own = key[first]
+    every = U64((1 << REACH + 1) - 1)
+    marks = np.where(_member(own & KEY_MASK, _keys(whole)), every, U64(0))
+    for b in blocks or []:
         n = len(b) // 13
-        at = np.searchsorted(sorted_keys, np.frombuffer(b[: 8 * n], "<u8"))
-        marks[at] = _unpack5(b[8 * n :])
+        marks[np.searchsorted(own, np.frombuffer(b[: 8 * n], "<u8"))] |= _unpack(b[8 * n :], 5)
     mark = marks[of]
-    mark[docs[row] > docs[row[first]][of]] = U64((1 << LENGTH) - 1)  # the chunk itself has it in an earlier document
+    mark[docs[row] > docs[row[first]][of]] = every  # an earlier document of the chunk has the same surroundings
+    full = mark == every  # all its strings go: one run of bytes
+    np.add.at(change, (place - hi)[full], 1)
+    np.add.at(change, (place - lo)[full] + LENGTH, -1)
+    some = np.flatnonzero((mark > 0) & ~full)
     for d in range(REACH + 1):
-        at = place[((mark >> U64(d)) & U64(1)).astype(bool) & (lo <= d) & (hi >= d)] - d
+        k = some[((mark[some] >> U64(d)) & U64(1)).astype(bool)]
+        at = (place[k] - d)[(lo[k] <= d) & (hi[k] >= d)]
         np.add.at(change, at, 1)
         np.add.at(change, at + LENGTH, -1)
     return np.cumsum(change[:-1]) > 0
@@ -376,9 +454,9 @@ def removed_bytes(docs, body, offsets, blocks: list[bytes]) -> np.ndarray:
 
 def _finish(batches):
     for batch in batches:
-        for head, texts, blocks in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+        for head, texts, whole, blocks in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
             docs, null, body, offsets = _open(head, texts)
-            gone = removed_bytes(docs, body, offsets, blocks or [])
+            gone = removed_bytes(docs, body, offsets, whole, blocks)
             begins = gone & ~np.concatenate([[False], gone[:-1]])
             inner = offsets[(offsets > 0) & (offsets < len(body))]
             begins[inner] = gone[inner]
@@ -407,6 +485,7 @@ BLOCKS = "shard int, chunk long, block binary"
 
 def dedup_substrings(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept bytes) for every document."""
+    docs = light_batches(docs)
     spark = docs.sparkSession
     size = text_bytes(docs)
     shards = buckets_for(size, TEXT_PER_SHARD, 64)
@@ -417,8 +496,12 @@ def dedup_substrings(docs: DataFrame, with_text: bool = False) -> DataFrame:
     chunks = spark.table(name)
     shared = chunks.mapInArrow(_grams(shards), BLOCKS).groupBy("shard").applyInPandas(_shared, "chunk long, shard int, block binary")
     told = shared.groupBy("chunk").agg(F.collect_list(F.struct("shard", "block")).alias("shared"))
-    tuples = chunks.join(told.hint("merge"), "chunk").select("chunk", "head", "texts", "shared").mapInArrow(_tuples(shards), BLOCKS)
+    contexts = chunks.join(told.hint("merge"), "chunk").select("chunk", "head", "texts", "shared").mapInArrow(_contexts(shards), BLOCKS)
+    coded = contexts.groupBy("shard").applyInPandas(_coded, "chunk long, whole binary, open binary")
+    coded = staged(coded.groupBy("chunk").agg(F.collect_list("whole").alias("whole"), F.collect_list("open").alias("open")), "substring-keys")
+    tuples = chunks.join(coded.hint("merge"), "chunk").select("chunk", "head", "texts", "open").mapInArrow(_tuples(shards), BLOCKS)
     marks = tuples.groupBy("shard").applyInPandas(_marks, "chunk long, block binary").groupBy("chunk").agg(F.collect_list("block").alias("blocks"))
-    ready = chunks.join(marks.hint("merge"), "chunk", "left").select("head", "texts", "blocks")
+    decided = coded.select("chunk", "whole").join(marks, "chunk", "left")
+    ready = chunks.join(decided.hint("merge"), "chunk", "left").select("head", "texts", "whole", "blocks")
     columns = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     return ready.mapInArrow(_finish, columns + ", kept binary") if with_text else ready.mapInArrow(_digest, columns)

@@ -14,7 +14,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 PRIME = 0x9E3779B97F4A7C15 | 1
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 
 def column_bytes(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
