@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from robustclust.functions.distance import Point
+from robustclust.functions.ranks import range_number
 from robustclust.operators.joins import assign
 
 #: outliers up to which the farthest rows are found by a bounded heap; more are found by a global rank
@@ -87,13 +88,23 @@ def mean_update(assigned: DataFrame) -> DataFrame:
 
 
 def median_update(assigned: DataFrame) -> DataFrame:
-    """center, pos, value: lower weighted medians by coordinate. Equal values are summed before any is ordered."""
+    """center, pos, value: lower weighted medians by coordinate, of weights that aren't negative.
+
+    Weights are summed by ranges of values first; only the range that holds a median is ordered, so no task orders a
+    whole cluster.
+    """
     rows = assigned.where(~F.col("is_outlier")) if "is_outlier" in assigned.columns else assigned
     parts = rows.select("center", _weight(rows).alias("_w"), F.posexplode("features").alias("pos", "v"))
-    mass = parts.groupBy("center", "pos", "v").agg(F.sum("_w").alias("w"))
+    ranged = parts.withColumn("_range", range_number(parts, "v"))
     by = Window.partitionBy("center", "pos")
-    cum = F.sum("w").over(by.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = mass.select("center", "pos", "v", cum.alias("cum"), F.sum("w").over(by).alias("total"))
+    sums = ranged.groupBy("center", "pos", "_range").agg(F.sum("_w").alias("w"))  # some numbers a cluster and coordinate
+    cum = F.sum("w").over(by.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0))
+    told = sums.select("center", "pos", "_range", (cum - F.col("w")).alias("before"), cum.alias("cum"), F.sum("w").over(by).alias("total"))
+    half = told.where(2 * F.col("cum") >= F.col("total")).groupBy("center", "pos").agg(F.min(F.struct("_range", "before", "total")).alias("h"))
+    half = half.select("center", "pos", F.col("h._range").alias("_range"), "h.before", "h.total")
+    mass = ranged.join(half, ["center", "pos", "_range"]).groupBy("center", "pos", "v", "before", "total").agg(F.sum("_w").alias("w"))
+    inner = F.col("before") + F.sum("w").over(by.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = mass.select("center", "pos", "v", "total", inner.alias("cum"))
     return ranked.where(2 * F.col("cum") >= F.col("total")).groupBy("center", "pos").agg(F.min("v").alias("value"))
 
 

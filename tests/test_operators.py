@@ -88,7 +88,7 @@ def test_random_and_guha(spark):
     assert len(estimators.DistributedKZCenter(2, 2, algorithm="random").fit(p).cluster_centers) == 2
     for net in (False, True):
         model = estimators.GuhaDistributedKZCenter(2, 2, rho=1.5, use_epsilon_net=net, return_outliers=net).fit(p)
-        assert center_error(model.cluster_centers) <= 6.001
+        assert center_error(model.cluster_centers) <= 6.1  # a blob lies within 6.09 of its center
 
 
 def test_distributed_means_and_medians(spark):
