@@ -6,9 +6,11 @@ the same elements in both. Each set therefore emits one signature a partition (t
 own band and the next; up to e partitions with the fewest elements may be left out, which spares the signatures that
 unrelated sets share. Linked sets share a signature: no link is lost.
 
-Signatures travel in blocks of bytes dealt by hash; sets that share one are joined to the first of them (a star, not
-all pairs), the stars' components are cut into blocks of bounded size, and every pair of blocks is verified exactly, by
-counting common elements. Exact copies are one set throughout. Shingles are identified by 64-bit hashes.
+Signatures travel in blocks of bytes dealt by hash. Of up to ``FEW`` sets that share one, the pairs are candidates; more
+are searched within their group, of which only a spanning forest leaves. Candidates whose sketches (parities of hashed
+counts) differ by more than linked sets can are dropped. The candidates' components are cut into blocks of bounded
+size, and every pair of blocks is verified exactly, by counting common elements. Exact copies are one set throughout.
+Shingles are identified by 64-bit hashes.
 
 Defined results: a null or word-less text has an empty set, links with nothing and is its own component; identical rows
 share a component; a null doc_id is never a component's id unless all its ids are null.
@@ -26,13 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from robustclust.llm.components import connected
-from robustclust.llm.session import buckets_for, staged, text_bytes
+from robustclust.llm.session import buckets_for, light_batches, staged, text_bytes
 from robustclust.llm.textops import LOWER, NOT_SPACE, U64, column_bytes, cumulative, gram_hashes, mix, row_of, text_chunks, word_hashes, words
 
 #: bytes of text for each signature bucket, bytes of sets in a verified block, and its most rows
 TEXT_PER_BUCKET, BLOCK_BYTES, BLOCK_ROWS = 4 << 20, 8 << 20, 1024
 #: documents of a batch (their index takes two bytes) and ids (8 bytes each) that may be broadcast
 BATCH_DOCS, BROADCAST_IDS = 60_000, 1_000_000
+#: sets sharing a signature of which all pairs are candidates; bits of the shortest sketch; rows above which a key is hot
+FEW, LEAST_BITS, HOT_ROWS = 6, 256, 500
 
 
 def shingle_sets(body: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
@@ -114,11 +118,37 @@ def set_id(s: np.ndarray) -> int:
     return int(mix((parts * np.array([1, 3, 0x9E3779B97F4A7C15], np.uint64)).sum(dtype=np.uint64, keepdims=True)).view(np.int64)[0])
 
 
+def parity_sketch(s: np.ndarray) -> bytes:
+    """About a bit an element: the parities of hashed counts. Sets differ in no fewer elements than their sketches in bits."""
+    bits = 1 << max(LEAST_BITS.bit_length() - 1, (max(len(s), 1) - 1).bit_length())
+    odd = np.bincount((s & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches of one length, as 64-bit words: longer ones are folded, which keeps the bound."""
+    least = min(map(len, sketches))
+    out = np.empty((len(sketches), least), np.uint8)
+    sizes = np.array([len(x) for x in sketches])
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        x = np.frombuffer(b"".join([sketches[i] for i in at]), np.uint8).reshape(-1, size)
+        while x.shape[1] > least:
+            x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+        out[at] = x
+    return out.view(np.uint64)
+
+
+def most_difference(a, b, num: int, den: int):
+    """The greatest symmetric difference of linked sets of sizes a and b."""
+    return (a + b) * (den - num) // (num + den)
+
+
 ROWS = "batch long, idx int, doc_id {kind}, n_shingles long, set_id long, bucket int, block binary"
 
 
 def _sketch(k: int, num: int, den: int, buckets: int):
-    """Rows of two kinds: a document (bucket null) and, for each batch and bucket, its packed signatures."""
+    """Rows of two kinds: a document (bucket null, its sketch as block) and, for each batch and bucket, packed signatures."""
 
     def run(batches):
         batch_no = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 24
@@ -126,10 +156,11 @@ def _sketch(k: int, num: int, den: int, buckets: int):
             for start in range(0, batch.num_rows, BATCH_DOCS):
                 piece = batch.slice(start, BATCH_DOCS)
                 body, offsets = column_bytes(piece.column(1))
-                sizes, ids, sig, who, seen = [], [], [], [], set()
+                sizes, ids, sketches, sig, who, seen = [], [], [], [], [], set()
                 for first, _, part, off in text_chunks(body, offsets):
                     sets = shingle_sets(part, off, k)
                     sizes += [len(s) for s in sets]
+                    sketches += [parity_sketch(s) for s in sets]
                     own = [set_id(s) for s in sets]
                     ids += own
                     fresh = [i for i, x in enumerate(own) if not (x in seen or seen.add(x))]
@@ -156,7 +187,7 @@ def _sketch(k: int, num: int, den: int, buckets: int):
                         pa.array(np.concatenate([np.array(sizes, np.int64), np.zeros(m, np.int64)])),
                         pa.array(np.concatenate([np.array(ids, np.int64), np.zeros(m, np.int64)])),
                         pa.chunked_array([null(pa.int32(), n), pa.array(full.astype(np.int32))]).combine_chunks(),
-                        pa.chunked_array([null(pa.binary(), n), pa.array(blocks, pa.binary())]).combine_chunks(),
+                        pa.array([*sketches, *blocks], pa.binary()),
                     ],
                     names=["batch", "idx", "doc_id", "n_shingles", "set_id", "bucket", "block"],
                 )
@@ -165,8 +196,8 @@ def _sketch(k: int, num: int, den: int, buckets: int):
     return run
 
 
-def _stars(group: pd.DataFrame) -> pd.DataFrame:
-    """Within a bucket: an edge from each member of a shared signature to the first one, as a forest."""
+def _shared_signatures(group: pd.DataFrame) -> pd.DataFrame:
+    """Within a bucket: the pairs of nodes that share a signature (a, b), or for groups of many sig and node (a)."""
     blocks = [np.frombuffer(b, np.uint8).reshape(-1, 7) for b in group["block"]]
     node = np.concatenate([(np.int64(b) << 16) + x[:, 5:].copy().view(np.uint16).ravel().astype(np.int64) for b, x in zip(group["batch"], blocks, strict=True)])
     raw = np.zeros((len(node), 8), np.uint8)
@@ -174,10 +205,59 @@ def _stars(group: pd.DataFrame) -> pd.DataFrame:
     sig = raw.view(np.uint64).ravel()
     order = np.lexsort((node, sig))
     sig, node = sig[order], node[order]
-    head = np.concatenate([[True], sig[1:] != sig[:-1]])
-    lead = node[np.maximum.accumulate(np.where(head, np.arange(len(sig)), 0))]
-    pairs = np.unique(np.column_stack([lead, node])[~head & (lead != node)], axis=0)
-    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+    head = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+    size = np.diff(np.concatenate([head, [len(sig)]]))
+    pairs = []
+    for m in range(2, FEW + 1):
+        at = head[size == m]
+        pairs += [np.column_stack([node[at + i], node[at + j]]) for i in range(m) for j in range(i + 1, m)]
+    pairs = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *pairs]), axis=0)
+    many = np.repeat(size > FEW, size)
+    label = (sig[many] | (np.uint64(int(group["bucket"].iloc[0])) << U64(40))).view(np.int64)
+    none = np.full(len(pairs), -1, np.int64)
+    return pd.DataFrame({"sig": np.concatenate([none, label]), "a": np.concatenate([pairs[:, 0], node[many]]), "b": np.concatenate([pairs[:, 1], np.full(int(many.sum()), -1, np.int64)])})
+
+
+def _close_pairs(num: int, den: int):
+    def run(frames):
+        for f in frames:
+            if len(f):
+                # linked sets are of similar size, so few pairs need their longer sketch folded more than once
+                apart = np.array([np.bitwise_count(np.bitwise_xor(*folded([x, y]))).sum() for x, y in zip(f["x"], f["y"], strict=True)])
+                f = f[apart <= most_difference(f["na"].to_numpy(), f["nb"].to_numpy(), num, den)]
+            yield f[["a", "b"]]
+
+    return run
+
+
+def forest_of(ids: np.ndarray, n: np.ndarray, sketches: list[bytes], num: int, den: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs with close sketches."""
+    x, out, left = folded(sketches), [], np.arange(len(ids))
+    while len(left):
+        frontier, left = [int(left[0])], left[1:]
+        while frontier and len(left):
+            f = frontier.pop()
+            close = np.bitwise_count(x[left] ^ x[f]).sum(axis=1) <= most_difference(n[left], n[f], num, den)
+            found = left[close]
+            out += [(ids[f], ids[g]) for g in found.tolist()]
+            frontier += found.tolist()
+            left = left[~close]
+    return out
+
+
+def _forest(num: int, den: int):
+    """The forests of the groups (sig, i, j) of a pack."""
+
+    def run(pack: pd.DataFrame) -> pd.DataFrame:
+        pack = pack.sort_values(["sig", "i", "j", "set_id"], kind="stable")
+        sig, i, j, ids, n = (pack[c].to_numpy() for c in ("sig", "i", "j", "set_id", "n"))
+        sketches, out = pack["sketch"].tolist(), []
+        head = np.flatnonzero(np.concatenate([[True], (sig[1:] != sig[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+        for a, b in zip(head.tolist(), [*head[1:].tolist(), len(ids)], strict=True):
+            out += forest_of(ids[a:b], n[a:b], sketches[a:b], num, den)
+        return pd.DataFrame(np.array(out, np.int64).reshape(-1, 2), columns=["a", "b"])
+
+    return run
 
 
 def linked_roots(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
@@ -197,16 +277,19 @@ def linked_roots(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
         slab = np.zeros((m, min(width, int(column[-1]) + 1 - lo)), np.float32)
         slab[owner[a:b], column[a:b] - lo] = 1
         common += slab @ slab.T
-    union = size[:, None] + size[None] - common
-    link = den * common >= num * union
+    # den * common >= num * union, the union being both sizes less what is common
     root = np.full(m, -1)
     for i in range(m):
         if root[i] >= 0:
             continue
-        root[i], frontier = i, np.array([i])
-        while len(frontier):
-            reached = np.flatnonzero(link[frontier].any(axis=0) & (root < 0))
-            root[reached], frontier = i, reached
+        root[i], frontier = i, [i]
+        left = np.flatnonzero(root < 0)
+        while frontier and len(left):
+            f = frontier.pop()
+            link = (num + den) * common[f, left].astype(np.int64) >= num * (size[f] + size[left])
+            root[left[link]] = i
+            frontier += left[link].tolist()
+            left = left[~link]
     return root
 
 
@@ -237,18 +320,52 @@ def _sets(k: int):
     return run
 
 
+def _block_pairs(rows: DataFrame) -> DataFrame:
+    """Rows with block_no of blocks, repeated for every pair (i, j) of blocks that theirs belongs to."""
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    return rows.withColumn("other", other).withColumn("i", F.least("block_no", "other")).withColumn("j", F.greatest("block_no", "other"))
+
+
+def _spread_join(left: DataFrame, right: DataFrame, key: str, rows: str, value: str, total: int, salt: str) -> DataFrame:
+    """A left join on a unique key: keys of many rows (no more than 2000 can be hot) are broadcast, the rest is shuffled."""
+    hot = F.col(rows) > max(HOT_ROWS, total // 2000)
+    some = F.broadcast(right.where(hot).select(F.col(key).alias("_hot"), F.col(value).alias("_hot_value")))
+    rest = right.where(~hot).select(F.col(key).alias("_key"), F.col(value).alias("_value"))
+    known = left.join(some, left[key] == F.col("_hot"), "left")
+    # rows that have their value already scatter instead of meeting at their key
+    known = known.withColumn("_at", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(F.xxhash64(salt, key)))
+    out = known.join(rest, F.col("_at") == F.col("_key"), "left")
+    return out.withColumn(value, F.coalesce("_hot_value", "_value")).drop("_hot", "_hot_value", "_key", "_value", "_at")
+
+
 def jaccard_groups(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, set_id, component_id for every document; linked: intersection/union >= num/den."""
     kind = dict(docs.dtypes)["doc_id"]
+    docs = light_batches(docs)
     size = text_bytes(docs)
-    buckets = min(1 << 24, buckets_for(size, TEXT_PER_BUCKET, 64))
-    spark = docs.sparkSession
+    buckets = min(1 << 22, buckets_for(size, TEXT_PER_BUCKET, 64))
     rows = staged(docs.select("doc_id", "text").mapInArrow(_sketch(k, num, den, buckets), ROWS.format(kind=kind)), "jaccard-rows")
     texts = rows.where("bucket is null").select("batch", "idx", "doc_id", "n_shingles", "set_id")
-    nodes = texts.where("n_shingles > 0").select((F.shiftleft("batch", 16) + F.col("idx")).alias("node"), "set_id")
-    stars = rows.where("bucket is not null").select("bucket", "batch", "block").groupBy("bucket").applyInPandas(_stars, "a long, b long")
-    by_set = stars.join(nodes.select(F.col("node").alias("a"), F.col("set_id").alias("sa")), "a").join(nodes.select(F.col("node").alias("b"), F.col("set_id").alias("sb")), "b")
-    candidates = connected(by_set.select(F.col("sa").alias("a"), F.col("sb").alias("b")))
+    filled = rows.where("bucket is null and n_shingles > 0")
+    nodes = filled.select((F.shiftleft("batch", 16) + F.col("idx")).alias("node"), "set_id")
+    sketches = filled.groupBy("set_id").agg(F.first("n_shingles").alias("n"), F.first("block").alias("sketch"))
+    met = rows.where("bucket is not null").select("bucket", "batch", "block").groupBy("bucket").applyInPandas(_shared_signatures, "sig long, a long, b long")
+    met = staged(met, "jaccard-met")
+    named = lambda c: nodes.select(F.col("node").alias(c), F.col("set_id").alias(f"s{c}"))
+    pairs = met.where("sig < 0").join(named("a"), "a").join(named("b"), "b").where("sa <> sb").select(F.least("sa", "sb").alias("a"), F.greatest("sa", "sb").alias("b")).distinct()
+    pairs = pairs.join(sketches.select(F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("x")), "a").join(sketches.select(F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("y")), "b")
+    close = pairs.select("a", "b", "na", "nb", "x", "y").mapInPandas(_close_pairs(num, den), "a long, b long")
+    many = met.where("sig >= 0").join(named("a"), "a").select("sig", F.col("sa").alias("set_id")).distinct()
+    sized = many.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"), F.count("*").alias("sets"))
+    split = many.join(sized.where("sets > 1"), "sig").select("sig", "set_id", "blocks")
+    # groups of bounded size often hold the same sets: each such list is searched once
+    lists = split.where("blocks = 1").groupBy("sig").agg(F.array_sort(F.collect_set("set_id")).alias("sets")).select("sets").distinct()
+    bounded = lists.select(F.xxhash64("sets").alias("sig"), F.explode("sets").alias("set_id"), F.lit(1).alias("blocks"))
+    dealt = bounded.union(split.where("blocks > 1")).join(sketches, "set_id").withColumn("block_no", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+    spare = max(64, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    packed = _block_pairs(dealt).withColumn("pack", F.pmod(F.xxhash64("sig", "i", "j"), F.lit(spare)))
+    grouped = packed.select("pack", "sig", "i", "j", "set_id", "n", "sketch").groupBy("pack").applyInPandas(_forest(num, den), "a long, b long")
+    candidates = connected(close.union(grouped))
 
     # one document for each candidate set, and the block that its set goes to
     whole = texts.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
@@ -261,17 +378,19 @@ def jaccard_groups(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -
     picked = docs.select("doc_id", "text").join(F.broadcast(wanted) if few else wanted, docs["doc_id"].eqNullSafe(wanted["wanted"])).select("wanted", "text")
     sets = picked.mapInArrow(_sets(k), f"wanted {kind}, set_id long, block binary")
     held = sets.join(dealt, (sets["set_id"] == dealt["wanted_set"]) & sets["wanted"].eqNullSafe(dealt["wanted"])).select("comp", "blocks", "block_no", "set_id", "n", "block")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    spread = held.withColumn("other", other).withColumn("i", F.least("block_no", "other")).withColumn("j", F.greatest("block_no", "other"))
+    spread = _block_pairs(held)
     packs = buckets_for((members.agg(F.sum("n")).first()[0] or 0) * 8, BLOCK_BYTES // 8, 24)
     packed = spread.select(F.pmod(F.xxhash64("comp", "i", "j"), F.lit(packs)).alias("pack"), "comp", "i", "j", "set_id", "block")
     links = connected(packed.groupBy("pack").applyInPandas(_verify(num, den), "a long, b long"))
 
-    labelled = texts.join(links.select(F.col("node").alias("set_id"), "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    least = labelled.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = labelled.join(least, "root", "left")
-    own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_id")).alias("set_id"), own.alias("component_id"))
+    total = texts.count()
+    sets = texts.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
+    rooted = staged(sets.join(links.select(F.col("node").alias("set_id"), "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id")), "jaccard-roots")
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("sets"))
+    by_set = _spread_join(rooted, least, "root", "sets", "component_id", total, "set_id").select("set_id", "rows", "component_id")
+    out = _spread_join(texts.where("n_shingles > 0").withColumn("node", F.shiftleft("batch", 16) + F.col("idx")), by_set, "set_id", "rows", "component_id", total, "node")
+    alone = texts.where("n_shingles = 0").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("set_id"), F.col("doc_id").alias("component_id"))
+    return out.select("doc_id", "n_shingles", "set_id", "component_id").union(alone)
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 85, den: int = 100) -> DataFrame:
