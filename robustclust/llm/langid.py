@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from robustclust.llm.learning import Adam, share_for, sigmoid, unit_hash
-from robustclust.llm.session import crc_mod
+from robustclust.llm.session import crc_mod, light_batches
 from robustclust.llm.textops import LOWER, byte_table, column_bytes, row_of, text_chunks
 
 DIM_BITS = 11
@@ -93,6 +93,7 @@ def _features(batches):
 
 def fit(docs: DataFrame, limit: int = 6000) -> dict:
     """The model: languages, codes, weights. At most ``limit`` rows are learnt from, in expectation."""
+    docs = light_batches(docs)
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod("doc_id", 5) != 0))
     counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(counts)
@@ -100,7 +101,7 @@ def fit(docs: DataFrame, limit: int = 6000) -> dict:
         return {"langs": []}
     each = max(1, limit // len(langs))
     shares = F.create_map(*[F.lit(x) for lang in langs for x in (lang, share_for(each, counts[lang]))])
-    rows = usable.where(unit_hash("doc_id", "text") < shares[F.col("lang")]).select("lang", "text").limit(2 * limit).mapInArrow(_features, "lang string, features binary").collect()
+    rows = usable.where(unit_hash("doc_id", "text") < shares[F.col("lang")]).select("lang", "text").mapInArrow(_features, "lang string, features binary").limit(2 * limit).collect()
     x = np.stack([np.frombuffer(r["features"], np.float32) for r in rows])
     y = np.array([langs.index(r["lang"]) for r in rows])
     codes = code_matrix(len(langs))

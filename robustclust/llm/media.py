@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from robustclust.llm.session import light_batches
 from robustclust.llm.textops import column_bytes, text_chunks
 
 UNIT = 192
@@ -225,7 +226,7 @@ def _encode(batches):
 
 def encode(docs: DataFrame) -> DataFrame:
     """doc_id, media: each text as an AVI file."""
-    return docs.select("doc_id", "text").mapInArrow(_encode, f"doc_id {dict(docs.dtypes)['doc_id']}, media binary")
+    return light_batches(docs).select("doc_id", "text").mapInArrow(_encode, f"doc_id {dict(docs.dtypes)['doc_id']}, media binary")
 
 
 def _clips(batches):
@@ -263,7 +264,7 @@ def _digest(batches):
 
 def digest(docs: DataFrame) -> DataFrame:
     """One row a document: lengths and hashes of payload and media as read back, and the shots found."""
-    return docs.select("doc_id", "text").mapInArrow(
+    return light_batches(docs).select("doc_id", "text").mapInArrow(
         _digest,
         f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string",
     )
