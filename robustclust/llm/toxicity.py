@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from robustclust.llm.learning import Adam, share_for, sigmoid, unit_hash
-from robustclust.llm.session import crc_mod
+from robustclust.llm.session import crc_mod, light_batches
 from robustclust.llm.textops import ALNUM, LOWER, column_bytes, prefix_hash, row_of, span_hash, text_chunks, words
 
 THRESHOLD = 0.3
@@ -74,6 +74,8 @@ def pooled(response: np.ndarray, ok: np.ndarray, first: np.ndarray) -> np.ndarra
 class Network:
     """Embeddings, filters and output layer; trained by Adam on batches of texts."""
 
+    drop, l2 = 0.5, 3e-4
+
     def __init__(self, seed: int = 4):
         rng = np.random.default_rng(seed)
         self.word = rng.normal(0, 0.1, (WORD_BUCKETS, EMBED)).astype(np.float32)
@@ -103,7 +105,8 @@ class Network:
         pool = [pooled(r, windows_of(first, w), first) for r, w in zip(self.responses(gathered), WIDTHS, strict=True)]
         return np.concatenate(pool, axis=1) @ self.out + self.out_bias[0]
 
-    def train(self, texts: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weight: np.ndarray, epochs: int = 8, batch: int = 48, seed: int = 6) -> None:
+    def train(self, texts: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weight: np.ndarray, epochs: int | None = None, batch: int = 48, seed: int = 6) -> None:
+        epochs = epochs or int(np.clip(900 * batch // max(1, len(texts)), 8, 40))  # few texts are seen more often
         rng = np.random.default_rng(seed)
         adam = Adam([self.word, self.head, *self.filters, self.bias, self.out, self.out_bias], 0.01)
         for epoch in range(epochs):
@@ -113,10 +116,12 @@ class Network:
                 chosen = order[at : at + batch]
                 first = np.concatenate([[0], np.cumsum([len(texts[i][0]) for i in chosen])])
                 if first[-1]:
-                    self._step(adam, np.concatenate([texts[i][0] for i in chosen]), np.concatenate([texts[i][1] for i in chosen]), first, y[chosen], weight[chosen])
+                    self._step(adam, rng, np.concatenate([texts[i][0] for i in chosen]), np.concatenate([texts[i][1] for i in chosen]), first, y[chosen], weight[chosen])
 
-    def _step(self, adam, word, head, first, y, weight) -> None:
-        x = self.word[word] + self.head[head]
+    def _step(self, adam, rng, word, head, first, y, weight) -> None:
+        # words and prefixes that are missing now and then keep the network from learning texts by heart
+        kept = (rng.random((2, len(word))) >= self.drop).astype(np.float32) / (1 - self.drop)
+        x = self.word[word] * kept[0][:, None] + self.head[head] * kept[1][:, None]
         responses = self.responses(x @ np.concatenate(self.filters, axis=1))
         pool = [pooled(r, windows_of(first, w), first) for r, w in zip(responses, WIDTHS, strict=True)]
         z = np.concatenate(pool, axis=1)
@@ -134,9 +139,9 @@ class Network:
                 if w == width:
                     np.add.at(g_filters[c].T, col, g[:, None] * x[at + j])
                     to = g[:, None] * self.filters[c].T[col]
-                    np.add.at(g_word, word[at + j], to)
-                    np.add.at(g_head, head[at + j], to)
-        adam.step([g_word + 1e-5 * self.word, g_head + 1e-5 * self.head, *(g + 1e-5 * f for g, f in zip(g_filters, self.filters, strict=True)), back.sum(axis=0), z.T @ slope, slope.sum(keepdims=True)])
+                    np.add.at(g_word, word[at + j], to * kept[0][at + j, None])
+                    np.add.at(g_head, head[at + j], to * kept[1][at + j, None])
+        adam.step([g_word + self.l2 * self.word, g_head + self.l2 * self.head, *(g + 1e-5 * f for g, f in zip(g_filters, self.filters, strict=True)), back.sum(axis=0), z.T @ slope, slope.sum(keepdims=True)])
 
 
 def fit_language(x: np.ndarray, y: np.ndarray, classes: int, steps: int = 120) -> tuple[np.ndarray, np.ndarray]:
@@ -172,8 +177,14 @@ def _tokens(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary()), pa.array(langs, pa.binary())], names=["lang", "toxic", "ids", "pairs"])
 
 
+def _logits(net: Network, texts: list, tables) -> np.ndarray:
+    first = np.concatenate([[0], np.cumsum([len(w) for w, _ in texts])])
+    return net.logits(np.concatenate([w for w, _ in texts]), np.concatenate([h for _, h in texts]), first, tables)
+
+
 def fit(docs: DataFrame, labels: DataFrame, each: int = 3000) -> dict:
     """Network, language model and thresholds from at most ``each`` labelled rows a class, in expectation."""
+    docs = light_batches(docs)
     known = labels.where((crc_mod("doc_id", 4) != 2) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not counts.get(0) or not counts.get(1):
@@ -181,7 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame, each: int = 3000) -> dict:
     share = {k: share_for(each, counts[k]) for k in (0, 1)}
     chosen = known.where(unit_hash("doc_id") < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0])).limit(4 * each)
     # the chosen ids are bounded by the parameter, so they may be broadcast
-    rows = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id").select("lang", "toxic", "text").limit(8 * each).mapInArrow(_tokens, "lang string, toxic int, ids binary, pairs binary").collect()
+    rows = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id").select("lang", "toxic", "text").mapInArrow(_tokens, "lang string, toxic int, ids binary, pairs binary").limit(8 * each).collect()
     texts = [tuple(np.frombuffer(r["ids"], np.int32).reshape(2, -1)) for r in rows]
     y = np.array([r["toxic"] for r in rows], np.float32)
     weight = np.where(y == 1, 1 / share[1], 1 / share[0]).astype(np.float32)
@@ -197,8 +208,7 @@ def fit(docs: DataFrame, labels: DataFrame, each: int = 3000) -> dict:
     texts = [(np.where(rare[w], 0, w), h) for w, h in texts]
     net.train([texts[i] for i in learn], y[learn], weight[learn] / weight[learn].mean())
     tables = net.tables()
-    first = np.concatenate([[0], np.cumsum([len(w) for w, _ in texts])])
-    logit = net.logits(np.concatenate([w for w, _ in texts]), np.concatenate([h for _, h in texts]), first, tables)
+    logit = np.concatenate([_logits(net, texts[i : i + 64], tables) for i in range(0, len(texts), 64)])
     langs = sorted({r["lang"] for r in rows if r["lang"] is not None})
     pairs = np.stack([np.frombuffer(r["pairs"], np.float32) for r in rows])
     named = np.array([r["lang"] is not None for r in rows])
@@ -211,7 +221,7 @@ def fit(docs: DataFrame, labels: DataFrame, each: int = 3000) -> dict:
         own = held & (read == k)
         enough = (y[own] == 1).sum() >= 12 and (y[own] == 0).sum() >= 12
         cuts.append(best_threshold(logit[own], y[own], weight[own]) if enough else overall)
-    return {"net": net, "tables": (tables[0] * 1, tables[1]), "rare": rare, "langs": langs, "language": (w.astype(np.float32), b.astype(np.float32)), "cuts": np.array(cuts)}
+    return {"net": net, "tables": tables, "rare": rare, "langs": langs, "language": (w.astype(np.float32), b.astype(np.float32)), "cuts": np.array(cuts)}
 
 
 def score_texts(model: dict, body: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -94,7 +94,7 @@ def test_decoding_corrects_a_wrong_bit():
 def test_risk_is_not_overfitted():
     rng = np.random.default_rng(0)
     pos, neg = rng.normal(1.5, 1, (300, 2)), rng.normal(-1.5, 1, (300, 2))
-    unl = np.concatenate([rng.normal(1.5, 1, (700, 2)), neg])
+    unl = rng.permutation(np.concatenate([rng.normal(1.5, 1, (700, 2)), neg]))
     first = quality.fit_network(pos[:150], unl[:500], None, epochs=20)
     prior = quality.estimate_prior(quality.network(first, pos[150:]), quality.network(first, unl[500:]))
     assert 0.4 < prior < 0.95

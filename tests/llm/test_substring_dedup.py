@@ -60,11 +60,10 @@ def test_against_brute_force(documents, seed):
     assert run(documents, docs) == brute(docs)
 
 
-def test_small_chunks_and_external_runs(documents, monkeypatch):
-    monkeypatch.setattr(sd, "CHUNK_BYTES", 400)
-    monkeypatch.setattr(sd, "PIECE_BYTES", 150)
+@pytest.mark.parametrize("hot", [2, 6, 1 << 16])
+def test_small_chunks_and_hot_grams(documents, hot):
     docs = shuffled(5)
-    assert run(documents, docs) == brute(docs)
+    assert run(documents, docs, hot_samples=hot, chunk_bytes=600) == brute(docs)
 
 
 def test_disk_queue_sorts_like_memory():
@@ -95,6 +94,5 @@ def test_every_string_is_sampled_at_one_place():
 def test_texts_kept(documents):
     passage = "this passage is longer than fifty bytes, as it has to be here."
     rows = sd.dedup_substrings(documents([(1, passage), (2, f"before {passage} after"), (3, None)]), with_text=True).collect()
-    assert {r["doc_id"]: bytes(r["kept"]) for r in rows} == {1: passage.encode(), 2: b"before after"[:7] + b" after"[:6], 3: b""} or True
     assert next(r["n_removed"] for r in rows if r["doc_id"] == 2) >= len(passage)
     assert sd.dedup_substrings(documents([])).count() == 0
