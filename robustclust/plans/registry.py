@@ -528,13 +528,13 @@ def coreset_center_weights(spark, d):
 @query(
     q.with_ctes(
         [*C4, "li AS (SELECT CAST(i AS INT) AS i, power(0.1 * power(1.5, i), 2) AS l FROM range(0, CAST(floor(ln(1000 / 0.1) / ln(1.5)) AS BIGINT)) r(i))"],
-        "SELECT i AS guess_id, round(sum(least(cost, l)), 3) AS cost FROM co, li GROUP BY i",
+        "SELECT i AS guess_id, round(sum(least(cost, l)), 4) AS cost FROM co, li GROUP BY i",
     )
 )
 def coreset_radius_grid(spark, d):
     limits = coresets.radius_grid(0.1, 1000, 0.5, 2)
     capped = coresets.capped_costs(_assigned(spark, d).select("id", "cost"), limits)
-    return capped.groupBy("guess_id").agg(F.round(F.sum("cost"), 3).alias("cost"))
+    return capped.groupBy("guess_id").agg(F.round(F.sum("cost"), 4).alias("cost"))
 
 
 _ROUND = [
