@@ -11,7 +11,9 @@ range minima carry the common prefixes along. Suffixes that agree in ``LENGTH``
 all but those of the first document are marked.
 
 Shards are dealt by hash and each chunk of texts sends a tuple once however often it has it, so no string, however
-common, gathers more than one tuple a chunk in a shard. Grams are identified by 64-bit hashes; tuples by their bytes.
+common, gathers more than one tuple a chunk in a shard. A gram of more than ``HOT_SAMPLES`` samples (at the edge of a
+passage that a large part of the corpus shares, followed by something else each time) would still gather a tuple a
+document: its strings are dealt out one by one by their own hashes instead, each once a chunk, and judged by these. Grams are identified by 64-bit hashes; tuples by their bytes.
 
 Defined results: a null text is empty; rows with the same doc_id never count as earlier than one another; a null doc_id
 is later than all others; texts shorter than ``LENGTH`` keep all bytes.
@@ -45,6 +47,8 @@ KEY_BITS = 39
 #: bytes of a key told to a chunk
 KEY_BYTES = 7
 KEY_MASK = U64((1 << 8 * KEY_BYTES) - 1)
+#: samples of a gram above which its strings are dealt one by one, as its tuples would fill a task
+HOT_SAMPLES = 1 << 16
 LAST = np.iinfo(np.int64).max
 TUPLE = np.dtype([("doc", "<i8"), ("key", "<u8"), ("gram", "<u8"), ("before", "u1"), ("after", "u1"), ("lo", "u1"), ("hi", "u1"), ("left", f"({REACH},)u1"), ("right", f"({LENGTH},)u1")])
 
@@ -98,18 +102,21 @@ def _unpack(raw: bytes, size: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _chunk_rows(batches):
-    squeeze = zstandard.ZstdCompressor(level=3)
-    no = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 24
-    for batch in batches:
-        body, offsets = column_bytes(batch.column(1))
-        ids = batch.column(0)
-        known = ids.fill_null(LAST).to_numpy(zero_copy_only=False).astype(np.int64)
-        null = ids.is_null().to_numpy(zero_copy_only=False)
-        for i, j, part, off in text_chunks(body, offsets, CHUNK_BYTES, CHUNK_ROWS):
-            head = np.concatenate([known[i:j], np.diff(off)]).astype("<i8").tobytes() + null[i:j].tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([no]), pa.array([squeeze.compress(head)], pa.binary()), pa.array([squeeze.compress(part.tobytes())], pa.binary())], names=["chunk", "head", "texts"])
-            no += 1
+def _chunk_rows(chunk_bytes: int):
+    def run(batches):
+        squeeze = zstandard.ZstdCompressor(level=3)
+        no = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 24
+        for batch in batches:
+            body, offsets = column_bytes(batch.column(1))
+            ids = batch.column(0)
+            known = ids.fill_null(LAST).to_numpy(zero_copy_only=False).astype(np.int64)
+            null = ids.is_null().to_numpy(zero_copy_only=False)
+            for i, j, part, off in text_chunks(body, offsets, chunk_bytes, CHUNK_ROWS):
+                head = np.concatenate([known[i:j], np.diff(off)]).astype("<i8").tobytes() + null[i:j].tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([no]), pa.array([squeeze.compress(head)], pa.binary()), pa.array([squeeze.compress(part.tobytes())], pa.binary())], names=["chunk", "head", "texts"])
+                no += 1
+
+    return run
 
 
 def _open(head: bytes, texts: bytes):
@@ -141,7 +148,7 @@ def _block_rows(runs, chunk: int, blocks: list[bytes]) -> pa.RecordBatch:
 
 
 def _grams(shards: int):
-    """For each shard the grams sampled in a chunk, each once, with a bit for those of several documents."""
+    """For each shard the grams sampled in a chunk, each once, with the number of its samples and a bit for several documents."""
 
     def run(batches):
         for batch in batches:
@@ -152,29 +159,44 @@ def _grams(shards: int):
                 gram, doc = gram[order], docs[row[order]]
                 first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(gram) else np.zeros(0, np.int64)
                 several = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first) if len(first) else np.zeros(0, bool)
-                gram = gram[first]
+                gram, often = gram[first], np.diff(np.concatenate([first, [len(gram)]]))
                 low = (gram & U64((1 << KEY_BITS) - 1)) << U64(1) | several.astype(np.uint64)
-                runs = _by_shard(shard_of(gram, shards), shards)
-                yield _block_rows(runs, chunk, [_pack(low[a:b], 5) for _, a, b in runs])
+                runs, blocks = _by_shard(shard_of(gram, shards), shards), []
+                for _, a, b in runs:
+                    more = np.flatnonzero(often[a:b] > 1)  # few grams come more than once in a chunk
+                    counts = np.column_stack([more, often[a:b][more]]).astype("<i4").tobytes()
+                    blocks.append(np.int32(b - a).tobytes() + _pack(low[a:b], 5) + counts)
+                yield _block_rows(runs, chunk, blocks)
 
     return run
 
 
-def _shared(group: pd.DataFrame) -> pd.DataFrame:
-    """Grams of a shard that several documents have, told to each chunk that has them."""
-    parts = [_unpack(b, 5) for b in group["block"]]
-    raw = np.concatenate(parts)
-    gram, several = raw >> U64(1), (raw & U64(1)).astype(bool)
-    order = np.argsort(gram, kind="stable")
-    head = np.concatenate([[True], np.diff(gram[order]) != 0])
-    run = np.cumsum(head) - 1
-    often = (np.bincount(run) > 1) | (np.bincount(run, several[order]) > 0)
-    flag = np.empty(len(raw), bool)
-    flag[order] = often[run]
-    cut = np.cumsum([0, *map(len, parts)])
-    blocks = [_pack(p[flag[a:b]] >> U64(1), 5) for p, a, b in zip(parts, cut, cut[1:], strict=False)]
-    out = pd.DataFrame({"chunk": group["chunk"].to_numpy(), "shard": group["shard"].to_numpy(), "block": blocks})
-    return out[[len(b) > 0 for b in blocks]]
+def _shared(hot_samples: int):
+    """Grams of a shard that several documents have, told to each chunk that has them; those of very many samples apart."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        parts, times = [], []
+        for b in group["block"]:
+            n = int(np.frombuffer(b[:4], "<i4")[0])
+            parts.append(_unpack(b[4 : 4 + 5 * n], 5))
+            count, more = np.ones(n, np.int64), np.frombuffer(b[4 + 5 * n :], "<i4").reshape(-1, 2)
+            count[more[:, 0]] = more[:, 1]
+            times.append(count)
+        raw = np.concatenate(parts)
+        gram, several = raw >> U64(1), (raw & U64(1)).astype(bool)
+        order = np.argsort(gram, kind="stable")
+        head = np.concatenate([[True], np.diff(gram[order]) != 0])
+        run = np.cumsum(head) - 1
+        often = (np.bincount(run) > 1) | (np.bincount(run, several[order]) > 0)
+        hot = often & (np.bincount(run, np.concatenate(times)[order]) > hot_samples)
+        flag = np.empty(len(raw), np.int8)
+        flag[order] = (often.astype(np.int8) + hot)[run]
+        cut = np.cumsum([0, *map(len, parts)])
+        told = [[_pack(p[flag[a:b] == kind] >> U64(1), 5) for p, a, b in zip(parts, cut, cut[1:], strict=False)] for kind in (1, 2)]
+        out = pd.DataFrame({"chunk": group["chunk"].to_numpy(), "shard": group["shard"].to_numpy(), "block": told[0], "hot": told[1]})
+        return out[[bool(a or b) for a, b in zip(*told, strict=True)]]
+
+    return run
 
 
 def _context_keys(body, offsets, row, place, lo, hi):
@@ -208,6 +230,69 @@ def _member(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
 
 
+def _told(shared, field: str) -> np.ndarray:
+    """The grams told to a chunk, with their shards."""
+    return np.sort(np.concatenate([np.zeros(0, np.uint64), *(_unpack(x[field], 5) | (U64(x["shard"]) << U64(KEY_BITS)) for x in shared or [])]))
+
+
+def _labels(gram: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(low bits, shard, both as they are told to chunks)."""
+    low, shard = gram & U64((1 << KEY_BITS) - 1), shard_of(gram, shards)
+    return low, shard, low | (shard.astype(np.uint64) << U64(KEY_BITS))
+
+
+def _strings(docs, body, offsets, hot: np.ndarray, shards: int):
+    """(start, hash, document) of every string whose sampled gram is hot."""
+    row, place, lo, hi, gram = _samples(docs, body, offsets)
+    pick = np.flatnonzero(_member(_labels(gram, shards)[2], hot))
+    count = hi[pick] - lo[pick] + 1
+    first = place[pick] - hi[pick]
+    start = np.repeat(first - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum()) if len(pick) else np.zeros(0, np.int64)
+    doc = np.repeat(docs[row[pick]], count)
+    hashed = np.empty(len(start), np.uint64)
+    edges = np.arange(0, len(body) + PIECE_BYTES, PIECE_BYTES)
+    cut = np.searchsorted(start, edges)
+    for e, a, b in zip(edges, cut, cut[1:], strict=False):
+        if a < b:
+            prefix = prefix_hash(body[e : min(len(body), e + PIECE_BYTES + LENGTH)])
+            hashed[a:b] = span_hash(prefix, start[a:b] - e, start[a:b] - e + LENGTH)
+    return start, hashed, doc
+
+
+def _hot_strings(shards: int):
+    """For each shard of the hot strings' own hashes: hash and least document, each once a chunk."""
+
+    def run(batches):
+        squeeze = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            for chunk, head, texts, shared in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                hot = _told(shared, "hot")
+                if not len(hot):
+                    continue
+                docs, _, body, offsets = _open(head, texts)
+                _, hashed, doc = _strings(docs, body, offsets, hot, shards)
+                first, _ = _classes(hashed, doc)
+                hashed, doc = hashed[first], doc[first]  # sorted by hash, so by shard too
+                runs = _by_shard(shard_of(hashed, shards), shards)
+                yield _block_rows(runs, chunk, [squeeze.compress(hashed[a:b].tobytes() + doc[a:b].tobytes()) for _, a, b in runs])
+
+    return run
+
+
+def _later_strings(group: pd.DataFrame) -> pd.DataFrame:
+    """Told to each chunk: the hashes that an earlier document elsewhere has."""
+    parts = []
+    for block in group["block"]:
+        raw = zstandard.ZstdDecompressor().decompress(block)
+        parts.append((np.frombuffer(raw[: len(raw) // 2], "<u8"), np.frombuffer(raw[len(raw) // 2 :], "<i8")))
+    hashed, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
+    first, of = _classes(hashed, doc)
+    later = doc > doc[first][of]
+    cut = np.cumsum([0, *(len(x[0]) for x in parts)])
+    rows = [(c, hashed[a:b][later[a:b]].tobytes()) for c, a, b in zip(group["chunk"], cut, cut[1:], strict=False)]
+    return pd.DataFrame([r for r in rows if r[1]], columns=["chunk", "block"]).astype({"chunk": "int64"})
+
+
 def _contexts(shards: int):
     """For each shard the surroundings of a chunk's shared grams, each once: gram, key, least document."""
 
@@ -217,9 +302,8 @@ def _contexts(shards: int):
             for chunk, head, texts, shared in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 docs, _, body, offsets = _open(head, texts)
                 row, place, lo, hi, gram = _samples(docs, body, offsets)
-                wanted = np.sort(np.concatenate([_unpack(x["block"], 5) | (U64(x["shard"]) << U64(KEY_BITS)) for x in shared]))
-                low, shard = gram & U64((1 << KEY_BITS) - 1), shard_of(gram, shards)
-                hit = _member(low | (shard.astype(np.uint64) << U64(KEY_BITS)), wanted)
+                low, shard, label = _labels(gram, shards)
+                hit = _member(label, _told(shared, "block"))
                 row, place, lo, hi, low, shard = (x[hit] for x in (row, place, lo, hi, low, shard))
                 key, _, _ = _context_keys(body, offsets, row, place, lo, hi)
                 first, _ = _classes(key, docs[row])
@@ -424,7 +508,7 @@ def _marks(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["chunk", "block"]).astype({"chunk": "int64"})
 
 
-def removed_bytes(docs, body, offsets, whole: list[bytes], blocks: list[bytes]) -> np.ndarray:
+def removed_bytes(docs, body, offsets, whole: list[bytes], blocks: list[bytes], hot: np.ndarray, later: list[bytes], shards: int) -> np.ndarray:
     """Which bytes of a chunk go."""
     row, place, lo, hi, _ = _samples(docs, body, offsets)
     change = np.zeros(len(body) + 1, np.int32)
@@ -449,14 +533,21 @@ def removed_bytes(docs, body, offsets, whole: list[bytes], blocks: list[bytes])
         at = (place[k] - d)[(lo[k] <= d) & (hi[k] >= d)]
         np.add.at(change, at, 1)
         np.add.at(change, at + LENGTH, -1)
+    if len(hot):
+        start, hashed, doc = _strings(docs, body, offsets, hot, shards)
+        first, of = _classes(hashed, doc)
+        known = np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(b, "<u8") for b in later or [])]))
+        at = start[_member(hashed, known) | (doc > doc[first][of])]
+        np.add.at(change, at, 1)
+        np.add.at(change, at + LENGTH, -1)
     return np.cumsum(change[:-1]) > 0
 
 
-def _finish(batches):
+def _finish(batches, shards: int):
     for batch in batches:
-        for head, texts, whole, blocks in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+        for head, texts, whole, blocks, shared, later in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
             docs, null, body, offsets = _open(head, texts)
-            gone = removed_bytes(docs, body, offsets, whole, blocks)
+            gone = removed_bytes(docs, body, offsets, whole, blocks, _told(shared, "hot"), later, shards)
             begins = gone & ~np.concatenate([[False], gone[:-1]])
             inner = offsets[(offsets > 0) & (offsets < len(body))]
             begins[inner] = gone[inner]
@@ -475,15 +566,18 @@ def _finish(batches):
             )
 
 
-def _digest(batches):
-    for batch in _finish(batches):
-        yield batch.select(["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+def _results(shards: int, names: list[str]):
+    def run(batches):
+        for batch in _finish(batches, shards):
+            yield batch.select(names)
+
+    return run
 
 
 BLOCKS = "shard int, chunk long, block binary"
 
 
-def dedup_substrings(docs: DataFrame, with_text: bool = False) -> DataFrame:
+def dedup_substrings(docs: DataFrame, with_text: bool = False, hot_samples: int = HOT_SAMPLES, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept bytes) for every document."""
     docs = light_batches(docs)
     spark = docs.sparkSession
@@ -492,16 +586,20 @@ def dedup_substrings(docs: DataFrame, with_text: bool = False) -> DataFrame:
     name = f"substring_chunks_{uuid.uuid4().hex}"
     # bucketed by chunk, so that the later joins move only what is told to the chunks and never the texts
     spread = max(buckets_for(size, CHUNK_BYTES // 2, 12), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_chunk_rows, "chunk long, head binary, texts binary").write.bucketBy(spread, "chunk").saveAsTable(name)
+    docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_chunk_rows(chunk_bytes), "chunk long, head binary, texts binary").write.bucketBy(spread, "chunk").saveAsTable(name)
     chunks = spark.table(name)
-    shared = chunks.mapInArrow(_grams(shards), BLOCKS).groupBy("shard").applyInPandas(_shared, "chunk long, shard int, block binary")
-    told = shared.groupBy("chunk").agg(F.collect_list(F.struct("shard", "block")).alias("shared"))
+    shared = chunks.mapInArrow(_grams(shards), BLOCKS).groupBy("shard").applyInPandas(_shared(hot_samples), "chunk long, shard int, block binary, hot binary")
+    told = staged(shared.groupBy("chunk").agg(F.collect_list(F.struct("shard", "block", "hot")).alias("shared")), "substring-grams")
+    spread_out = chunks.join(told.where(F.exists("shared", lambda x: F.length(x["hot"]) > 0)).hint("merge"), "chunk").select("chunk", "head", "texts", "shared")
+    later = spread_out.mapInArrow(_hot_strings(shards), BLOCKS).groupBy("shard").applyInPandas(_later_strings, "chunk long, block binary").groupBy("chunk").agg(F.collect_list("block").alias("later"))
     contexts = chunks.join(told.hint("merge"), "chunk").select("chunk", "head", "texts", "shared").mapInArrow(_contexts(shards), BLOCKS)
     coded = contexts.groupBy("shard").applyInPandas(_coded, "chunk long, whole binary, open binary")
     coded = staged(coded.groupBy("chunk").agg(F.collect_list("whole").alias("whole"), F.collect_list("open").alias("open")), "substring-keys")
     tuples = chunks.join(coded.hint("merge"), "chunk").select("chunk", "head", "texts", "open").mapInArrow(_tuples(shards), BLOCKS)
     marks = tuples.groupBy("shard").applyInPandas(_marks, "chunk long, block binary").groupBy("chunk").agg(F.collect_list("block").alias("blocks"))
-    decided = coded.select("chunk", "whole").join(marks, "chunk", "left")
-    ready = chunks.join(decided.hint("merge"), "chunk", "left").select("head", "texts", "whole", "blocks")
+    only_hot = F.filter("shared", lambda x: F.length(x["hot"]) > 0)
+    decided = told.select("chunk", only_hot.alias("shared")).join(coded.select("chunk", "whole"), "chunk", "left").join(marks, "chunk", "left").join(later, "chunk", "left")
+    ready = chunks.join(decided.hint("merge"), "chunk", "left").select("head", "texts", "whole", "blocks", "shared", "later")
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     columns = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return ready.mapInArrow(_finish, columns + ", kept binary") if with_text else ready.mapInArrow(_digest, columns)
+    return ready.mapInArrow(_results(shards, [*names, "kept"]), columns + ", kept binary") if with_text else ready.mapInArrow(_results(shards, names), columns)
