@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from robustclust.llm.learning import Adam, share_for, sigmoid, unit_hash
-from robustclust.llm.session import crc_mod
+from robustclust.llm.session import crc_mod, light_batches
 from robustclust.llm.textops import LOWER, NOT_SPACE, byte_table, column_bytes, row_of, row_sums, text_chunks, word_hashes, words
 
 THRESHOLD = 0.7
@@ -127,6 +127,7 @@ def _features(batches):
 
 def fit(docs: DataFrame, labels: DataFrame, positives: int = 6000, unlabelled: int = 12000) -> dict:
     """Network, scaling and estimated prior; ``positives`` and ``unlabelled`` bound the samples in expectation."""
+    docs = light_batches(docs)
     learn = crc_mod("doc_id", 4) != 2
     trusted = labels.where(learn & (F.col("quality") == 1)).select("doc_id").distinct()
     trusted = trusted.where(unit_hash("doc_id") < share_for(positives, trusted.count())).limit(2 * positives).withColumn("trusted", F.lit(True))
@@ -135,7 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = 6000, unlabelled: i
     # the trusted ids are bounded by the parameter, so they may be broadcast
     chosen = usable.join(F.broadcast(trusted), "doc_id", "left").withColumn("drawn", drawn).where("trusted or drawn")
     role = F.array_compact(F.array(F.when(F.col("trusted"), True), F.when(F.col("drawn"), False)))
-    rows = chosen.select(F.explode(role).alias("trusted"), "text").limit(2 * (positives + unlabelled)).mapInArrow(_features, "trusted boolean, features binary").collect()
+    rows = chosen.select(F.explode(role).alias("trusted"), "text").mapInArrow(_features, "trusted boolean, features binary").limit(2 * (positives + unlabelled)).collect()
     pos = np.array([np.frombuffer(r["features"], np.float32) for r in rows if r["trusted"]], float).reshape(-1, FEATURES)
     unl = np.array([np.frombuffer(r["features"], np.float32) for r in rows if not r["trusted"]], float).reshape(-1, FEATURES)
     if len(pos) < 8 or len(unl) < 8:
