@@ -39,20 +39,22 @@ def iterate(points: DataFrame, centers: list[Point], z: int = 0, median: bool =
     return centers
 
 
-def seeded(points: DataFrame, k: int, power: int, seed: int = 0, first: int | None = None) -> list[list[float]]:
-    """k-means++ or k-median++ by hash draws: the first uniform, the rest by weight times distance to the power."""
+def seeded(points: DataFrame, k: int, power: int, seed: int = 0, first: int | None = None) -> tuple[list[int], list[list[float]]]:
+    """(drawn ids, their features) of k-means++ or k-median++ by hash draws: the first uniform, the rest by weight times
+    distance to the power."""
     rows = weighted(points)
     if first is None:
         start = rows.withColumn("_u", hash_uniform(seed, "id")).orderBy("_u", "id").limit(1).select("id").collect()
         first = start[0]["id"]
-    centers = joins.centers_of(points, [first])
+    ids, centers = [first], joins.centers_of(points, [first])
     for i in range(1, k):
         mass = joins.assign(rows, centers).withColumn("_m", F.greatest("weight", F.lit(0.0)) * F.pow("dist", F.lit(float(power))))
         got = sampling.by_weight(mass, "_m", 1, seed + i).collect()
         if not got:
             break
-        centers = [*centers, *joins.centers_of(points, [got[0]["id"]])]
-    return centers
+        ids.append(got[0]["id"])
+        centers = [*centers, *joins.centers_of(points, ids[-1:])]
+    return ids, centers
 
 
 def hashed_start(points: DataFrame, k: int, seed: int = 0) -> list[list[float]]:
@@ -80,7 +82,7 @@ class LloydModel:
         elif self.init == "random":
             start = hashed_start(points, self.n_clusters, self.seed)
         else:
-            start = seeded(points, self.n_clusters, 1 if self.median else 2, self.seed)
+            start = seeded(points, self.n_clusters, 1 if self.median else 2, self.seed)[1]
         self.centers = iterate(points, start, self.n_outliers, self.median, self.max_iter)
         points.unpersist()
         return self

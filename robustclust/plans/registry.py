@@ -422,10 +422,9 @@ def sample_weighted(spark, d):
 
 def _seeding(spark, d, power):
     p = emb(spark, d).cache()
-    picked = lloyd.seeded(p, 4, power, SEED, first=0)
-    ids = {tuple(r["features"]): r["id"] for r in p.collect() if list(r["features"]) in picked} if p.count() < 5000 else {}
+    ids, _ = lloyd.seeded(p, 4, power, SEED, first=0)
     p.unpersist()
-    return spark.createDataFrame([(i, ids[tuple(c)]) for i, c in enumerate(picked)], "pick int, id long")
+    return spark.createDataFrame(list(enumerate(ids)), "pick int, id long")
 
 
 @query(q.seeding("emb", 4, 2, SEED))

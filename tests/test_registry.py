@@ -36,3 +36,16 @@ def test_query_equals_sql(spark, duck, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("name", ["kmeanspp_init", "kmedianpp_init"])
+@pytest.mark.parametrize("n", [400, 6000])
+def test_seeding_gives_the_drawn_ids(spark, tmp_path, name, n):
+    """Every vector is held by two ids, in small and large tables."""
+    vector = f"array(CAST(id % {n // 2} AS FLOAT), CAST(id % {n // 2} * 7 % 11 AS FLOAT))"
+    spark.range(n).selectExpr("id AS vec_id", f"{vector} AS embedding", "0 AS label").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = registry.queries()[name](spark, str(tmp_path)).toPandas()
+    want = con.execute(registry.oracle_sql()[name]).df()
+    assert len(got) == 4 and rows(got) == rows(want)
