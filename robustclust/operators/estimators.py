@@ -240,8 +240,6 @@ class DistributedKZLp(_Base):
 
     def _solve(self, sets, limits) -> None:
         sampled = np.unique(np.concatenate([x[s] for x, _, s in sets]), axis=0)
-        if len(sampled) > 1500:
-            sampled = sampled[kernels.farthest_first(sampled, 1500, 0)[0]]
         open_, self.opt = kernels.minmax_facilities([x for x, _, _ in sets], [w for _, w, _ in sets], limits, sampled, self.n_clusters, (1 + self.epsilon) * self.n_outliers, self.p)
         self.centers = sampled[open_]
 

@@ -247,59 +247,130 @@ def lp_cost(x, c, p: float, weight=None, z: int = 0, limit: float | None = None)
 # ---- facility location -------------------------------------------------------------------------------------------
 
 
-def reverse_greedy(costs: np.ndarray, weights: np.ndarray, site: np.ndarray, sets: int, k: int, bound: float) -> np.ndarray | None:
+def slices(rows: int, columns: int) -> list[slice]:
+    step = max(1, (2 << 20) // max(1, columns))
+    return [slice(lo, lo + step) for lo in range(0, rows, step)]
+
+
+NEAREST_KEPT = 32  # choices of a client held at once; more are found anew once these are closed
+
+
+class Choices:
+    """Clients' costs for all facilities: of each client only the least few are held; all are found in blocks.
+
+    cost(clients, facilities) gives the costs of some clients (rows) for some facilities (columns).
+    """
+
+    def __init__(self, cost: Callable, clients: int, facilities: int):
+        self.cost, self.facilities = cost, facilities
+        self.order, self.costs = self.least(np.arange(clients), np.arange(facilities))
+
+    def least(self, clients: np.ndarray, open_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(facilities, costs): the cheapest open facilities of the clients, in order."""
+        few = min(NEAREST_KEPT, len(open_))
+        order, least = np.empty((len(clients), few), np.int32), np.empty((len(clients), few))
+        for rows in slices(len(clients), len(open_)):
+            costs = self.cost(clients[rows], open_)
+            near = np.argpartition(costs, few - 1, axis=1)[:, :few] if few < len(open_) else np.tile(np.arange(few), (len(costs), 1))
+            own = np.take_along_axis(costs, near, axis=1)
+            by = np.argsort(own, axis=1, kind="stable")
+            order[rows], least[rows] = open_[np.take_along_axis(near, by, axis=1)], np.take_along_axis(own, by, axis=1)
+        return order, least
+
+
+def reverse_greedy(costs: np.ndarray | Choices, weights: np.ndarray, site: np.ndarray, sets: int, k: int, bound: float) -> np.ndarray | None:
     """Facilities left after closing all but k, or None if every closing would cost some set more than bound / 2.
 
     costs: clients by facilities; site: the set of each client. Closing moves clients to their second choice; of the
     closable facilities that with the least increase, weighted by the sets' weights, goes, and sets that paid gain weight.
+    A closing touches only the clients whose first or second choice it was.
     """
-    open_ = np.ones(costs.shape[1], bool)
-    urgency = np.ones(sets)
-    while open_.sum() > k:
-        live = np.flatnonzero(open_)
-        if len(live) < 2:
+    choices = costs if isinstance(costs, Choices) else Choices(lambda rows, columns: costs[np.ix_(rows, columns)], *costs.shape)
+    n = choices.facilities
+    open_, urgency = np.ones(n, bool), np.ones(sets)
+    if n <= k:
+        return np.flatnonzero(open_)
+    order, least = choices.order.copy(), choices.costs.copy()
+    first, second = order[:, 0].copy(), order[:, 1].copy()
+    rise = weights * (least[:, 1] - least[:, 0])
+    table = np.zeros((sets, n))
+    np.add.at(table, (site, first), rise)
+    closable = (table <= bound / 2).all(axis=0)
+    firsts: list[set] = [set() for _ in range(n)]
+    seconds: list[set] = [set() for _ in range(n)]
+    for i, (a, b) in enumerate(zip(first.tolist(), second.tolist(), strict=True)):
+        firsts[a].add(i)
+        seconds[b].add(i)
+    for left in range(n - 1, k - 1, -1):
+        total = np.where(closable, urgency @ table, np.inf)
+        v = int(total.argmin())
+        if not np.isfinite(total[v]):
             return None
-        two = np.argpartition(costs[:, live], 1, axis=1)[:, :2]
-        pair = np.take_along_axis(costs[:, live], two, axis=1)
-        swap = pair[:, 0] > pair[:, 1]
-        first = np.where(swap, two[:, 1], two[:, 0])
-        rise = weights * np.abs(pair[:, 1] - pair[:, 0])
-        table = np.zeros((sets, len(live)))
-        np.add.at(table, (site, first), rise)
-        total = np.where((table <= bound / 2).all(axis=0), urgency @ table, np.inf)
-        p = int(total.argmin())
-        if not np.isfinite(total[p]):
-            return None
-        urgency *= (1 + 1 / bound) ** np.clip(table[:, p], 0, 50 * bound)
-        open_[live[p]] = False
+        urgency *= (1 + 1 / bound) ** np.clip(table[:, v], 0, 50 * bound)
+        open_[v] = closable[v] = False
+        table[:, v] = 0
+        if left == k:
+            break
+        moved = np.array(sorted(firsts[v] | seconds[v]), np.int64)
+        if not len(moved):
+            continue
+        rest = open_[order[moved]]
+        short = moved[rest.sum(axis=1) < 2]
+        if len(short):
+            found, own = choices.least(short, np.flatnonzero(open_))
+            order[short], least[short] = v, np.inf  # v stays closed
+            order[short, : found.shape[1]], least[short, : found.shape[1]] = found, own
+            rest = open_[order[moved]]
+        rows = np.arange(len(moved))
+        a = rest.argmax(axis=1)
+        rest[rows, a] = False
+        b = rest.argmax(axis=1)
+        for i, was, then, now, next_ in zip(moved.tolist(), first[moved].tolist(), second[moved].tolist(), order[moved, a].tolist(), order[moved, b].tolist(), strict=True):
+            firsts[was].discard(i)
+            seconds[then].discard(i)
+            firsts[now].add(i)
+            seconds[next_].add(i)
+        first[moved], second[moved] = order[moved, a], order[moved, b]
+        rise[moved] = weights[moved] * (least[moved, b] - least[moved, a])
+        for f in np.unique(first[moved]).tolist():
+            own = np.array(sorted(firsts[f]), np.int64)
+            table[:, f] = np.bincount(site[own], rise[own], sets)
+            closable[f] = (table[:, f] <= bound / 2).all()
     return np.flatnonzero(open_)
 
 
 def minmax_facilities(clients: list[np.ndarray], weights: list[np.ndarray], limits: list[float], facilities: np.ndarray, k: int, z: float, p: float) -> tuple[np.ndarray, float]:
     """(facility indices, value): least maximum over client sets of sum w * min(d^p, L) - z * L."""
-    d = [distances(x, facilities) ** p for x in clients]
-    capped = np.vstack([np.minimum(a, lim) for a, lim in zip(d, limits, strict=True)])
-    capped = capped + np.arange(capped.shape[1]) * 1e-12 * (1 + capped.max())  # ties go to the lower facility
-    site = np.repeat(np.arange(len(clients)), [len(x) for x in clients])
-    w = np.concatenate(weights)
+    sizes = [len(x) for x in clients]
+    site, w = np.repeat(np.arange(len(clients)), sizes), np.concatenate(weights)
+    x, caps, every = np.concatenate(clients), np.repeat(np.array(limits, float), sizes), np.arange(len(facilities))
+
+    def capped(rows, columns) -> np.ndarray:
+        return np.minimum(distances(x[rows], facilities[columns]) ** p, caps[rows, None])
+
+    nudge = 1e-12 * (1 + max(float(capped(rows, every).max()) for rows in slices(len(x), len(every))))  # ties go to the lower facility
+    choices = Choices(lambda rows, columns: capped(rows, columns) + columns * nudge, len(x), len(every))
+    k = min(k, len(facilities))
     mass = [lim * np.clip(a, 0, None).sum() for lim, a in zip(limits, weights, strict=True)]
     low, high = max(4 * min(mass), 1e-9), max(8 * max(mass), 2e-9)
 
     def value(open_: np.ndarray) -> float:
-        return max(float((a * np.minimum(x[:, open_].min(axis=1), lim)).sum() - z * lim) for x, a, lim in zip(d, weights, limits, strict=True))
+        d = np.minimum(distances(x, facilities[open_]).min(axis=1) ** p, caps)
+        return float((np.bincount(site, w * d, len(clients)) - z * np.array(limits, float)).max())
 
     best: tuple[np.ndarray, float] | None = None
     while high / low > 1.01:
         middle = (low + high) / 2
-        open_ = reverse_greedy(capped, w, site, len(clients), min(k, capped.shape[1]), middle)
+        open_ = reverse_greedy(choices, w, site, len(clients), k, middle)
         if open_ is None:
             low = middle
             continue
         high = middle
-        if best is None or value(open_) < best[1]:
-            best = (open_, value(open_))
+        got = value(open_)
+        if best is None or got < best[1]:
+            best = (open_, got)
     if best is None:
-        open_ = reverse_greedy(capped, w, site, len(clients), min(k, capped.shape[1]), 1e18)
+        open_ = reverse_greedy(choices, w, site, len(clients), k, 1e18)
         best = (open_, value(open_))
     return best
 

@@ -75,6 +75,28 @@ def test_reverse_greedy_gives_up_when_every_closing_costs_too_much():
     assert kernels.reverse_greedy(costs, np.ones(2), np.zeros(2, int), 1, 1, 10.0) is None
 
 
+@pytest.mark.parametrize("kept", [2, 3, 32])
+def test_reverse_greedy_equals_the_plain_version(monkeypatch, kept):
+    monkeypatch.setattr(kernels, "NEAREST_KEPT", kept)
+    rng = np.random.default_rng(kept)
+    for bound in (3.0, 20.0, 1e6):
+        costs, w, site = rng.random((90, 60)), rng.uniform(-0.2, 2, 90), rng.integers(0, 4, 90)
+        open_, urgency = list(range(60)), np.ones(4)
+        while open_ is not None and len(open_) > 3:
+            near = np.sort(costs[:, open_], axis=1)
+            table = np.zeros((4, len(open_)))
+            np.add.at(table, (site, costs[:, open_].argmin(axis=1)), w * (near[:, 1] - near[:, 0]))
+            fits = np.flatnonzero((table <= bound / 2).all(axis=0))
+            if len(fits):
+                at = fits[(urgency @ table[:, fits]).argmin()]
+                urgency *= (1 + 1 / bound) ** np.clip(table[:, at], 0, 50 * bound)
+                open_.pop(at)
+            else:
+                open_ = None
+        got = kernels.reverse_greedy(costs, w, site, 4, 3, bound)
+        assert (got is None) == (open_ is None) and (got is None or got.tolist() == open_)
+
+
 def test_summary_accounts_for_every_row():
     x, ids = planted(), np.arange(164)
     for augmented in (False, True):

@@ -101,6 +101,17 @@ def test_distributed_means_and_medians(spark):
     assert center_error(estimators.BELDistributedKMedian(n_clusters=2, epsilon=0.3, coreset_ratio=5).fit(clean).cluster_centers) <= 6.001
 
 
+def test_every_sampled_point_may_become_a_center():
+    """Far rows of hardly any weight, and a heavy row in a clump: 1650 candidates."""
+    far = np.stack(np.meshgrid(np.arange(50), np.arange(29)), axis=-1).reshape(-1, 2) * 10.0 + 100
+    x = np.vstack([np.stack([np.arange(200) / 1000, np.zeros(200)], axis=1), far])
+    w = np.where(np.arange(len(x)) < 200, 1.0, 1e-6)
+    w[78] = 1000
+    model = estimators.DistributedKZMeans(n_clusters=1)
+    model._solve([(x, w, np.ones(len(x), bool))], [100.0])
+    assert model.cluster_centers.tolist() == [[0.078, 0.0]]
+
+
 def test_summaries_of_sites(spark):
     x, site = sites()
     rows = coresets.summarize_sites(frame(spark, x, site), 2, 2, 2, beta=0.2).collect()
