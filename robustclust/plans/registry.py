@@ -666,8 +666,8 @@ _estimator("fit_guha", lambda: estimators.GuhaDistributedKZCenter(3, 20, seed=SE
 _estimator("fit_guha_net", lambda: estimators.GuhaDistributedKZCenter(3, 20, seed=SEED, use_epsilon_net=True, return_outliers=True))
 _estimator("fit_caz_means", lambda: estimators.CAZDistributedKZMeans(n_clusters=3, n_outliers=20, seed=SEED))
 _estimator("fit_caz_median", lambda: estimators.CAZDistributedKZMedian(n_clusters=3, n_outliers=20, seed=SEED))
-_estimator("fit_kzmeans", lambda: estimators.DistributedKZMeans(n_clusters=3, n_outliers=20, epsilon=1.0, seed=SEED))
-_estimator("fit_kzmedian", lambda: estimators.DistributedKZMedian(n_clusters=3, n_outliers=20, epsilon=1.0, seed=SEED))
+_estimator("fit_kzmeans", lambda: estimators.DistributedKZMeans(n_clusters=3, n_outliers=20, seed=SEED))
+_estimator("fit_kzmedian", lambda: estimators.DistributedKZMedian(n_clusters=3, n_outliers=20, seed=SEED))
 _estimator("fit_bel_means", lambda: estimators.BELDistributedKMeans(n_clusters=3, epsilon=0.3, seed=SEED))
 _estimator("fit_bel_median", lambda: estimators.BELDistributedKMedian(n_clusters=3, epsilon=0.3, seed=SEED))
 

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from robustclust.operators import estimators
 from robustclust.plans import registry
 
 FOLDER = "/root/testdata/sf0.001"
@@ -49,3 +50,10 @@ def test_seeding_gives_the_drawn_ids(spark, tmp_path, name, n):
     got = registry.queries()[name](spark, str(tmp_path)).toPandas()
     want = con.execute(registry.oracle_sql()[name]).df()
     assert len(got) == 4 and rows(got) == rows(want)
+
+
+@pytest.mark.parametrize("name", ["fit_kzmeans", "fit_kzmedian"])
+def test_coreset_estimators_run_at_the_default_accuracy(spark, monkeypatch, name):
+    fit, seen = estimators.DistributedKZLp.fit, []
+    monkeypatch.setattr(estimators.DistributedKZLp, "fit", lambda self, points: seen.append(self.epsilon) or fit(self, points))
+    assert registry.queries()[name](spark, FOLDER).count() == 6 and seen == [estimators.DistributedKZLp.epsilon]
