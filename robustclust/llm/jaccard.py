@@ -396,10 +396,16 @@ def jaccard_groups(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -
 def keep_one(docs: DataFrame, k: int = 5, num: int = 85, den: int = 100) -> DataFrame:
     """One document of each group of linked documents: that whose id names the group; texts without words all stay.
 
-    Rows alike in doc_id and text are one document, of which one row stays.
+    Rows alike in doc_id and text are one document, of which one row stays. Where ids repeat, a document is known by its
+    doc_id and text together; of a group that of the least id (nulls last) and then the least md5 of the text stays.
     """
-    groups = jaccard_groups(docs, k, num, den)
-    spare = groups.where("n_shingles > 0 and not (doc_id <=> component_id)").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(spare, docs["doc_id"].eqNullSafe(spare["_gone"]), "left_anti")
     repeats = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id", "text"]) if repeats else kept
+    named = docs
+    if repeats:
+        text = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+        named = docs.withColumn("_row", F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), text.alias("md5")))
+    key = "_row" if repeats else "doc_id"
+    groups = jaccard_groups(named.select(F.col(key).alias("doc_id"), "text"), k, num, den)
+    spare = groups.where("n_shingles > 0 and not (doc_id <=> component_id)").select(F.col("doc_id").alias("_gone")).distinct()
+    kept = named.join(spare, named[key].eqNullSafe(spare["_gone"]), "left_anti")
+    return kept.drop("_row").dropDuplicates(["doc_id", "text"]) if repeats else kept

@@ -117,3 +117,13 @@ def test_one_of_each_group_stays(documents):
     kept = jaccard.keep_one(docs)
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 5, 6] and kept.columns == docs.columns
     assert jaccard.jaccard_groups(documents([])).count() == 0
+
+
+def test_null_and_repeated_ids_take_no_other_text_along(documents):
+    near = [" ".join(f"w{i}" for i in range(60)) + end for end in ("", " x", " y")]
+    other = [" ".join(f"{c}{i}" for i in range(30)) for c in "abc"]
+    rows = [(1, near[0]), (None, near[1]), (7, near[2]), (None, other[0]), (7, other[1])]  # the first of three near copies stays
+    rows += [(None, t.replace("w", "v")) for t in near] + [(9, t.replace("w", "u")) for t in near] + [(None, None), (None, other[2]), (None, other[2])]
+    kept = [(r["doc_id"], r["text"]) for r in jaccard.keep_one(documents(rows)).collect()]
+    assert {(1, near[0]), (None, other[0]), (7, other[1]), (None, None), (None, other[2])} < set(kept)
+    assert len(kept) == 7 and sum(t is not None and t[0] == "v" for _, t in kept) == 1 == sum(t is not None and t[0] == "u" for _, t in kept)
