@@ -29,6 +29,17 @@ def lp_distance(a: Column, b: Column, p: float) -> Column:
     return F.pow(distance(a, b), F.lit(float(p)))
 
 
+def unrolled(features: Sequence[Column], centers: Sequence[Point]) -> list[Column]:
+    """The distance to each center in plain arithmetic over single numbers, which is compiled with its stage."""
+    each = []
+    for c in centers:
+        total = F.lit(0.0)
+        for x, v in zip(features, c, strict=True):
+            total = total + (x - F.lit(float(v))) * (x - F.lit(float(v)))
+        each.append(F.sqrt(total))
+    return each
+
+
 def nearest(features: Column, centers: Sequence[Point]) -> Column:
     """struct(d, c): distance to and index of the nearest center; of equals the lowest index. Map-only."""
     table = F.array(*[F.struct(F.lit(i).alias("i"), vector(c).alias("f")) for i, c in enumerate(centers)])

@@ -6,26 +6,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from robustclust.functions.distance import Point
-from robustclust.functions.ranks import range_number
+from robustclust.functions.ranks import range_cuts, range_number, row_numbers
 from robustclust.operators.joins import assign
 
-#: outliers up to which the farthest rows are found by a bounded heap; more are found by a global rank
-HEAP_ROWS = 1_000_000
+#: outliers up to which the farthest rows are found by bounded heaps; more are found by a global rank
+HEAP_ROWS = 100_000
 
 
 def _weight(df: DataFrame) -> Column:
     return F.coalesce("weight", F.lit(1.0)) if "weight" in df.columns else F.lit(1.0)
 
 
+def raised(p) -> Column:
+    """The distance to a power, or what a cost function makes of it."""
+    return p(F.col("dist")) if callable(p) else F.pow("dist", F.lit(float(p)))
+
+
 def farthest_rows(assigned: DataFrame, z: int, by: str = "dist") -> DataFrame:
-    """The z rows of greatest ``by`` (ties: lowest id): a bounded top-z, not a global sort."""
-    return assigned.orderBy(F.col(by).desc(), "id").limit(int(z))
+    """The z rows of greatest ``by`` (ties: lowest id): a bounded top-z or, for many, those of the first z ranks."""
+    if z <= HEAP_ROWS:
+        return assigned.orderBy(F.col(by).desc(), "id").limit(int(z))
+    return row_numbers(assigned, by, ["id"], "_rank", descending=True).where(F.col("_rank") <= int(z)).drop("_rank")
 
 
 def point_costs(points: DataFrame, centers: list[Point], p: float = 2, limit: float | None = None) -> DataFrame:
     """id, cost of every point: its distance to the power p, at most ``limit``, times its weight where no limit is set."""
     near = assign(points, centers)
-    power = F.pow("dist", F.lit(float(p)))
+    power = raised(p)
     value = power * _weight(points) if limit is None else _weight(points) * F.least(power, F.lit(float(limit)))
     return near.select("id", value.alias("cost"))
 
@@ -52,7 +59,7 @@ def median_cost(points: DataFrame, centers: list[Point], z: int = 0, limit: floa
 
 def cost_without(points: DataFrame, centers: list[Point], removed: int, p: float = 2) -> DataFrame:
     """cost after the ``removed`` farthest rows by plain distance are gone."""
-    near = assign(points, centers).withColumn("cost", F.pow("dist", F.lit(float(p))) * _weight(points))
+    near = assign(points, centers).withColumn("cost", raised(p) * _weight(points))
     total = near.agg(F.coalesce(F.sum("cost"), F.lit(0.0)).alias("cost"))
     if not removed:
         return total
@@ -95,7 +102,14 @@ def median_update(assigned: DataFrame) -> DataFrame:
     """
     rows = assigned.where(~F.col("is_outlier")) if "is_outlier" in assigned.columns else assigned
     parts = rows.select("center", _weight(rows).alias("_w"), F.posexplode("features").alias("pos", "v"))
-    ranged = parts.withColumn("_range", range_number(parts, "v"))
+    cuts = range_cuts(parts, "v")
+    if not cuts:  # so few rows that a window may hold a cluster's
+        order = Window.partitionBy("center", "pos")
+        mass = parts.groupBy("center", "pos", "v").agg(F.sum("_w").alias("w"))
+        cum = F.sum("w").over(order.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+        ranked = mass.select("center", "pos", "v", cum.alias("cum"), F.sum("w").over(order).alias("total"))
+        return ranked.where(2 * F.col("cum") >= F.col("total")).groupBy("center", "pos").agg(F.min("v").alias("value"))
+    ranged = parts.withColumn("_range", range_number(cuts, "v"))
     by = Window.partitionBy("center", "pos")
     sums = ranged.groupBy("center", "pos", "_range").agg(F.sum("_w").alias("w"))  # some numbers a cluster and coordinate
     cum = F.sum("w").over(by.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0))

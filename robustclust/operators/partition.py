@@ -13,7 +13,7 @@ def evenly(points: DataFrame, m: int, seed: int | None = None) -> DataFrame:
     n = points.count()
     size = max(1, n // m)
     keyed = points.withColumn("_key", F.col("id").cast("double") if seed is None else hash_uniform(seed, "id"))
-    ranked = row_numbers(keyed, "_key", ["id"], "_rank")
+    ranked = row_numbers(keyed, "_key", ["id"], "_rank", rows=n)
     site = F.least(F.floor((F.col("_rank") - 1) / size), F.lit(m - 1)).cast("int")
     return ranked.withColumn("machine_id", site).drop("_key", "_rank")
 
@@ -28,9 +28,10 @@ def cut_points(n: int, m: int, seed: int) -> list[int]:
 
 def arbitrarily(points: DataFrame, m: int, seed: int = 0) -> DataFrame:
     """Adds machine_id: hash order cut at random places."""
-    cuts = cut_points(points.count(), m, seed)
+    n = points.count()
+    cuts = cut_points(n, m, seed)
     keyed = points.withColumn("_key", hash_uniform(seed, "id"))
-    ranked = row_numbers(keyed, "_key", ["id"], "_rank")
+    ranked = row_numbers(keyed, "_key", ["id"], "_rank", rows=n)
     site = sum(((F.col("_rank") > c).cast("int") for c in cuts), F.lit(0))
     return ranked.withColumn("machine_id", site.cast("int")).drop("_key", "_rank")
 
