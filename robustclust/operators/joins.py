@@ -7,14 +7,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from robustclust.functions.distance import Point, distance, lp_distance, nearest, squared_distance
+from robustclust.functions.distance import Point, distance, lp_distance, squared_distance, unrolled
 from robustclust.functions.ranks import hash_uniform
 from robustclust.operators import kernels
 
 #: numbers in the literal center table up to which assignment stays inside the JVM
-LITERAL_NUMBERS = 4096
+LITERAL_NUMBERS = 128
 #: rows of the smaller side that may be broadcast
 BROADCAST_ROWS = 50_000
+#: queries, and points, of a block that tasks compare
+QUERIES_A_BLOCK, POINTS_A_BLOCK = 20_000, 200_000
 
 
 def centers_of(points: DataFrame, ids: list[int]) -> list[list[float]]:
@@ -24,11 +26,19 @@ def centers_of(points: DataFrame, ids: list[int]) -> list[list[float]]:
 
 
 def assign(points: DataFrame, centers: list[Point]) -> DataFrame:
-    """Adds center (index of the nearest, of equals the lowest) and dist. No shuffle."""
-    if sum(map(len, centers)) <= LITERAL_NUMBERS:
-        near = points.withColumn("_near", nearest(F.col("features"), centers))
-        return near.withColumn("center", F.col("_near.c")).withColumn("dist", F.col("_near.d")).drop("_near")
+    """Adds center (index of the nearest, of equals the lowest) and dist. No shuffle.
+
+    A small table of centers is plain arithmetic inside the compiled stage; a larger one is NumPy, block by block.
+    """
+    if centers and sum(map(len, centers)) <= LITERAL_NUMBERS:
+        taken, names = set(points.columns), [f"_x{j}" for j in range(len(centers[0]))]
+        if taken.isdisjoint([*names, "_d", "_least"]):
+            wide = points.select("*", *[F.col("features")[j].alias(n) for j, n in enumerate(names)])
+            each = wide.withColumn("_d", F.array(*unrolled([F.col(n) for n in names], centers)))
+            least = each.withColumn("dist", F.array_min("_d"))
+            return least.withColumn("center", (F.array_position("_d", F.col("dist")) - 1).cast("int")).select(*[c for c in points.columns if c not in ("center", "dist")], "center", "dist")
     table = points.sparkSession.sparkContext.broadcast(np.array(centers, float))
+    kept = [n for n in points.columns if n not in ("center", "dist")]
 
     def run(frames):
         for frame in frames:
@@ -37,8 +47,8 @@ def assign(points: DataFrame, centers: list[Point]) -> DataFrame:
                 frame["center"], frame["dist"] = at.astype("int32"), d
                 yield frame
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in points.dtypes) + ", center int, dist double"
-    return points.mapInPandas(run, schema)
+    kinds = dict(points.dtypes)
+    return points.select(*kept).mapInPandas(run, ", ".join(f"`{n}` {kinds[n]}" for n in kept) + ", center int, dist double")
 
 
 def pairs(points: DataFrame, queries: DataFrame, kind: str = "l2", p: float = 1.0) -> DataFrame:
@@ -62,16 +72,15 @@ def near_pairs(points: DataFrame, queries: DataFrame, radius: float, block: int
     for b in range(max(1, blocks)):
         part = rows if blocks <= 1 else rows.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
         got = part.collect()
-        table = points.sparkSession.sparkContext.broadcast((np.array([r["id"] for r in got], np.int64), np.array([r["features"] for r in got], float)))
+        table = points.sparkSession.sparkContext.broadcast((np.array([r["id"] for r in got], np.int64), kernels.BallIndex(np.array([r["features"] for r in got], float))))
 
         def run(frames, table=table):
             ids, q = table.value
             for frame in frames:
                 for lo in range(0, len(frame), block):
                     x = np.stack(frame["features"].iloc[lo : lo + block])
-                    d = kernels.distances(x, q)
-                    at, to = np.nonzero(d <= radius)
-                    yield pd.DataFrame({"query_id": ids[to], "id": frame["id"].to_numpy()[lo : lo + block][at], "dist": d[at, to]})
+                    at, to, d = q.within(x, radius)
+                    yield pd.DataFrame({"query_id": ids[to], "id": frame["id"].to_numpy()[lo : lo + block][at], "dist": d})
 
         found = points.select("id", "features").mapInPandas(run, "query_id long, id long, dist double") if len(got) else points.sparkSession.createDataFrame([], "query_id long, id long, dist double")
         out = found if out is None else out.unionByName(found)
@@ -83,29 +92,90 @@ def ball(points: DataFrame, queries: DataFrame, radius: float) -> DataFrame:
     return near_pairs(points, queries, radius)
 
 
+def ball_masses(points: DataFrame, queries: DataFrame, radius: float, block: int = 2048) -> DataFrame:
+    """query_id, members, mass of the closed balls that aren't empty; ``_w`` of the points is their weight.
+
+    Queries are dealt to the executors in blocks, which meet the blocks of points there: every pair of blocks is a task's
+    work, which sends a count and a mass a query.
+    """
+    rows, many = queries.select("id", "features"), queries.count()
+    deals = max(1, -(-many // QUERIES_A_BLOCK))
+    dealt = rows.select(F.pmod(F.xxhash64("id"), F.lit(deals)).cast("int").alias("deal"), "id", "features")
+    packed = dealt.groupBy("deal").agg(F.collect_list("id").alias("ids"), F.collect_list("features").alias("at"))
+
+    if deals == 1:
+        got = packed.collect()
+        table = points.sparkSession.sparkContext.broadcast([(np.array(r["ids"], np.int64), kernels.BallIndex(np.array(r["at"], float))) for r in got])
+        blocks, schema = points.select("features", "_w"), "query_id long, members long, mass double"
+
+        def run(frames):
+            for ids, q in table.value:
+                count, mass = np.zeros(len(ids), np.int64), np.zeros(len(ids))
+                for frame in frames:
+                    for lo in range(0, len(frame), block):
+                        part = frame.iloc[lo : lo + block]
+                        _count(np.stack(part["features"]), part["_w"].to_numpy(), q, radius, count, mass)
+                some = count > 0
+                yield pd.DataFrame({"query_id": ids[some], "members": count[some], "mass": mass[some]})
+
+        found = blocks.mapInPandas(run, schema)
+    else:
+        paired = points.select("features", "_w").withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))))
+
+        def meet(key, left, right):
+            ids, q = np.array(right["ids"].iloc[0], np.int64), kernels.BallIndex(np.stack(right["at"].iloc[0]))
+            count, mass = np.zeros(len(ids), np.int64), np.zeros(len(ids))
+            for lo in range(0, len(left), block):
+                part = left.iloc[lo : lo + block]
+                _count(np.stack(part["features"]), part["_w"].to_numpy(), q, radius, count, mass)
+            some = count > 0
+            return pd.DataFrame({"query_id": ids[some], "members": count[some], "mass": mass[some]})
+
+        salts = max(1, -(-points.count() // POINTS_A_BLOCK))
+        paired = paired.withColumn("salt", F.pmod(F.xxhash64("features"), F.lit(salts)).cast("int"))
+        spread = packed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        found = paired.groupBy("deal", "salt").cogroup(spread.groupBy("deal", "salt")).applyInPandas(meet, "query_id long, members long, mass double")
+    return found.groupBy("query_id").agg(F.sum("members").alias("members"), F.sum("mass").alias("mass"))
+
+
+def _count(x: np.ndarray, w: np.ndarray, q: kernels.BallIndex, radius: float, count: np.ndarray, mass: np.ndarray) -> None:
+    at, to, _ = q.within(x, radius)
+    count += np.bincount(to, minlength=len(count))
+    mass += np.bincount(to, w[at], minlength=len(count))
+
+
 def ball_counts(points: DataFrame, queries: DataFrame, radius: float) -> DataFrame:
-    return near_pairs(points, queries, radius).groupBy("query_id").agg(F.count("*").alias("members"))
+    return ball_masses(points.withColumn("_w", F.lit(1.0)), queries, radius).select("query_id", "members")
 
 
 def knn(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, rank, id, dist: the k nearest points of each query; per-batch candidates, then their k best."""
-    got = queries.select("id", "features").collect() if queries.count() <= BROADCAST_ROWS else None
-    if got is None:
-        raise ValueError(f"at most {BROADCAST_ROWS} queries at a time")
-    table = points.sparkSession.sparkContext.broadcast((np.array([r["id"] for r in got], np.int64), np.array([r["features"] for r in got], float)))
+    n = queries.count()
+    deals = max(1, -(-n // BROADCAST_ROWS))
+    found = None
+    for b in range(deals):  # blocks of queries, each a job's broadcast
+        part = queries if deals == 1 else queries.where(F.pmod(F.xxhash64("id"), F.lit(deals)) == b)
+        got = part.select("id", "features").collect()
+        table = points.sparkSession.sparkContext.broadcast((np.array([r["id"] for r in got], np.int64), np.array([r["features"] for r in got], float)))
 
-    def run(frames):
-        ids, q = table.value
-        for frame in frames:
-            if not len(frame):
-                continue
-            own = frame["id"].to_numpy()
-            order = np.argsort(own, kind="stable")
-            d = kernels.distances(q, np.stack(frame["features"])[order])
-            best = np.argsort(d, axis=1, kind="stable")[:, :k]
-            yield pd.DataFrame({"query_id": np.repeat(ids, best.shape[1]), "id": own[order][best].ravel(), "dist": np.take_along_axis(d, best, axis=1).ravel()})
-
-    found = points.select("id", "features").mapInPandas(run, "query_id long, id long, dist double")
+        def run(frames, table=table):
+            ids, q = table.value
+            held = None  # a task's k best so far, so that it sends k rows a query however many batches it has
+            for frame in frames:
+                if not len(frame) or not len(q):
+                    continue
+                own = frame["id"].to_numpy()
+                d = kernels.distances(q, np.stack(frame["features"]))
+                every = np.broadcast_to(own, d.shape)
+                if held is not None:
+                    every, d = np.concatenate([held[0], every], axis=1), np.concatenate([held[1], d], axis=1)
+                best = np.lexsort((every, d), axis=1)[:, :k]
+                held = np.take_along_axis(every, best, axis=1), np.take_along_axis(d, best, axis=1)
+            if held is not None:
+                yield pd.DataFrame({"query_id": np.repeat(ids, held[0].shape[1]), "id": held[0].ravel(), "dist": held[1].ravel()})
+
+        some = points.select("id", "features").mapInPandas(run, "query_id long, id long, dist double")
+        found = some if found is None else found.unionByName(some)
     best = F.slice(F.array_sort(F.collect_list(F.struct("dist", "id"))), 1, k)
     top = found.groupBy("query_id").agg(best.alias("best"))
     return top.select("query_id", F.posexplode("best").alias("rank", "b")).select("query_id", (F.col("rank") + 1).cast("long").alias("rank"), "b.id", "b.dist")
@@ -148,7 +218,7 @@ def densest_ball(points: DataFrame, radius: float, removed: DataFrame | None = N
     weight = F.coalesce("weight", F.lit(1.0)) if "weight" in points.columns else F.lit(1.0)
     left = left.withColumn("_w", weight)
     around = left if facilities is None else left.join(facilities.select("id"), "id", "left_semi")
-    held = near_pairs(left, around, radius).join(left.select("id", "_w"), "id").groupBy("query_id").agg(F.sum("_w").alias("mass")).withColumnRenamed("query_id", "id")
+    held = ball_masses(left, around, radius).select(F.col("query_id").alias("id"), "mass")
     if least is not None:
         total = left.agg(F.sum("_w").alias("t")).first()["t"] or 0
         enough = (F.col("mass") >= min(total, least)).cast("int")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from hashlib import md5
 from itertools import combinations
 
 import numpy as np
@@ -21,6 +22,49 @@ def distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return out
 
 
+class BallIndex:
+    """Rows in order of their widest coordinate: within a radius lie only rows of a slice of it."""
+
+    def __init__(self, q: np.ndarray):
+        self.axis = int(q.var(axis=0).argmax()) if q.size else 0
+        self.order = np.argsort(q[:, self.axis], kind="stable") if q.size else np.zeros(0, np.int64)
+        self.rows = q[self.order]
+        self.line = self.rows[:, self.axis] if q.size else np.zeros(0)
+
+    def within(self, x: np.ndarray, radius: float, block: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row of x, indexed row, distance) of the pairs within the radius (inclusive)."""
+        parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if len(self.rows) and len(x):
+            turn = np.argsort(x[:, self.axis], kind="stable")
+            reach = radius + 1e-9 * (1 + abs(radius))
+            for lo in range(0, len(x), block):
+                rows = turn[lo : lo + block]
+                a = np.searchsorted(self.line, x[rows[0], self.axis] - reach, "left")
+                b = np.searchsorted(self.line, x[rows[-1], self.axis] + reach, "right")
+                if a < b:
+                    at, to, d = within(x[rows], self.rows[a:b], radius)
+                    parts.append((rows[at], self.order[to + a], d))
+        return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
+
+
+def within(x: np.ndarray, q: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, row of q, distance) of the pairs within a radius: a matrix product finds them, exact distances decide."""
+    squares = (x * x).sum(axis=1)[:, None] + (q * q).sum(axis=1)[None]
+    slack = 1e-9 * (squares.max(initial=0.0) + 1)
+    at, to = np.nonzero(squares - 2 * (x @ q.T) <= radius * radius + slack)
+    d = np.empty(len(at))
+    step = max(1, (4 << 20) // max(1, x.shape[1]))
+    for lo in range(0, len(at), step):
+        d[lo : lo + step] = np.sqrt(((x[at[lo : lo + step]] - q[to[lo : lo + step]]) ** 2).sum(axis=1))
+    inside = d <= radius
+    return at[inside], to[inside], d[inside]
+
+
+def hash_uniform(*parts) -> float:
+    """The number in [0, 1) that the column of the same name makes from these parts."""
+    return int(md5(":".join(map(str, parts)).encode()).hexdigest()[:8], 16) / 4294967296.0
+
+
 def nearest(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     d = distances(x, c)
     at = d.argmin(axis=1)
@@ -48,25 +92,51 @@ class Cover:
     centers: np.ndarray
     weights: np.ndarray
     covered: float
+    #: rows of the centers
+    picks: np.ndarray | None = None
+
+
+class DenseBalls:
+    """The weight of every row's ball, kept up to date as rows go: only what went is subtracted."""
+
+    def __init__(self, inside: np.ndarray, weight: np.ndarray):
+        self.inside, self.weight = inside, weight.astype(float)
+        self.alive = np.ones(len(weight), bool)
+        self.mass = inside @ self.weight
+        #: rows whose balls the last removal changed
+        self.changed = np.zeros(len(weight), bool)
+
+    def heaviest(self) -> int:
+        """The row left with the heaviest ball; of balls equal but for rounding the first."""
+        mass = np.where(self.alive, self.mass, -np.inf)
+        return int(np.argmax(mass >= mass.max() - 1e-9 * max(1.0, abs(mass.max()))))
+
+    def remove(self, gone: np.ndarray) -> None:
+        columns = self.inside[:, gone]
+        self.changed = columns.any(axis=1)
+        self.mass = self.mass - columns @ self.weight[gone]
+        self.alive = self.alive & ~gone
+
+
+def raised(d, p):
+    """Distances to a power, or what a cost function makes of them; works on arrays and on columns."""
+    return p(d) if callable(p) else d**p
 
 
 def cover(x: np.ndarray, weight: np.ndarray, k: int, r: float, dense: float = 2, remove: float = 4, pairs: np.ndarray | None = None) -> Cover:
     """k rounds: the heaviest ball of radius dense * r among what is left, then the ball of remove * r goes."""
     d = distances(x, x) if pairs is None else pairs
-    left = weight.astype(float).copy()
-    alive = np.ones(len(x), bool)
+    balls = DenseBalls(d <= dense * r, weight)
     centers, weights = [], []
-    inside = d <= dense * r
     for _ in range(k):
-        if not alive.any():
+        if not balls.alive.any():
             break
-        mass = np.where(alive, inside @ left, -np.inf)
-        p = int(mass.argmax())
-        gone = alive & (d[p] <= remove * r)
+        p = balls.heaviest()
+        gone = balls.alive & (d[p] <= remove * r)
         centers.append(p)
-        weights.append(left[gone].sum())
-        left[gone], alive[gone] = 0, False
-    return Cover(x[centers], np.array(weights), float(np.sum(weights)))
+        weights.append(weight[gone].sum())
+        balls.remove(gone)
+    return Cover(x[centers], np.array(weights), float(np.sum(weights)), np.array(centers, int))
 
 
 def radius_bounds(x: np.ndarray, weight: np.ndarray, seed: int = 0, tries: int = 10) -> tuple[float, float]:
@@ -166,7 +236,8 @@ def covering(x: np.ndarray, weight: np.ndarray, r: float, k: int, z: float, m: i
         centers.append(picks[p])
         weights.append(weight[gone].sum())
         alive[gone] = False
-    return Cover(x[np.array(centers, int)].reshape(len(centers), x.shape[1]), np.array(weights), float(np.sum(weights)))
+    picked = np.array(centers, int)
+    return Cover(x[picked].reshape(len(centers), x.shape[1]), np.array(weights), float(np.sum(weights)), picked)
 
 
 # ---- Lloyd iterations --------------------------------------------------------------------------------------------
@@ -240,8 +311,8 @@ def lp_cost(x, c, p: float, weight=None, z: int = 0, limit: float | None = None)
     _, d = nearest(x, c)
     w = ones(x, weight)
     if limit is not None:
-        return float((w * np.minimum(d**p, limit)).sum() - z * limit)
-    return float(np.sort(w * d**p)[: len(d) - int(z)].sum())
+        return float((w * np.minimum(raised(d, p), limit)).sum() - z * limit)
+    return float(np.sort(w * raised(d, p))[: len(d) - int(z)].sum())
 
 
 # ---- facility location -------------------------------------------------------------------------------------------
@@ -293,8 +364,7 @@ def reverse_greedy(costs: np.ndarray | Choices, weights: np.ndarray, site: np.nd
     order, least = choices.order.copy(), choices.costs.copy()
     first, second = order[:, 0].copy(), order[:, 1].copy()
     rise = weights * (least[:, 1] - least[:, 0])
-    table = np.zeros((sets, n))
-    np.add.at(table, (site, first), rise)
+    table = closing_costs(first, rise, site, sets, n)
     closable = (table <= bound / 2).all(axis=0)
     firsts: list[set] = [set() for _ in range(n)]
     seconds: list[set] = [set() for _ in range(n)]
@@ -339,6 +409,18 @@ def reverse_greedy(costs: np.ndarray | Choices, weights: np.ndarray, site: np.nd
     return np.flatnonzero(open_)
 
 
+def minmax_value(clients: list[np.ndarray], weights: list[np.ndarray], limits: list[float], centers: np.ndarray, z: float, p: float) -> float:
+    """The greatest of the client sets' costs: sum w * min(d^p, L) - z * L."""
+    return max(lp_cost(x, centers, p, w, z, limit) for x, w, limit in zip(clients, weights, limits, strict=True))
+
+
+def closing_costs(first: np.ndarray, rise: np.ndarray, site: np.ndarray, sets: int, n: int) -> np.ndarray:
+    """sets by facilities: what each set pays if a facility closes and its clients go to their second choice."""
+    table = np.zeros((sets, n))
+    np.add.at(table, (site, first), rise)
+    return table
+
+
 def minmax_facilities(clients: list[np.ndarray], weights: list[np.ndarray], limits: list[float], facilities: np.ndarray, k: int, z: float, p: float) -> tuple[np.ndarray, float]:
     """(facility indices, value): least maximum over client sets of sum w * min(d^p, L) - z * L."""
     sizes = [len(x) for x in clients]
@@ -346,7 +428,7 @@ def minmax_facilities(clients: list[np.ndarray], weights: list[np.ndarray], limi
     x, caps, every = np.concatenate(clients), np.repeat(np.array(limits, float), sizes), np.arange(len(facilities))
 
     def capped(rows, columns) -> np.ndarray:
-        return np.minimum(distances(x[rows], facilities[columns]) ** p, caps[rows, None])
+        return np.minimum(raised(distances(x[rows], facilities[columns]), p), caps[rows, None])
 
     nudge = 1e-12 * (1 + max(float(capped(rows, every).max()) for rows in slices(len(x), len(every))))  # ties go to the lower facility
     choices = Choices(lambda rows, columns: capped(rows, columns) + columns * nudge, len(x), len(every))
@@ -355,8 +437,7 @@ def minmax_facilities(clients: list[np.ndarray], weights: list[np.ndarray], limi
     low, high = max(4 * min(mass), 1e-9), max(8 * max(mass), 2e-9)
 
     def value(open_: np.ndarray) -> float:
-        d = np.minimum(distances(x, facilities[open_]).min(axis=1) ** p, caps)
-        return float((np.bincount(site, w * d, len(clients)) - z * np.array(limits, float)).max())
+        return minmax_value(clients, weights, limits, facilities[open_], z, p)
 
     best: tuple[np.ndarray, float] | None = None
     while high / low > 1.01:
@@ -382,14 +463,14 @@ def outlier_summary(x: np.ndarray, ids: np.ndarray, k: int, z: float, alpha: flo
     """(ids, weights, rounds): peel off what lies within the beta-quantile distance of a sample until 8 z rows are left.
 
     Augmented: more of the covered rows join the sample and all covered rows are counted anew; the rest keeps weight 1.
+    Draws are hashes of seed, round and number. ``ids`` ascend.
     """
-    rng = np.random.default_rng(seed)
     left = np.arange(len(x))
     picks, weights, rounds, no = [], [], [], 0
     covered = []
     while len(left) > 8 * z and len(left):
         size = int(alpha * max(np.log(len(left)), k))
-        s = np.unique(rng.integers(0, len(left), max(1, size)))
+        s = np.unique([int(hash_uniform(seed, no, j) * len(left)) for j in range(1, max(1, size) + 1)])
         owner, d = nearest(x[left], x[left[s]])
         radius = np.sort(d)[int(np.ceil((len(left) - 1) * beta))]
         near = d <= radius
@@ -403,7 +484,8 @@ def outlier_summary(x: np.ndarray, ids: np.ndarray, k: int, z: float, alpha: flo
         left, no = left[~gone], no + 1
     if augmented and picks and len(left) > len(picks):
         rest = np.setdiff1d(np.array(covered), np.array(picks))
-        more = rng.choice(rest, min(len(rest), len(left) - len(picks)), replace=False) if len(rest) else rest
+        chance = sorted((hash_uniform(seed, "more", ids[r]), ids[r], r) for r in rest.tolist())
+        more = np.array(sorted(r for _, _, r in chance[: len(left) - len(picks)]), int)
         picks += more.tolist()
         rounds += [no] * len(more)
         owner, _ = nearest(x[np.array(covered)], x[np.array(picks)])
