@@ -7,7 +7,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from robustclust.functions.ranks import hash_uniform
 from robustclust.sources.points import weighted
 
 
@@ -89,27 +88,6 @@ def capped_costs(costs: DataFrame, limits: list[float]) -> DataFrame:
     return costs.select(*keep, "cost", F.explode(table).alias("g")).select(F.col("g.guess_id").alias("guess_id"), *keep, F.least("cost", F.col("g.limit")).alias("cost"))
 
 
-def summary_round(points: DataFrame, k: int, alpha: float, beta: float, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(samples with id and weight, rows left over) of one round: the draws' distinct rows, and what lies beyond the
-    beta-quantile (an exact rank) of the distances to them."""
-    from robustclust.functions.ranks import row_numbers
-    from robustclust.operators.joins import assign
-
-    n = points.count()
-    size = int(alpha * max(np.log(max(n, 1)), k))
-    ranked = row_numbers(points, "id", [], "rank")
-    slots = points.sparkSession.range(1, size + 1).withColumnRenamed("id", "draw").withColumn("rank", F.floor(hash_uniform(seed, "draw") * n) + 1)
-    drawn = ranked.join(F.broadcast(slots), "rank").select("id", "features").dropDuplicates(["id"])
-    chosen = sorted((r["id"], list(r["features"])) for r in drawn.collect())  # alpha * max(ln n, k) rows
-    near = assign(points, [c for _, c in chosen])
-    target = int(np.ceil((n - 1) * beta)) + 1
-    radius = row_numbers(near, "dist", ["id"], "rank").where(F.col("rank") == target).select("dist").first()["dist"]
-    ids = F.array(*[F.lit(i) for i, _ in chosen])
-    counted = near.where(F.col("dist") <= radius).groupBy(ids[F.col("center")].alias("id")).agg(F.count("*").cast("double").alias("weight"))
-    every = points.sparkSession.createDataFrame([(i,) for i, _ in chosen], "id long")
-    return every.join(counted, "id", "left").select("id", F.coalesce("weight", F.lit(1.0)).alias("weight")), near.where(F.col("dist") > radius)
-
-
 def summarize_sites(points: DataFrame, k: int, z: int, m: int, alpha: float = 2, beta: float = 0.45, augmented: bool = False, adversary: bool = False, seed: int = 0) -> DataFrame:
     """machine_id, id, features, weight, round: an outlier summary of every site with its share of the outliers."""
     from robustclust.operators import kernels
@@ -144,3 +122,18 @@ def first_two(points: DataFrame, facilities: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"client": frame["id"], "first": ids[two[:, 0]], "second": ids[two[:, 1]], "d1": near[:, 0], "d2": near[:, 1]})
 
     return points.select("id", "features").mapInPandas(run, "client long, first long, second long, d1 double, d2 double")
+
+
+def closing_costs(two: DataFrame) -> DataFrame:
+    """facility, increase: what closing each facility that is some client's first choice costs, from ``first_two``."""
+    from robustclust.operators import kernels
+
+    def run(frames):
+        for frame in frames:
+            if len(frame):
+                ids, at = np.unique(frame["first"].to_numpy(), return_inverse=True)
+                table = kernels.closing_costs(at, (frame["d2"] - frame["d1"]).to_numpy(), np.zeros(len(frame), int), 1, len(ids))
+                yield pd.DataFrame({"facility": ids, "increase": table[0]})
+
+    parts = two.select("first", "d1", "d2").mapInPandas(run, "facility long, increase double")
+    return parts.groupBy("facility").agg(F.sum("increase").alias("increase"))

@@ -183,6 +183,10 @@ class DistributedKZLp(_Base):
     """
 
     p: float = 2
+    #: what a distance costs, on arrays and on columns (``lambda d: d * d``); the power p where none is given
+    cost_func: Callable | None = None
+    #: (points, weights, k, z, seed) -> centers at the coordinator, instead of the min-max location or the local method
+    central_solver: Callable | None = None
     n_pre_clusters: int = 2
     coreset_ratio: float = 10
     pre_clustering: Local = local_means
@@ -203,7 +207,9 @@ class DistributedKZLp(_Base):
 
     def _limits(self, points: DataFrame) -> list[float | None]:
         high = self.radius_high or joins.diameter_over_sites(points, joins.base_points(points, 2, self.seed)).first()["upper"]
-        return coresets.radius_grid(self.radius_low, high, self.epsilon, self.p)
+        if self.cost_func is None:
+            return coresets.radius_grid(self.radius_low, high, self.epsilon, self.p)
+        return [float(self.cost_func(r)) for r in coresets.radius_grid(self.radius_low, high, self.epsilon, 1)]
 
     def coreset_size(self, n: int, d: int, guesses: int) -> int:
         k = self.n_clusters
@@ -211,14 +217,14 @@ class DistributedKZLp(_Base):
 
     def _pre_cluster(self, points: DataFrame, m: int) -> tuple[DataFrame, DataFrame]:
         """(machine_id, id, features, center, cost; machine_id, center, features) from one clustering of each site."""
-        k, z, p, seed, local = self.n_pre_clusters, self.n_outliers // m, self.p, self.seed, self.pre_clustering
+        k, z, p, seed, local = self.n_pre_clusters, self.n_outliers // m, self.cost_func or self.p, self.seed, self.pre_clustering
 
         def run(site: pd.DataFrame) -> pd.DataFrame:
             site = site.sort_values("id")
             x, no = np.stack(site["features"]), int(site["machine_id"].iloc[0])
             c = local(x, k, z, seed + no)
             owner, d = kernels.nearest(x, c)
-            rows = {"machine_id": no, "id": site["id"].to_numpy(), "features": list(x), "center": owner.astype(np.int32), "cost": d**p, "is_center": False}
+            rows = {"machine_id": no, "id": site["id"].to_numpy(), "features": list(x), "center": owner.astype(np.int32), "cost": kernels.raised(d, p), "is_center": False}
             heads = {"machine_id": no, "id": -1 - np.arange(len(c)), "features": list(c), "center": np.arange(len(c), dtype=np.int32), "cost": 0.0, "is_center": True}
             return pd.concat([pd.DataFrame(rows), pd.DataFrame(heads)])
 
@@ -239,13 +245,17 @@ class DistributedKZLp(_Base):
         return out
 
     def _solve(self, sets, limits) -> None:
+        if self.central_solver:  # on all coresets together: each guess's weights count an equal share
+            x, w = np.concatenate([x for x, _, _ in sets]), np.concatenate([w for _, w, _ in sets]) / len(sets)
+            self.centers = np.asarray(self.central_solver(x, w, self.n_clusters, self.n_outliers, self.seed), float)
+            return
         sampled = np.unique(np.concatenate([x[s] for x, _, s in sets]), axis=0)
-        open_, self.opt = kernels.minmax_facilities([x for x, _, _ in sets], [w for _, w, _ in sets], limits, sampled, self.n_clusters, (1 + self.epsilon) * self.n_outliers, self.p)
+        open_, self.opt = kernels.minmax_facilities([x for x, _, _ in sets], [w for _, w, _ in sets], limits, sampled, self.n_clusters, (1 + self.epsilon) * self.n_outliers, self.cost_func or self.p)
         self.centers = sampled[open_]
 
     def cost(self, points: DataFrame, remove_outliers: int | None = None) -> float:
         gone = self.n_outliers if remove_outliers is None else int(remove_outliers)
-        return costs.cost_without(points, self.cluster_centers.tolist(), gone, self.p).first()["cost"]
+        return costs.cost_without(points, self.cluster_centers.tolist(), gone, self.cost_func or self.p).first()["cost"]
 
 
 def DistributedKZMeans(**options) -> DistributedKZLp:
@@ -265,6 +275,9 @@ class DistributedLp(DistributedKZLp):
 
     def _solve(self, sets, limits) -> None:
         x, w, _ = sets[0]
+        if self.central_solver:
+            self.centers = np.asarray(self.central_solver(x, w, self.n_clusters, 0, self.seed), float)
+            return
         center = kernels.weighted_mean if self.p == 2 else kernels.weighted_median
         self.centers = kernels.lloyd(x, self.n_clusters, w, center=center, seed=self.seed)
 
@@ -286,6 +299,10 @@ class CAZDistributed(_Base):
     beta: float = 0.45
     augmented: bool = False
     adversary: bool = False
+    #: (points, weights, k, z, seed) -> centers at the coordinator, instead of the iterations without the z farthest rows
+    central_solver: Callable | None = None
+    #: what a distance costs; its square, or with ``median`` itself, where none is given
+    cost_func: Callable | None = None
 
     def fit(self, points: DataFrame) -> CAZDistributed:
         points, n, d, m = self._prepare(points)
@@ -294,13 +311,16 @@ class CAZDistributed(_Base):
             x, w = _arrays(rows)
             self.communication_cost = costs.communication(len(rows), d, len(rows))
             center = kernels.weighted_median if self.median else kernels.weighted_mean
-            self.centers = kernels.lloyd(x, self.n_clusters, w, self.n_outliers, center, "random", self.seed)
+            if self.central_solver:
+                self.centers = np.asarray(self.central_solver(x, w, self.n_clusters, self.n_outliers, self.seed), float)
+            else:
+                self.centers = kernels.lloyd(x, self.n_clusters, w, self.n_outliers, center, "random", self.seed)
         points.unpersist()
         return self
 
     def cost(self, points: DataFrame, remove_outliers: int | None = None) -> float:
         gone = self.n_outliers if remove_outliers is None else int(remove_outliers)
-        return costs.cost_without(points, self.cluster_centers.tolist(), gone, 1 if self.median else 2).first()["cost"]
+        return costs.cost_without(points, self.cluster_centers.tolist(), gone, self.cost_func or (1 if self.median else 2)).first()["cost"]
 
 
 def CAZDistributedKZMeans(**options) -> CAZDistributed:

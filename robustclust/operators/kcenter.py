@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from robustclust.functions.distance import distance, vector
@@ -48,19 +48,18 @@ def farthest_first_sites(points: DataFrame, k: int) -> DataFrame:
     return out.withColumn("dist", F.when(~F.isnan("dist"), F.col("dist")))
 
 
-def cover(points: DataFrame, k: int, r: float, dense: float = 2, remove: float = 4) -> DataFrame:
-    """pick, id, mass: k rounds of the densest ball (dense * r), after which the ball of remove * r goes."""
-    spark, left, out = points.sparkSession, weighted(points).cache(), []
-    for i in range(k):
-        best = joins.densest_ball(left, dense * r).collect()
-        if not best:
-            break
-        center = left.where(F.col("id") == best[0]["id"]).select("features").first()["features"]
-        d = distance(F.col("features"), vector(center))
-        mass = left.where(d <= remove * r).agg(F.sum("weight").alias("m")).first()["m"]
-        out.append((i, best[0]["id"], float(mass)))
-        left = left.where(d > remove * r)
-    return spark.createDataFrame(out, "pick int, id long, mass double")
+def cover_sites(points: DataFrame, k: int, r: float, dense: float = 2, remove: float = 4) -> DataFrame:
+    """machine_id, pick, id, mass: k rounds of the densest ball (dense * r) in every site, after which the ball of remove * r
+    goes. One task a site."""
+
+    def run(site: pd.DataFrame) -> pd.DataFrame:
+        site = site.sort_values("id")
+        found = kernels.cover(np.stack(site["features"]), site["weight"].to_numpy(), k, r, dense, remove)
+        n = len(found.picks)
+        return pd.DataFrame({"machine_id": [int(site["machine_id"].iloc[0])] * n, "pick": np.arange(n, dtype=np.int32), "id": site["id"].to_numpy()[found.picks], "mass": found.weights})
+
+    rows = weighted(points).select("machine_id", "id", "features", "weight")
+    return rows.groupBy("machine_id").applyInPandas(run, "machine_id int, pick int, id long, mass double")
 
 
 def covering(points: DataFrame, r: float, k: int, z: float, m: int, eps: float, facilities: int | None = None) -> DataFrame:
@@ -76,17 +75,6 @@ def covering(points: DataFrame, r: float, k: int, z: float, m: int, eps: float,
     return rows.groupBy("machine_id").applyInPandas(run, "machine_id int, center array<double>, mass double, balls int, covered double")
 
 
-def brute_pairs(points: DataFrame, z: int) -> DataFrame:
-    """a, b, radius of the best two centers among the points: exact over all pairs, for toy sets only."""
-    x = points.select("id", "features")
-    a, b = x.select(F.col("id").alias("a"), F.col("features").alias("fa")), x.select(F.col("id").alias("b"), F.col("features").alias("fb"))
-    sets = a.join(b, F.col("a") < F.col("b"))
-    d = F.least(distance(F.col("features"), F.col("fa")), distance(F.col("features"), F.col("fb")))
-    each = sets.crossJoin(x).select("a", "b", "id", d.alias("d"))
-    rank = F.row_number().over(Window.partitionBy("a", "b").orderBy(F.col("d").desc(), "id"))
-    return each.withColumn("r", rank).where(F.col("r") == z + 1).select("a", "b", F.col("d").alias("radius")).orderBy(F.round("radius", 9), "a", "b").limit(1)
-
-
 @dataclass
 class KZCenter:
     """Single-site solver. algorithm: greedy, charikar, charikar_grid, greedy_covering or brute.
@@ -108,6 +96,9 @@ class KZCenter:
     n_covered: float = 0
     n_iters: int = 0
     communication_cost: int = 0
+    #: ids of the centers that are rows, and the radius, where the algorithm gives them
+    center_ids: list[int] | None = None
+    radius: float | None = None
 
     def __post_init__(self):
         if self.algorithm not in ("greedy", "charikar", "charikar_grid", "greedy_covering", "brute"):
@@ -117,23 +108,24 @@ class KZCenter:
         rows = weighted(points).select("id", "features", "weight").orderBy("id").limit(self.site_rows + 1).toPandas()
         if len(rows) > self.site_rows:
             raise ValueError(f"a site has at most {self.site_rows} rows; split it first")
-        return self.fit_arrays(np.stack(rows["features"]), rows["weight"].to_numpy())
+        return self.fit_arrays(np.stack(rows["features"]), rows["weight"].to_numpy(), rows["id"].to_numpy())
 
-    def fit_arrays(self, x: np.ndarray, weight: np.ndarray | None = None) -> KZCenter:
+    def fit_arrays(self, x: np.ndarray, weight: np.ndarray | None = None, ids: np.ndarray | None = None) -> KZCenter:
+        ids = np.arange(len(x)) if ids is None else ids
         weight, k, z = kernels.ones(x, weight), self.n_clusters, self.n_outliers
         if self.algorithm == "greedy":
             order, _ = kernels.farthest_first(x, k, 0)
             owner, _ = kernels.nearest(x, x[order])
             self.cluster_centers, self.clusters_size = x[order], np.bincount(owner, minlength=len(order)).astype(float)
         elif self.algorithm == "brute":
-            chosen, _, sizes = kernels.brute_center(x, k, z, weight)
-            self.cluster_centers, self.clusters_size = x[chosen], sizes
+            chosen, self.radius, sizes = kernels.brute_center(x, k, z, weight)
+            self.cluster_centers, self.clusters_size, self.center_ids = x[chosen], sizes, ids[chosen].tolist()
         elif self.algorithm == "greedy_covering":
             r = self.guess if self.guess is not None else kernels.radius_bounds(x, weight, self.seed)[1] / 4
             found = kernels.covering(x, weight, r, k, z, self.n_machines, self.epsilon)
             self.cluster_centers, self.clusters_size = found.centers, found.weights
         else:
-            found, _ = kernels.charikar(x, k, z, weight, self.delta, guess=self.guess, grid=self.algorithm == "charikar_grid", seed=self.seed)
+            found, self.radius = kernels.charikar(x, k, z, weight, self.delta, guess=self.guess, grid=self.algorithm == "charikar_grid", seed=self.seed)
             self.cluster_centers, self.clusters_size = kernels.padded(found.centers, x, k), found.weights
         self.n_iters, self.n_covered = len(self.clusters_size), float(np.sum(self.clusters_size))
         return self

@@ -193,12 +193,12 @@ def _by(column: str):
     return Window.orderBy(column, "id")  # over the z drawn rows only
 
 
-def gaussian_mixture(spark: SparkSession, n: int, k: int, z: int, d: int, means: list[list[float]] | None = None, covariance: float | None = None, factor: float = 50, seed: int = 0) -> DataFrame:
-    """n points of an isotropic mixture with uneven hash-drawn cluster sizes; z of them are shifted far away."""
+def gaussian_mixture(spark: SparkSession, n: int, k: int, z: int, d: int, means: list[list[float]] | None = None, covariance: float | None = None, factor: float = 50, seed: int = 0, shares: list[float] | None = None) -> DataFrame:
+    """n points of an isotropic mixture with uneven drawn (or given) shares of its clusters; z of them are shifted far away."""
     rng = np.random.default_rng(seed)
     means = means if means is not None else (rng.normal(size=(k, d)) * factor / 5).tolist()
     spread = float(np.sqrt(covariance if covariance is not None else factor / 15))
-    cuts = np.sort(rng.random(k - 1)).tolist()
+    cuts = np.sort(rng.random(k - 1)).tolist() if shares is None else np.cumsum(shares)[:-1].tolist()
     u = hash_uniform(seed, "id")
     cluster = sum((u >= c).cast("int") for c in cuts) if cuts else F.lit(0)
     table = F.array(*[F.array(*[F.lit(float(v)) for v in m]) for m in means])
