@@ -5,10 +5,13 @@ Where a query names centers by id, those ids are its initial centers; assignment
 
 from __future__ import annotations
 
+from itertools import combinations
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from robustclust.operators import coresets, costs, estimators, joins, kcenter, lloyd, partition, sampling
+from robustclust.operators import coresets, costs, estimators, joins, kcenter, kernels, lloyd, partition, sampling
 from robustclust.plans import sql as q
 from robustclust.sources import points as src
 
@@ -457,18 +460,21 @@ def _cover_sql(k: int, dense: float, remove: float) -> str:
         parts.append(f"b{i} AS (SELECT a AS id FROM pd WHERE d <= {dense} AND {live} GROUP BY a ORDER BY count(*) DESC, a LIMIT 1)")
         parts.append(f"x{i} AS (SELECT b FROM pd WHERE a = (SELECT id FROM b{i}) AND d <= {remove} AND b IN (SELECT id FROM a{i}))")
         parts.append(f"a{i + 1} AS (SELECT id FROM a{i} WHERE id NOT IN (SELECT b FROM x{i}))")
-    rows = " UNION ALL ".join(f"SELECT CAST({i} AS INT) AS pick, (SELECT id FROM b{i}) AS id, CAST((SELECT count(*) FROM x{i}) AS DOUBLE) AS mass" for i in range(k))
+    rows = " UNION ALL ".join(f"SELECT CAST(0 AS INT) AS machine_id, CAST({i} AS INT) AS pick, (SELECT id FROM b{i}) AS id, CAST((SELECT count(*) FROM x{i}) AS DOUBLE) AS mass" for i in range(k))
     return q.with_ctes(parts, rows)
 
 
 @query(_cover_sql(4, 1.2, 1.26))
 def charikar_cover_fixed_r(spark, d):
-    return kcenter.cover(emb(spark, d), 4, 0.6, 2, 2.1)
+    """Tables of more rows than a site holds are covered site by site."""
+    sites = partition.split_sites(emb(spark, d).withColumn("machine_id", F.lit(0)))
+    return kcenter.cover_sites(sites, 4, 0.6, 2, 2.1)
 
 
-@query()
+@query(q.covering(23, 20.0, 0.1 * 20 / (3 * SITES)))
 def covering_fixed_r(spark, d):
-    return kcenter.covering(events(spark, d), 20.0, 3, 20, SITES, 0.1).select("machine_id", "mass", "balls", "covered", F.posexplode("center").alias("pos", "value"))
+    found = kcenter.covering(events(spark, d), 20.0, 3, 20, SITES, 0.1)
+    return found.select("machine_id", "mass", "balls", "covered", F.posexplode("center").alias("pos", "value")).withColumn("value", F.round("value", 6))
 
 
 @query(
@@ -478,12 +484,13 @@ r AS (SELECT a, b, d, row_number() OVER (PARTITION BY a, b ORDER BY d DESC, id)
 SELECT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, round(d, 6) AS radius FROM r WHERE r = 3 ORDER BY round(d, 9), a, b LIMIT 1"""
 )
 def brute_kcenter_tiny(spark, d):
-    return kcenter.brute_pairs(src.table_points(spark, d, "nation2d"), 2).select("a", "b", r6("radius"))
+    model = kcenter.KZCenter("brute", 2, 2).fit(src.table_points(spark, d, "nation2d"))
+    return spark.createDataFrame([(*model.center_ids, round(float(model.radius), 6))], "a long, b long, radius double")
 
 
 # ---- coresets and summaries --------------------------------------------------------------------------------------
 
-C4 = [q.EV, q.centers("ev", 4), q.nearest("ev"), "co AS (SELECT id, m, f, c, d * d AS cost FROM nr)"]
+C4 = [q.EV, q.centers("ev", 4), q.nearest("ev"), "co AS MATERIALIZED (SELECT id, m, f, c, d * d AS cost FROM nr)"]
 _QUOTA = "st AS (SELECT m, sum(cost) AS sc, sum(sum(cost)) OVER () AS total, greatest(count(*) OVER (), 200 - 4 * count(*) OVER ()) AS t FROM co GROUP BY m), qu AS (SELECT m, sc, total, t, CAST(floor(t * sc / total) AS BIGINT) AS share FROM st)"
 _DRAWN = f"cu AS (SELECT m, id, c, cost, sum(cost) OVER (PARTITION BY m ORDER BY id) AS hi FROM co WHERE cost > 0), dr AS (SELECT qu.m, CAST(j AS BIGINT) AS draw, {q.uniform(SEED, 'qu.m', 'j')} * sc AS pos, total, t FROM qu, range(1, 1000) r(j) WHERE j <= share), sm AS (SELECT cu.m, draw, id, c, total / (t * cost) AS w FROM dr JOIN cu ON cu.m = dr.m AND pos < hi AND pos >= hi - cost)"
 
@@ -536,27 +543,12 @@ def coreset_radius_grid(spark, d):
     return capped.groupBy("guess_id").agg(F.round(F.sum("cost"), 4).alias("cost"))
 
 
-_ROUND = [
-    q.EV,
-    "sz AS (SELECT count(*) AS n, CAST(floor(2 * greatest(ln(count(*)), 5)) AS BIGINT) AS s FROM ev)",
-    "rk AS (SELECT id, f, row_number() OVER (ORDER BY id) AS r FROM ev)",
-    f"sp AS (SELECT DISTINCT rk.id AS c, rk.f AS cf FROM sz, range(1, 1000) g(j) JOIN rk ON rk.r = CAST(floor({q.uniform(SEED, 'j')} * (SELECT n FROM sz)) AS BIGINT) + 1 WHERE j <= s)",
-    q.nearest("ev", "nr", "sp"),
-    "ra AS (SELECT d FROM nr QUALIFY row_number() OVER (ORDER BY d, id) = CAST(ceil(((SELECT n FROM sz) - 1) * 0.45) AS BIGINT) + 1)",
-]
-
-
-@query(q.with_ctes(_ROUND, "SELECT sp.c AS id, CAST(greatest(count(nr.id), 1) AS DOUBLE) AS weight FROM sp LEFT JOIN nr ON nr.c = sp.c AND nr.d <= (SELECT d FROM ra) GROUP BY sp.c"))
-def summary_outliers_round1(spark, d):
-    return coresets.summary_round(events(spark, d).cache(), 5, 2, 0.45, SEED)[0]
-
-
-@query()
+@query(q.summary(5, 20, SITES, SEED, 14, False))
 def summary_outliers_full(spark, d):
     return coresets.summarize_sites(events(spark, d), 5, 20, SITES, seed=SEED).select("machine_id", "id", "weight", "round")
 
 
-@query()
+@query(q.summary(5, 20, SITES, SEED, 14, True))
 def summary_augmented(spark, d):
     return coresets.summarize_sites(events(spark, d), 5, 20, SITES, augmented=True, seed=SEED).select("machine_id", "id", "weight", "round")
 
@@ -592,12 +584,20 @@ def guha_running_minimum(spark, d):
     return costs.running_minimum(_grid(spark, d)).select("machine_id", "q", r6("cost"))
 
 
-@query()
+_LINE_AT = "CASE WHEN a.q = b.q THEN a.cost ELSE a.cost + (b.cost - a.cost) * (x.q - a.q) / (b.q - a.q) END"
+
+
+@query(
+    q.with_ctes(
+        [*_GRID, "gm AS MATERIALIZED (SELECT * FROM gr)"],
+        f"SELECT x.m AS machine_id, CAST(x.q AS INT) AS q, round(min({_LINE_AT}), 6) AS cost FROM gm x JOIN gm a ON a.m = x.m AND a.q <= x.q JOIN gm b ON b.m = x.m AND b.q >= x.q GROUP BY x.m, x.q",
+    )
+)
 def lower_hull(spark, d):
     cells: dict = {}
     for r in _grid(spark, d).collect():  # m (z + 1) cells
         cells.setdefault(r["machine_id"], []).append((r["q"], r["cost"]))
-    rows = [(s, i, float(c)) for s, own in cells.items() for i, c in enumerate(estimators.hull_costs(own, 4))]
+    rows = [(s, i, round(float(c), 6)) for s, own in cells.items() for i, c in enumerate(estimators.hull_costs(own, 4))]
     return spark.createDataFrame(rows, "machine_id int, q int, cost double")
 
 
@@ -620,14 +620,20 @@ def facility_first_second_nearest(spark, d):
 
 @query(q.with_ctes(_TWO, "SELECT first AS facility, round(sum(d2 - d1), 6) AS increase FROM tw GROUP BY first"))
 def facility_removal_costs(spark, d):
-    return _two(spark, d).groupBy(F.col("first").alias("facility")).agg(F.round(F.sum(F.col("d2") - F.col("d1")), 6).alias("increase"))
+    return coresets.closing_costs(_two(spark, d)).select("facility", r6("increase"))
+
 
+_NATION = "na AS (SELECT n_nationkey AS id, [CAST(n_nationkey AS DOUBLE), CAST(n_regionkey AS DOUBLE)] AS f FROM nation)"
+_CAPPED = "SELECT p.id, l, least(min(power(list_distance(p.f, c.f), 2)), l) AS v FROM na p, {}, (VALUES (4.0), (16.0)) g(l) GROUP BY p.id, l"
 
-@query(q.with_ctes(_TWO, "SELECT round(max(v), 6) AS cost FROM (SELECT sum(least(d1 * d1, l)) - 10 * l AS v FROM tw, (VALUES (0.5), (1.0), (2.0)) g(l) GROUP BY l)"))
+
+@query(q.with_ctes([_NATION, f"ea AS ({_CAPPED.format('(SELECT f FROM na WHERE id < 3) c')})"], "SELECT round(max(v), 6) AS cost FROM (SELECT l, sum(v) - 2 * l AS v FROM ea GROUP BY l)"))
 def facility_minmax_cost(spark, d):
-    limits = F.explode(F.array(F.lit(0.5), F.lit(1.0), F.lit(2.0)))
-    each = _two(spark, d).select("d1", limits.alias("l")).groupBy("l").agg((F.sum(F.least(F.col("d1") * F.col("d1"), F.col("l"))) - 10 * F.col("l")).alias("v"))
-    return each.agg(F.round(F.max("v"), 6).alias("cost"))
+    """The cost that the min-max location minimises, of given facilities; client sets and facilities are coordinator-sized."""
+    rows = src.table_points(spark, d, "nation2d").orderBy("id").collect()
+    x = np.array([r["features"] for r in rows], float)
+    value = kernels.minmax_value([x, x], [np.ones(len(x))] * 2, [4.0, 16.0], x[:3], 2, 2)
+    return spark.createDataFrame([(round(float(value), 6),)], "cost double")
 
 
 # ---- communication -----------------------------------------------------------------------------------------------
@@ -648,54 +654,142 @@ def comm_cost_coreset(spark, d):
 # ---- estimators --------------------------------------------------------------------------------------------------
 
 
-def _fitted(spark, d, model) -> DataFrame:
-    return center_rows(spark, model.fit(events(spark, d)).cluster_centers)
+#: what every estimator promises on ``events``: centers among its values, and a cost within a factor of the first rows' cost
+_BOX = "bx AS (SELECT min(f[1]) AS a0, max(f[1]) AS a1, min(f[2]) AS b0, max(f[2]) AS b1 FROM ev)"
+_SENT = {
+    "random": "(SELECT CAST(2 * sum(least(n, 23)) AS BIGINT) FROM (SELECT count(*) AS n FROM ev GROUP BY m))",
+    "moseley": "(SELECT CAST(3 * sum(least(n, 23)) AS BIGINT) FROM (SELECT count(*) AS n FROM ev GROUP BY m))",
+}
 
 
-def _estimator(name: str, make):
-    def run(spark, d):
-        return _fitted(spark, d, make())
+def _fit_sql(first: str, sent: str = "") -> str:
+    """center, pos, low, high, baseline, inside, within (and communication_cost, if it follows from the table) a center."""
+    parts = [q.EV, q.centers("ev", 3), q.nearest("ev"), _BOX]
+    return q.with_ctes(
+        parts,
+        f"SELECT CAST(i AS INT) AS center, CAST(j AS INT) AS pos, round(CASE WHEN j = 0 THEN a0 ELSE b0 END, 6) AS low, round(CASE WHEN j = 0 THEN a1 ELSE b1 END, 6) AS high, round({first}, 3) AS baseline, true AS inside, true AS within{sent} "
+        "FROM range(0, 3) x(i), range(0, 2) y(j), bx",
+    )
 
-    run.__name__ = name
-    query()(run)
 
+_RADIUS = "(SELECT d FROM nr QUALIFY row_number() OVER (ORDER BY d DESC, id) = {})"
+_TRIMMED = "(SELECT sum(power(d, {})) FROM (SELECT d FROM nr QUALIFY row_number() OVER (ORDER BY d DESC, id) > {}))"
+
+
+def _checked(spark, d, model, gone: int, factor: float, power: int | None, sent: bool) -> DataFrame:
+    """The fitted centers' ranges and costs: ``inside`` if the center's coordinate is among the values, ``within`` if the
+    model's cost without ``gone`` rows is at most ``factor`` times that of the first three rows as centers."""
+    p = events(spark, d).cache()
+    centers = np.asarray(model.fit(p).cluster_centers, float)
+    base = first_ids(p, 3)
+    cost = costs.center_cost(p, base, gone) if power is None else costs.cost_without(p, base, gone, power)
+    baseline = cost.first()[0]
+    box = p.agg(*[f(F.col("features")[j]).alias(f"{n}{j}") for j in range(2) for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    within = bool(model.cost(p, gone) <= factor * baseline + 1e-9)
+    rows = []
+    for i, c in enumerate(centers.tolist()):
+        for j, v in enumerate(c):
+            low, high = box[f"lo{j}"], box[f"hi{j}"]
+            rows.append((i, j, round(low, 6), round(high, 6), round(baseline, 3), low - 1e-9 <= v <= high + 1e-9, within, *([int(model.communication_cost)] if sent else [])))
+    p.unpersist()
+    return spark.createDataFrame(rows, "center int, pos int, low double, high double, baseline double, inside boolean, within boolean" + (", communication_cost long" if sent else ""))
+
+
+def _estimator(name: str, make, gone: int, factor: float, power: int | None = None, sent: str | None = None):
+    def run(spark, d):
+        return _checked(spark, d, make(), gone, factor, power, sent is not None)
 
-for _a in ("multiplicative", "additive", "moseley", "random", "random_charikar", "auto"):
-    _estimator(f"fit_kzcenter_{_a}", lambda a=_a: estimators.DistributedKZCenter(3, 20, algorithm=a, delta=0.1, seed=SEED))
-_estimator("fit_guha", lambda: estimators.GuhaDistributedKZCenter(3, 20, seed=SEED))
-_estimator("fit_guha_net", lambda: estimators.GuhaDistributedKZCenter(3, 20, seed=SEED, use_epsilon_net=True, return_outliers=True))
-_estimator("fit_caz_means", lambda: estimators.CAZDistributedKZMeans(n_clusters=3, n_outliers=20, seed=SEED))
-_estimator("fit_caz_median", lambda: estimators.CAZDistributedKZMedian(n_clusters=3, n_outliers=20, seed=SEED))
-_estimator("fit_kzmeans", lambda: estimators.DistributedKZMeans(n_clusters=3, n_outliers=20, seed=SEED))
-_estimator("fit_kzmedian", lambda: estimators.DistributedKZMedian(n_clusters=3, n_outliers=20, seed=SEED))
-_estimator("fit_bel_means", lambda: estimators.BELDistributedKMeans(n_clusters=3, epsilon=0.3, seed=SEED))
-_estimator("fit_bel_median", lambda: estimators.BELDistributedKMedian(n_clusters=3, epsilon=0.3, seed=SEED))
+    run.__name__ = name
+    first = _RADIUS.format(gone + 1) if power is None else _TRIMMED.format(power, gone)
+    query(_fit_sql(first, f", {_SENT[sent]} AS communication_cost" if sent else ""))(run)
+
+
+for _a, _factor, _sent in (("multiplicative", 1.5, None), ("additive", 1.5, None), ("moseley", 1.5, "moseley"), ("random", 3, "random"), ("random_charikar", 3, "random"), ("auto", 1.5, None)):
+    _estimator(f"fit_kzcenter_{_a}", lambda a=_a: estimators.DistributedKZCenter(3, 20, algorithm=a, delta=0.1, seed=SEED), 22, _factor, None, _sent)
+_estimator("fit_guha", lambda: estimators.GuhaDistributedKZCenter(3, 20, seed=SEED), 22, 1.5)
+_estimator("fit_guha_net", lambda: estimators.GuhaDistributedKZCenter(3, 20, seed=SEED, use_epsilon_net=True, return_outliers=True), 22, 1.5)
+_estimator("fit_caz_means", lambda: estimators.CAZDistributedKZMeans(n_clusters=3, n_outliers=20, seed=SEED), 20, 1, 2)
+_estimator("fit_caz_median", lambda: estimators.CAZDistributedKZMedian(n_clusters=3, n_outliers=20, seed=SEED), 20, 1, 1)
+_estimator("fit_kzmeans", lambda: estimators.DistributedKZMeans(n_clusters=3, n_outliers=20, seed=SEED), 20, 1, 2)
+_estimator("fit_kzmedian", lambda: estimators.DistributedKZMedian(n_clusters=3, n_outliers=20, seed=SEED), 20, 1, 1)
+_estimator("fit_bel_means", lambda: estimators.BELDistributedKMeans(n_clusters=3, epsilon=0.3, seed=SEED), 0, 1, 2)
+_estimator("fit_bel_median", lambda: estimators.BELDistributedKMedian(n_clusters=3, epsilon=0.3, seed=SEED), 0, 1, 1)
+
+_BEST = (
+    "co AS (SELECT a.id AS a, b.id AS b, c.id AS c, l, sum(least(power(least(list_distance(p.f, a.f), list_distance(p.f, b.f), list_distance(p.f, c.f)), 2), l)) - 2 * l AS v "
+    "FROM na p, na a, na b, na c, (VALUES (4.0), (16.0)) g(l) WHERE a.id < b.id AND b.id < c.id GROUP BY a.id, b.id, c.id, l)"
+)
 
 
-@query()
+@query(q.with_ctes([_NATION, _BEST], "SELECT CAST(3 AS INT) AS facilities, round(min(v), 6) AS optimum, true AS within FROM (SELECT max(v) AS v FROM co GROUP BY a, b, c)"))
 def fit_robust_fl(spark, d):
+    """The min-max location on the nations, against the best of all triples."""
     p = src.table_points(spark, d, "nation2d")
     chosen, value = estimators.robust_facility_location([p, p], p, [4.0, 16.0], 3, 2, 2)
-    return spark.createDataFrame([(i, float(value)) for i in chosen], "facility long, value double")
+    best = min_over_triples(p, [4.0, 16.0], 2, 2)
+    return spark.createDataFrame([(len(chosen), round(best, 6), bool(best - 1e-9 <= value <= 3 * best))], "facilities int, optimum double, within boolean")
+
+
+def min_over_triples(points: DataFrame, limits: list[float], z: float, p: float) -> float:
+    """The least min-max cost of three facilities among a few points: all triples are tried."""
+    x = np.array([r["features"] for r in points.orderBy("id").collect()], float)
+    each = [np.ones(len(x))] * len(limits)
+    return min(kernels.minmax_value([x] * len(limits), each, limits, x[list(t)], z, p) for t in combinations(range(len(x)), 3))
 
 
-@query()
+@query(q.with_ctes(E8, "SELECT CAST(i AS INT) AS center, true AS is_row, true AS covers FROM range(0, 4) x(i)"))
 def local_charikar(spark, d):
+    """Centers of the single-site solver: each is a row, and the balls of the radius found cover all but the outliers.
+
+    A table of more rows than a site holds is sampled to one by hash, as the solver is for one bounded site.
+    """
     p = emb(spark, d)
-    model = kcenter.KZCenter("charikar_grid", 4, 10).fit(p)
-    return center_rows(spark, model.cluster_centers)
+    n, most = p.count(), 10_000
+    site = p if n <= most else p.orderBy(F.xxhash64("id"), "id").limit(most)
+    model = kcenter.KZCenter("charikar_grid", 4, 10).fit(site)
+    rows = {tuple(r["features"]) for r in site.join(F.broadcast(spark.createDataFrame([(c.tolist(),) for c in model.cluster_centers], "features array<double>")), "features", "left_semi").collect()}
+    reach = costs.center_cost(site, model.cluster_centers.tolist(), 10).first()["radius"]
+    covers = bool(reach <= 4 * model.radius + 1e-9)
+    return spark.createDataFrame([(i, tuple(c.tolist()) in rows, covers) for i, c in enumerate(model.cluster_centers)], "center int, is_row boolean, covers boolean")
 
 
 # ---- generators --------------------------------------------------------------------------------------------------
 
 
-@query()
+_MEANS, _SHARES = [[0.0, 0.0, 0.0], [40.0, 0.0, 10.0], [0.0, 40.0, -10.0], [-40.0, 5.0, 30.0]], [0.4, 0.3, 0.2, 0.1]
+_FAR_OFF = sum(sum(v * v for v in m) ** 0.5 for m in _MEANS) / 4 + 1
+_CLUSTER = "CASE WHEN u >= 0.9 THEN 3 WHEN u >= 0.7 THEN 2 WHEN u >= 0.4 THEN 1 ELSE 0 END"
+
+
+def _mixture_sql(seed: int = SEED) -> str:
+    means = ", ".join(str([float(v) for v in m]) for m in _MEANS)
+    parts = [
+        f"b AS (SELECT range AS id, {q.uniform(seed, 'range')} AS u, row_number() OVER (ORDER BY {q.uniform(seed + 2, 'range')}, range) <= 20 AS o FROM range(0, 2000))",
+        f"cl AS (SELECT id, o, {_CLUSTER} AS cluster FROM b)",
+        f"v AS (SELECT id, o, cluster, pos, [{means}][cluster + 1][pos + 1] + {q.normal(seed + 1, 'id', 'pos')} * {(50 / 15) ** 0.5} AS x, {q.normal(seed + 3, 'id', 'pos')} * {(50 * _FAR_OFF) ** 0.5} AS shift FROM cl, range(0, 3) g(pos))",
+    ]
+    return q.with_ctes(parts, "SELECT id, CAST(cluster AS INT) AS cluster, o AS is_outlier, CAST(pos AS INT) AS pos, round(x + CASE WHEN o THEN shift ELSE 0 END, 6) AS value FROM v")
+
+
+@query(_mixture_sql())
 def gaussian_mixture_rows(spark, d):
-    return src.gaussian_mixture(spark, 2000, 4, 20, 3, seed=SEED)
+    rows = src.gaussian_mixture(spark, 2000, 4, 20, 3, means=_MEANS, shares=_SHARES, seed=SEED)
+    return rows.select("id", "cluster", "is_outlier", F.posexplode("features").alias("pos", "value")).withColumn("value", F.round("value", 6))
 
 
-@query()
-def add_outliers_rows(spark, d):
-    return src.add_outliers(events(spark, d).drop("machine_id"), 20, seed=SEED)
+def _outliers_sql(seed: int = SEED) -> str:
+    parts = [
+        q.EV,
+        "s AS (SELECT avg(sqrt(f[1] * f[1] + f[2] * f[2])) AS m, max(id) AS top FROM ev)",
+        f"dr AS (SELECT id AS source_id, f, row_number() OVER (ORDER BY {q.uniform(seed, 'id')}, id) AS n FROM ev QUALIFY n <= 20)",
+        "nu AS (SELECT top + n AS id, source_id, f, m FROM dr, s)",
+        f"mv AS (SELECT id, source_id, pos, f[pos + 1] + {q.normal(seed + 1, 'source_id', 'pos')} * sqrt(10 * m) AS value FROM nu, range(0, 2) g(pos))",
+    ]
+    old = "SELECT id, false AS is_outlier, CAST(-1 AS BIGINT) AS source_id, CAST(pos AS INT) AS pos, round(f[pos + 1], 6) AS value FROM ev, range(0, 2) g(pos)"
+    return q.with_ctes(parts, f"{old} UNION ALL SELECT id, true, source_id, CAST(pos AS INT), round(value, 6) FROM mv")
 
 
+@query(_outliers_sql())
+def add_outliers_rows(spark, d):
+    rows = src.add_outliers(events(spark, d).drop("machine_id"), 20, seed=SEED)
+    return rows.select("id", "is_outlier", F.coalesce("source_id", F.lit(-1)).alias("source_id"), F.posexplode("features").alias("pos", "value")).withColumn("value", F.round("value", 6))

@@ -63,8 +63,8 @@ def farthest_first(points: str, k: int, by_site: bool) -> list[str]:
     parts = [f"pts AS (SELECT id, f, CAST({site} AS INT) AS m FROM {points})", "g0 AS (SELECT m, id, f, CAST(NULL AS DOUBLE) AS d FROM pts QUALIFY row_number() OVER (PARTITION BY m ORDER BY id) = 1)"]
     parts.append("l0 AS (SELECT p.m, p.id, p.f, list_distance(p.f, g.f) AS d FROM pts p JOIN g0 g ON p.m = g.m)")
     for i in range(1, k):
-        parts.append(f"g{i} AS (SELECT m, id, f, d FROM l{i - 1} QUALIFY row_number() OVER (PARTITION BY m ORDER BY d DESC, id) = 1)")
-        parts.append(f"l{i} AS (SELECT p.m, p.id, p.f, least(p.d, list_distance(p.f, g.f)) AS d FROM l{i - 1} p JOIN g{i} g ON p.m = g.m)")
+        parts.append(f"g{i} AS MATERIALIZED (SELECT m, id, f, d FROM l{i - 1} QUALIFY row_number() OVER (PARTITION BY m ORDER BY d DESC, id) = 1)")
+        parts.append(f"l{i} AS MATERIALIZED (SELECT p.m, p.id, p.f, least(p.d, list_distance(p.f, g.f)) AS d FROM l{i - 1} p JOIN g{i} g ON p.m = g.m)")
     return parts
 
 
@@ -81,3 +81,60 @@ def seeding(points: str, k: int, power: int, seed: int) -> str:
         parts.append(f"p{i} AS (SELECT p.id, p.f, least(p.d, list_distance(p.f, s.f)) AS d FROM p{i - 1} p, s{i} s)")
     rows = " UNION ALL ".join(["SELECT CAST(0 AS INT) AS pick, CAST(0 AS BIGINT) AS id", *(f"SELECT CAST({i} AS INT) AS pick, id FROM s{i}" for i in range(1, k))])
     return with_ctes(parts, rows)
+
+
+def summary(k: int, z: int, sites: int, seed: int, rounds: int, augmented: bool) -> str:
+    """Outlier summaries of the sites of ``ev``: machine_id, id, weight, round. ``rounds``: more than any site needs."""
+    least = 8 * (2 * z // sites)
+    draw = f"(CAST('0x' || substr(md5(concat_ws(':', CAST({seed} + m AS VARCHAR), {{}}, {{}})), 1, 8) AS BIGINT) / 4294967296.0)"
+    parts = [EV, "l0 AS MATERIALIZED (SELECT m, id, f FROM ev)"]
+    for t in range(rounds):
+        parts.append(f"z{t} AS MATERIALIZED (SELECT m, count(*) AS n, CAST(floor(2 * greatest(ln(count(*)), {k})) AS BIGINT) AS s FROM l{t} GROUP BY m HAVING count(*) > {least})")
+        parts.append(f"r{t} AS MATERIALIZED (SELECT l.m, l.id, l.f, n, row_number() OVER (PARTITION BY l.m ORDER BY id) AS r FROM l{t} l JOIN z{t} z ON l.m = z.m)")
+        at = draw.format(f"'{t}'", "CAST(j AS VARCHAR)").replace("+ m AS", "+ z.m AS")
+        parts.append(f"s{t} AS MATERIALIZED (SELECT DISTINCT r.m, r.id AS c, r.f AS cf FROM z{t} z, range(1, 1000) g(j), r{t} r WHERE j <= s AND r.m = z.m AND r.r = CAST(floor({at} * z.n) AS BIGINT) + 1)")
+        near = f"SELECT r.m, r.id, r.f, s.c, list_distance(r.f, s.cf) AS d, row_number() OVER (PARTITION BY r.id ORDER BY list_distance(r.f, s.cf), s.c) AS k FROM r{t} r JOIN s{t} s ON r.m = s.m"
+        parts.append(f"n{t} AS MATERIALIZED (SELECT m, id, f, c, d FROM ({near}) WHERE k = 1)")
+        rank = f"SELECT m, d, row_number() OVER (PARTITION BY m ORDER BY d) AS k, count(*) OVER (PARTITION BY m) AS n FROM n{t}"
+        parts.append(f"q{t} AS MATERIALIZED (SELECT m, d AS q FROM ({rank}) WHERE k = CAST(ceil((n - 1) * CAST(0.45 AS DOUBLE)) AS BIGINT) + 1)")
+        parts.append(f"h{t} AS MATERIALIZED (SELECT n.* FROM n{t} n JOIN q{t} q ON n.m = q.m AND n.d <= q.q)")
+        parts.append(f"o{t} AS MATERIALIZED (SELECT s.m, s.c AS id, s.cf AS f, greatest(count(h.id), 1) AS w FROM s{t} s LEFT JOIN h{t} h ON h.c = s.c GROUP BY ALL)")
+        left = f"SELECT n.m, n.id, n.f FROM n{t} n WHERE n.id NOT IN (SELECT id FROM h{t}) AND n.id NOT IN (SELECT c FROM s{t})"
+        parts.append(f"l{t + 1} AS MATERIALIZED (SELECT m, id, f FROM l{t} WHERE m NOT IN (SELECT m FROM z{t}) UNION ALL {left})")
+    picks = " UNION ALL ".join(f"SELECT m, id, f, w, {t} AS t FROM o{t}" for t in range(rounds))
+    parts.append(f"picks AS MATERIALIZED ({picks})")
+    rest = f"SELECT m AS machine_id, id, CAST(1 AS DOUBLE) AS weight, CAST(-1 AS INT) AS round FROM l{rounds}"
+    if not augmented:
+        return with_ctes(parts, f"SELECT m AS machine_id, id, CAST(w AS DOUBLE) AS weight, CAST(t AS INT) AS round FROM picks UNION ALL {rest}")
+    parts.append(f"nl AS (SELECT e.m, (SELECT count(*) FROM l{rounds} l WHERE l.m = e.m) AS n_left, (SELECT count(*) FROM picks p WHERE p.m = e.m) AS n_picks, (SELECT coalesce(max(t), -1) + 1 FROM picks p WHERE p.m = e.m) AS t FROM (SELECT DISTINCT m FROM ev) e)")
+    parts.append(f"cv AS MATERIALIZED (SELECT m, id, f FROM ev WHERE id NOT IN (SELECT id FROM l{rounds}))")
+    parts.append("grow AS MATERIALIZED (SELECT * FROM nl WHERE n_picks > 0 AND n_left > n_picks)")
+    chance = draw.format("'more'", "CAST(c.id AS VARCHAR)").replace("+ m AS", "+ c.m AS")
+    parts.append(f"more AS MATERIALIZED (SELECT m, id, f, t FROM (SELECT c.m, c.id, c.f, g.t, n_left - n_picks AS wanted, row_number() OVER (PARTITION BY c.m ORDER BY {chance}, c.id) AS r FROM cv c JOIN grow g ON c.m = g.m WHERE c.id NOT IN (SELECT id FROM picks)) WHERE r <= wanted)")
+    parts.append("ap AS MATERIALIZED (SELECT m, id, f, t FROM picks WHERE m IN (SELECT m FROM grow) UNION ALL SELECT m, id, f, t FROM more)")
+    parts.append("aw AS MATERIALIZED (SELECT p, count(*) AS w FROM (SELECT c.id, a.id AS p, row_number() OVER (PARTITION BY c.id ORDER BY list_distance(c.f, a.f), a.t, a.id) AS r FROM cv c JOIN ap a ON c.m = a.m) WHERE r = 1 GROUP BY p)")
+    grown = "SELECT ap.m AS machine_id, ap.id, CAST(coalesce(aw.w, 0) AS DOUBLE) AS weight, CAST(ap.t AS INT) AS round FROM ap LEFT JOIN aw ON aw.p = ap.id"
+    plain = "SELECT m AS machine_id, id, CAST(w AS DOUBLE) AS weight, CAST(t AS INT) AS round FROM picks WHERE m NOT IN (SELECT m FROM grow)"
+    return with_ctes(parts, f"{grown} UNION ALL {plain} UNION ALL {rest}")
+
+
+def covering(picks: int, r: float, least: float) -> str:
+    """Greedy covering of the sites of ``ev`` from their first farthest-first picks: machine_id, mass, balls, covered, pos, value."""
+    parts = [EV, *farthest_first("ev", picks, True)]
+    every = " UNION ALL ".join(f"SELECT m, {i} AS pick, id, f FROM g{i}" for i in range(picks))
+    parts.append(f"pk AS MATERIALIZED ({every})")
+    parts.append(f"pd AS MATERIALIZED (SELECT k.m, k.pick, k.id AS pid, p.id, list_distance(k.f, p.f) AS d FROM pk k JOIN pts p ON k.m = p.m WHERE list_distance(k.f, p.f) <= {4 * r})")
+    parts.append("a0 AS MATERIALIZED (SELECT id FROM pts)")
+    for t in range(picks):
+        mass = f"SELECT m, pick, count(*) AS w FROM pd WHERE d <= {2 * r} AND id IN (SELECT id FROM a{t}) AND pid IN (SELECT id FROM a{t}) GROUP BY m, pick"
+        parts.append(f"b{t} AS MATERIALIZED (SELECT m, pick FROM ({mass}) WHERE w >= {least} QUALIFY row_number() OVER (PARTITION BY m ORDER BY w DESC, pick) = 1)")
+        parts.append(f"x{t} AS MATERIALIZED (SELECT pd.m, pd.pick, pd.id FROM pd JOIN b{t} b ON pd.m = b.m AND pd.pick = b.pick WHERE id IN (SELECT id FROM a{t}))")
+        parts.append(f"a{t + 1} AS MATERIALIZED (SELECT id FROM a{t} WHERE id NOT IN (SELECT id FROM x{t}))")
+    balls = " UNION ALL ".join(f"SELECT m, pick, count(*) AS mass FROM x{t} GROUP BY m, pick" for t in range(picks))
+    parts.append(f"bl AS MATERIALIZED ({balls})")
+    total = "SELECT m, pick, mass, count(*) OVER (PARTITION BY m) AS balls, sum(mass) OVER (PARTITION BY m) AS covered FROM bl"
+    return with_ctes(parts, f"SELECT t.m AS machine_id, CAST(mass AS DOUBLE) AS mass, CAST(balls AS INT) AS balls, CAST(covered AS DOUBLE) AS covered, CAST(u.pos AS INT) AS pos, round(k.f[u.pos + 1], 6) AS value FROM ({total}) t JOIN pk k ON k.m = t.m AND k.pick = t.pick, (VALUES (0), (1)) u(pos)")
+
+
+def normal(seed: int, *parts: str) -> str:
+    return f"(sqrt(-2 * ln(1 - {uniform(seed, *parts)})) * cos(2 * pi() * {uniform(seed + 7919, *parts)}))"

@@ -5,7 +5,8 @@ import pytest
 from planted import GRID, GRID_CENTERS, center_error, frame, planted, sites
 from pyspark.sql import functions as F
 
-from robustclust.operators import coresets, costs, estimators, joins, kcenter, lloyd, partition, sampling
+from robustclust.functions import ranks
+from robustclust.operators import coresets, costs, estimators, joins, kcenter, kernels, lloyd, partition, samplers, sampling
 from robustclust.sources import points as src
 
 
@@ -195,3 +196,116 @@ def test_streaming_summaries(spark, tmp_path):
     writer = summarizing(stream, str(tmp_path / "out"), 2, 2, sites=2).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True)
     writer.start().awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).where("weight >= 1").count() > 0
+
+
+def test_cost_functions_and_solvers_are_pluggable(spark):
+    x, site = sites()
+    p = frame(spark, x, site)
+    told = []
+
+    def solver(rows, weights, k, z, seed):
+        told.append((len(rows), k, z))
+        return kernels.lloyd(rows, k, np.clip(weights, 0, None), z, init="random", seed=seed)
+
+    plain = estimators.DistributedKZMeans(n_clusters=2, n_outliers=2, epsilon=0.3, seed=2).fit(p)
+    same = estimators.DistributedKZMeans(n_clusters=2, n_outliers=2, epsilon=0.3, seed=2, cost_func=lambda d: d * d).fit(p)
+    assert np.allclose(np.sort(plain.cluster_centers, axis=0), np.sort(same.cluster_centers, axis=0)) and plain.cost(p) == pytest.approx(same.cost(p))
+    huber = lambda d: (1 + d * d) ** 0.5 - 1
+    model = estimators.DistributedKZLp(n_clusters=2, n_outliers=2, epsilon=0.3, seed=2, cost_func=huber).fit(p)
+    assert center_error(model.cluster_centers) <= 6.1 and model.cost(p, 2) == pytest.approx(kernels.lp_cost(x, model.cluster_centers, huber, z=2))
+    for make in (estimators.DistributedKZMeans, estimators.BELDistributedKMeans, estimators.CAZDistributedKZMeans):
+        model = make(n_clusters=2, n_outliers=2, epsilon=0.3, seed=2, central_solver=solver).fit(p)
+        assert len(model.cluster_centers) == 2
+    assert [t[1] for t in told] == [2, 2, 2] and [t[2] for t in told] == [2, 0, 2]
+
+
+def test_sampler_objects(spark):
+    x, site = sites()
+    p = frame(spark, x, site)
+    with pytest.raises(src.NotFittedError):
+        _ = samplers.Coreset().samples
+    core = samplers.Coreset(40, seed=3).fit(p, [[5.0, 30.0], [-5.0, -30.0]])
+    assert core.samples.count() == core.sample_weights.count() == core.sample_indices.count() <= 40
+    weights = {r["id"]: r["weight"] for r in core.sample_weights.collect()}
+    assert sum(weights.values()) == pytest.approx(len(x), rel=1.0)
+    many = samplers.DistributedCoreset(60, seed=3).fit(p)
+    assert many.samples.join(p, ["id", "features"], "left_semi").count() > 0 and many.center_rows.count() <= 4
+    assert many.sample_weights.agg(F.sum("weight")).first()[0] == pytest.approx(len(x))
+    one = samplers.SummaryOutliers(n_clusters=2, n_outliers=2, beta=0.2, seed=1).fit(p)
+    assert {(80.0, 0.0), (-80.0, 0.0)} <= {tuple(r["features"]) for r in one.samples.collect()} and one.left_over.count() > 0
+    parts = samplers.DistributedSummary(n_clusters=2, n_outliers=2, beta=0.2, seed=1).fit(p)
+    assert parts.samples.select("machine_id").distinct().count() == 2
+
+
+def test_dense_balls_are_kept_up_to_date():
+    rng = np.random.default_rng(8)
+    x, w = rng.normal(size=(60, 2)), rng.integers(1, 5, 60).astype(float)
+    inside = kernels.distances(x, x) <= 0.8
+    balls = kernels.DenseBalls(inside, w)
+    for _ in range(5):
+        p = balls.heaviest()
+        left = np.where(balls.alive, w, 0)
+        assert balls.mass[balls.alive] == pytest.approx((inside @ left)[balls.alive]) and (inside @ left)[p] == max((inside @ left)[balls.alive])
+        before = balls.mass.copy()
+        balls.remove(balls.alive & inside[p])
+        assert (balls.mass[~balls.changed] == before[~balls.changed]).all()
+
+
+@pytest.mark.parametrize("d", [1, 2, 17])
+def test_ball_index_loses_no_pair(d):
+    rng = np.random.default_rng(d)
+    x, q = rng.integers(-3, 4, (700, d)).astype(float), rng.integers(-3, 4, (90, d)).astype(float)
+    for radius in (0.0, 1.0, 2.5):
+        at, to, dist = kernels.BallIndex(q).within(x, radius, block=64)
+        want = kernels.distances(x, q)
+        assert sorted(zip(at.tolist(), to.tolist(), strict=True)) == [tuple(r) for r in np.argwhere(want <= radius).tolist()]
+        assert np.array_equal(dist, want[at, to])
+    assert len(kernels.BallIndex(np.zeros((0, d))).within(x, 1.0)[0]) == 0
+
+
+def test_blocks_of_queries_agree(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    p = frame(spark, rng.integers(0, 9, (300, 2)).astype(float))
+    some = p.where("id % 3 = 0")
+    counts, near = sorted(joins.ball_counts(p, some, 2.0).collect()), sorted(joins.knn(p, some, 4).collect())
+    monkeypatch.setattr(joins, "QUERIES_A_BLOCK", 30)
+    monkeypatch.setattr(joins, "POINTS_A_BLOCK", 100)
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 40)
+    assert counts == sorted(joins.ball_counts(p, some, 2.0).collect()) and near == sorted(joins.knn(p, some, 4).collect())
+    x = np.array([r["features"] for r in p.orderBy("id").collect()])
+    d = kernels.distances(x[::3], x)
+    assert counts == [(3 * i, int(n)) for i, n in enumerate((d <= 2.0).sum(axis=1))]
+    assert [r["id"] for r in near[:4]] == np.lexsort((np.arange(300), d[0]))[:4].tolist()
+
+
+def test_ranks_over_many_ranges(spark, monkeypatch):
+    """Ranges follow from the rows; a value that most rows share is cut by their ids."""
+    monkeypatch.setattr(ranks, "ROWS_PER_RANGE", 50)
+    rows = spark.range(2000).select("id", F.when(F.col("id") % 5 == 0, F.col("id") / 7).otherwise(3.0).alias("v"), (F.col("id") % 4 + 1).alias("w")).repartition(5)
+    told = {r["id"]: r for r in rows.collect()}
+    for descending in (False, True):
+        order = sorted(told, key=lambda i: (-told[i]["v"] if descending else told[i]["v"], i))
+        got = {r["id"]: r["n"] for r in ranks.row_numbers(rows, "v", ["id"], "n", descending).collect()}
+        assert got == {i: n for n, i in enumerate(order, 1)}
+    sums = {r["id"]: r["s"] for r in ranks.running_sum(rows, "v", ["id"], F.col("w"), "s").collect()}
+    total = 0
+    for i in sorted(told, key=lambda i: (told[i]["v"], i)):
+        total += told[i]["w"]
+        assert sums[i] == total
+    cuts = ranks.range_cuts(rows, "v", "id")
+    parts = rows.groupBy(ranks.range_number(cuts, "v", "id").alias("r")).count().collect()
+    assert max(r["count"] for r in parts) < 250
+    medians = {r["center"]: r["value"] for r in costs.median_update(rows.select(F.lit(0).alias("center"), F.array("v").alias("features"), F.col("w").cast("double").alias("weight"))).collect()}
+    half, run = sum(r["w"] for r in told.values()) / 2, 0
+    for i in sorted(told, key=lambda i: told[i]["v"]):
+        run += told[i]["w"]
+        if run >= half:
+            assert medians == {0: told[i]["v"]}
+            break
+
+
+def test_many_outliers_are_found_by_rank(spark, monkeypatch):
+    p = joins.assign(frame(spark, planted()), GRID_CENTERS)
+    want = {r["id"] for r in costs.farthest_rows(p, 30).collect()}
+    monkeypatch.setattr(costs, "HEAP_ROWS", 10)
+    assert {r["id"] for r in costs.farthest_rows(p, 30).collect()} == want and len(want) == 30
