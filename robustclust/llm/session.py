@@ -1,31 +1,99 @@
-"""Session helpers: the shared folder, staged tables and block sizing."""
+"""Session helpers: the shared folder, staged tables and their removal, block sizing."""
 
 from __future__ import annotations
 
+import gc
 import re
+import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where the session names none (tests)."""
+    """The folder all executors share. A session on one machine (tests) may name none and gets one of its own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = "/tmp/robustclust-shared"
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        named = f"{tempfile.gettempdir()}/robustclust-shared"
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
+#: for each open scratch of this thread the folders staged in it
+_scopes = threading.local()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder; it is deleted with the scratch that it is made in."""
+    path = f"{shared_dir(spark)}/robustclust-{name}-{uuid.uuid4().hex}"
+    if getattr(_scopes, "open", None):
+        _scopes.open[-1].append(path)
+    return path
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/robustclust-{name}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_in = path
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def unstaged(table: DataFrame) -> None:
+    """Delete a staged table that nothing will read any more."""
+    delete(table.sparkSession, table._staged_in)
+
+
+def freed(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of finished work: it does so when the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """What is staged inside goes on leaving, but for the tables given to the function this yields (df, name -> table)."""
+    if not hasattr(_scopes, "open"):
+        _scopes.open = []
+    own: list[str] = []
+    _scopes.open.append(own)
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out = staged(df, name)
+        own.remove(out._staged_in)
+        if len(_scopes.open) > 1:
+            _scopes.open[-2].append(out._staged_in)
+        return out
+
+    try:
+        yield keep
+    finally:
+        _scopes.open.remove(own)
+        for path in own:
+            delete(spark, path)
+
+
+def free_name(taken: list[str], name: str) -> str:
+    """``name``, or with underscores added, so that it clashes with none of ``taken`` (column names ignore case)."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
 
 
+#: ids (with at most a few numbers each) that may be broadcast, counted before
+BROADCAST_IDS = 1_000_000
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
