@@ -3,27 +3,29 @@
 Suffixes are sorted by induction from a sample. The sample is content-defined: of every ``LENGTH``-byte string the
 position of the least hashed ``GRAM``-gram (the rightmost of equals), so equal strings have the same sampled position.
 Sampled positions whose gram occurs in one document only can't be in a shared string. Of the others, those whose whole
-surroundings an earlier document has go whole; where a gram has different surroundings, the first document with each of
-them sends a suffix tuple (the bytes from the position on, those before it, the document) to the shard of the gram. A shard sorts its tuples
-externally (sorted runs on disk, merged by a priority queue), takes the common-prefix lengths of neighbours, and
-induces the order of the suffixes that begin 1, 2, ... bytes earlier by stable bucket passes over the preceding bytes;
-range minima carry the common prefixes along. Suffixes that agree in ``LENGTH`` bytes are neighbours in that order, and
-all but those of the first document are marked.
+surroundings (all that their strings cover) an earlier document has go whole, by a hash of these. Where a gram has
+different surroundings that agree on one side as far as a shared string takes, the first document with each of them
+sends a suffix tuple (the bytes from the position on, those before it, the document) to the shard of the gram. Shards
+are sorted externally and the order of the suffixes that begin 1, 2, ... bytes earlier is induced from them, common
+prefixes along, by the disk-backed queues of ``suffix_queue``; of suffixes that agree in ``LENGTH`` bytes all but those
+of the first document are marked.
 
 Shards are dealt by hash and each chunk of texts sends a tuple once however often it has it, so no string, however
-common, gathers more than one tuple a chunk in a shard. A gram of more than ``HOT_SAMPLES`` samples (at the edge of a
-passage that a large part of the corpus shares, followed by something else each time) would still gather a tuple a
-document: its strings are dealt out one by one by their own hashes instead, each once a chunk, and judged by these. Grams are identified by 64-bit hashes; tuples by their bytes.
-
-Defined results: a null text is empty; rows with the same doc_id never count as earlier than one another; a null doc_id
-is later than all others; texts shorter than ``LENGTH`` keep all bytes.
+common, gathers more than one tuple a chunk in a shard. What a shard decides about a chunk's grams, surroundings or
+tuples goes back as bits, in the order in which the chunk sent them and works them out again. A gram of more than
+``HOT_SAMPLES`` samples (at the edge of a passage that a large part of the corpus shares, followed by something else
+each time) would still gather a tuple a document: its strings are dealt out one by one by their own hashes instead, each
+once a chunk, and judged by these. Grams are identified by 64-bit hashes, surroundings by 48 bits more; tuples by their
+bytes.
+
+Defined results: a null text is empty; rows with the same doc_id, identical rows too, never count as earlier than one
+another; a null doc_id is later than all others; texts shorter than ``LENGTH`` keep all bytes; a text of any length is
+one chunk at least; an empty table gives no rows; extra columns are ignored, whatever their names; ids are whole numbers.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
-import tempfile
 import uuid
 
 import numpy as np
@@ -34,23 +36,26 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from robustclust.llm.session import buckets_for, light_batches, staged, text_bytes
+from robustclust.llm.session import buckets_for, freed, light_batches, new_folder, scratch, staged, text_bytes, unstaged
+from robustclust.llm.suffix_queue import SuffixQueue
 from robustclust.llm.textops import U64, column_bytes, mix, powers, prefix_hash, span_hash, text_chunks
 
 LENGTH, GRAM = 50, 16
 REACH = LENGTH - GRAM
+#: two surroundings share a string only if they agree in so many bytes before the position, or in so many from it on
+LEFT_PART = REACH // 2 + 1
+RIGHT_PART = LENGTH - REACH // 2
 CHUNK_BYTES, CHUNK_ROWS, PIECE_BYTES = 6 << 20, 1 << 20, 256 << 10
 TEXT_PER_SHARD = 3 << 20
-#: tuples of a sorted run; a shard of more is merged from runs on disk
-RUN_TUPLES = 1 << 20
+#: tuples of a sorted run and of a page; a shard of more goes through files
+RUN_TUPLES = 1 << 18
 KEY_BITS = 39
-#: bytes of a key told to a chunk
-KEY_BYTES = 7
-KEY_MASK = U64((1 << 8 * KEY_BYTES) - 1)
+#: bytes of the hashes of surroundings (within their gram) and of their parts
+KEY_BYTES, PART_BYTES = 6, 3
 #: samples of a gram above which its strings are dealt one by one, as its tuples would fill a task
 HOT_SAMPLES = 1 << 16
 LAST = np.iinfo(np.int64).max
-TUPLE = np.dtype([("doc", "<i8"), ("key", "<u8"), ("gram", "<u8"), ("before", "u1"), ("after", "u1"), ("lo", "u1"), ("hi", "u1"), ("left", f"({REACH},)u1"), ("right", f"({LENGTH},)u1")])
+TUPLE = np.dtype([("doc", "<i8"), ("lo", "u1"), ("hi", "u1"), ("left", f"({REACH},)u1"), ("right", f"({LENGTH},)u1")])
 
 
 def sample(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -171,8 +176,16 @@ def _grams(shards: int):
     return run
 
 
+def _bits(flags: np.ndarray) -> bytes:
+    return np.packbits(flags).tobytes()
+
+
+def _flags(raw: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(raw, np.uint8), count=n).astype(bool)
+
+
 def _shared(hot_samples: int):
-    """Grams of a shard that several documents have, told to each chunk that has them; those of very many samples apart."""
+    """Told to each chunk: which of the grams it sent several documents have, and which of these have very many samples."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         parts, times = [], []
@@ -192,27 +205,48 @@ def _shared(hot_samples: int):
         flag = np.empty(len(raw), np.int8)
         flag[order] = (often.astype(np.int8) + hot)[run]
         cut = np.cumsum([0, *map(len, parts)])
-        told = [[_pack(p[flag[a:b] == kind] >> U64(1), 5) for p, a, b in zip(parts, cut, cut[1:], strict=False)] for kind in (1, 2)]
+        told = [[_bits(flag[a:b] == kind) if (flag[a:b] == kind).any() else b"" for a, b in zip(cut, cut[1:], strict=False)] for kind in (1, 2)]
         out = pd.DataFrame({"chunk": group["chunk"].to_numpy(), "shard": group["shard"].to_numpy(), "block": told[0], "hot": told[1]})
         return out[[bool(a or b) for a, b in zip(*told, strict=True)]]
 
     return run
 
 
-def _context_keys(body, offsets, row, place, lo, hi):
-    """A hash of each sampled position's surroundings, and how many bytes of them there are before and after."""
-    before = np.minimum(place - offsets[row], REACH)
-    after = np.minimum(offsets[row + 1] - place, LENGTH)
-    key = np.empty(len(place), np.uint64)
-    # hashes in pieces, as the powers of a whole chunk would be large
+def _told(values: np.ndarray, told, field: str, shards: int) -> np.ndarray:
+    """Which of a chunk's distinct grams, in order, the bits told to it name."""
+    out = np.zeros(len(values), bool)
+    runs = {k: (a, b) for k, a, b in _by_shard(shard_of(values, shards), shards)}
+    for x in told or []:
+        if x[field]:
+            a, b = runs[x["shard"]]
+            out[a:b] = _flags(x[field], b - a)
+    return out
+
+
+def _spans(body, start, end) -> np.ndarray:
+    """Hashes of sorted spans, in pieces, as the powers of a whole chunk would be large."""
+    out = np.empty(len(start), np.uint64)
     edges = np.arange(0, len(body) + PIECE_BYTES, PIECE_BYTES)
-    cut = np.searchsorted(place, edges)
+    cut = np.searchsorted(start, edges)
     for e, a, b in zip(edges, cut, cut[1:], strict=False):
         if a < b:
-            s, t = max(0, e - REACH), min(len(body), e + PIECE_BYTES + LENGTH)
-            key[a:b] = span_hash(prefix_hash(body[s:t]), (place - before)[a:b] - s, (place + after)[a:b] - s)
-    shape = before | after << 8 | lo << 16 | hi << 24
-    return mix(key + shape.astype(np.uint64) * U64(0x9E3779B97F4A7C15)), before, after
+            prefix = prefix_hash(body[e : min(len(body), e + PIECE_BYTES + 2 * LENGTH)])
+            out[a:b] = span_hash(prefix, start[a:b] - e, end[a:b] - e)
+    return out
+
+
+def _context_keys(body, place, lo, hi):
+    """A hash of each sampled position's surroundings: the bytes that its own strings cover, and how they lie."""
+    key = _spans(body, place - hi, place - lo + LENGTH)
+    return mix(key + (lo | hi << 8).astype(np.uint64) * U64(0x9E3779B97F4A7C15))
+
+
+def _part_hashes(body, place, lo, hi):
+    """Short hashes of the surroundings' parts before and after the position; 0 where no own string reaches so far."""
+    left = _spans(body, np.maximum(place - LEFT_PART, 0), place)
+    right = _spans(body, place, np.minimum(place + RIGHT_PART, len(body)))
+    top, short = U64((1 << 8 * PART_BYTES) - 2), lambda h: h >> U64(64 - 8 * PART_BYTES)
+    return [np.where(own, np.minimum(short(h), top) + U64(1), U64(0)) for own, h in ((hi >= LEFT_PART, left), (lo <= LENGTH - RIGHT_PART, right))]
 
 
 def _classes(key, doc):
@@ -230,33 +264,43 @@ def _member(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
 
 
-def _told(shared, field: str) -> np.ndarray:
-    """The grams told to a chunk, with their shards."""
-    return np.sort(np.concatenate([np.zeros(0, np.uint64), *(_unpack(x[field], 5) | (U64(x["shard"]) << U64(KEY_BITS)) for x in shared or [])]))
-
-
-def _labels(gram: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(low bits, shard, both as they are told to chunks)."""
-    low, shard = gram & U64((1 << KEY_BITS) - 1), shard_of(gram, shards)
-    return low, shard, low | (shard.astype(np.uint64) << U64(KEY_BITS))
-
-
-def _strings(docs, body, offsets, hot: np.ndarray, shards: int):
-    """(start, hash, document) of every string whose sampled gram is hot."""
-    row, place, lo, hi, gram = _samples(docs, body, offsets)
-    pick = np.flatnonzero(_member(_labels(gram, shards)[2], hot))
-    count = hi[pick] - lo[pick] + 1
-    first = place[pick] - hi[pick]
-    start = np.repeat(first - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum()) if len(pick) else np.zeros(0, np.int64)
-    doc = np.repeat(docs[row[pick]], count)
-    hashed = np.empty(len(start), np.uint64)
-    edges = np.arange(0, len(body) + PIECE_BYTES, PIECE_BYTES)
-    cut = np.searchsorted(start, edges)
-    for e, a, b in zip(edges, cut, cut[1:], strict=False):
-        if a < b:
-            prefix = prefix_hash(body[e : min(len(body), e + PIECE_BYTES + LENGTH)])
-            hashed[a:b] = span_hash(prefix, start[a:b] - e, start[a:b] - e + LENGTH)
-    return start, hashed, doc
+class Surroundings:
+    """A chunk's sampled positions of shared grams, their classes of equal surroundings, and how these go to the shards."""
+
+    def __init__(self, head: bytes, texts: bytes, told, shards: int):
+        self.docs, self.null, self.body, self.offsets = _open(head, texts)
+        row, place, lo, hi, gram = _samples(self.docs, self.body, self.offsets)
+        values, at = np.unique(gram, return_inverse=True)
+        self.hot = np.flatnonzero(_told(values, told, "hot", shards)[at])
+        self.sampled = row, place, lo, hi
+        hit = _told(values, told, "block", shards)[at]
+        self.row, self.place, self.lo, self.hi, self.gram = (x[hit] for x in (row, place, lo, hi, gram))
+        self.key = _context_keys(self.body, self.place, self.lo, self.hi)
+        shard = shard_of(self.gram, shards)
+        order = np.lexsort((self.docs[self.row], self.key, shard))
+        k, s = self.key[order], shard[order]
+        new = np.concatenate([[True], (k[1:] != k[:-1]) | (s[1:] != s[:-1])])[: len(order)]
+        #: the first position of each class, with its least document; the class of each position; (shard, from, to)
+        self.first, self.of = order[new], np.empty(len(order), np.int64)
+        self.of[order] = np.cumsum(new) - 1
+        self.runs = _by_shard(shard[self.first], shards)
+
+    def codes(self, told) -> np.ndarray:
+        """What the shards decided about the classes: 1 they go whole, 2 their tuples decide, else 0."""
+        out, runs = np.zeros(len(self.first), np.int8), {k: (a, b) for k, a, b in self.runs}
+        for x in told or []:
+            a, b = runs[x["shard"]]
+            half = len(x["codes"]) // 2
+            out[a:b] = _flags(x["codes"][:half], b - a) + 2 * _flags(x["codes"][half:], b - a).astype(np.int8)
+        return out
+
+    def strings(self):
+        """(start, hash, document) of every string whose sampled gram is hot."""
+        row, place, lo, hi = (x[self.hot] for x in self.sampled)
+        count = hi - lo + 1
+        first = place - hi
+        start = np.repeat(first - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum()) if len(row) else np.zeros(0, np.int64)
+        return start, _spans(self.body, start, start + LENGTH), np.repeat(self.docs[row], count)
 
 
 def _hot_strings(shards: int):
@@ -265,12 +309,8 @@ def _hot_strings(shards: int):
     def run(batches):
         squeeze = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            for chunk, head, texts, shared in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                hot = _told(shared, "hot")
-                if not len(hot):
-                    continue
-                docs, _, body, offsets = _open(head, texts)
-                _, hashed, doc = _strings(docs, body, offsets, hot, shards)
+            for chunk, head, texts, told in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                _, hashed, doc = Surroundings(head, texts, told, shards).strings()
                 first, _ = _classes(hashed, doc)
                 hashed, doc = hashed[first], doc[first]  # sorted by hash, so by shard too
                 runs = _by_shard(shard_of(hashed, shards), shards)
@@ -294,81 +334,85 @@ def _later_strings(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def _contexts(shards: int):
-    """For each shard the surroundings of a chunk's shared grams, each once: gram, key, least document."""
+    """For each shard the surroundings of a chunk's shared grams, each once: gram, key, hashes of its parts, least document."""
 
     def run(batches):
         squeeze = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            for chunk, head, texts, shared in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                docs, _, body, offsets = _open(head, texts)
-                row, place, lo, hi, gram = _samples(docs, body, offsets)
-                low, shard, label = _labels(gram, shards)
-                hit = _member(label, _told(shared, "block"))
-                row, place, lo, hi, low, shard = (x[hit] for x in (row, place, lo, hi, low, shard))
-                key, _, _ = _context_keys(body, offsets, row, place, lo, hi)
-                first, _ = _classes(key, docs[row])
-                first = first[np.argsort(shard[first], kind="stable")]
-                runs = _by_shard(shard[first], shards)
-                low, key, doc = low[first], key[first], docs[row[first]]
-                yield _block_rows(runs, chunk, [squeeze.compress(_pack(low[a:b], 5) + _pack(key[a:b], KEY_BYTES) + doc[a:b].tobytes()) for _, a, b in runs])
+            for chunk, head, texts, told in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                x = Surroundings(head, texts, told, shards)
+                f = x.first
+                low, doc = x.gram[f] & U64((1 << KEY_BITS) - 1), x.docs[x.row[f]]
+                parts = [np.empty(0, np.uint64)] * 2
+                if len(f):
+                    turn = np.argsort(x.place[f])  # spans are hashed in order of their places
+                    parts = [np.empty(len(f), np.uint64) for _ in range(2)]
+                    for out, made in zip(parts, _part_hashes(x.body, x.place[f][turn], x.lo[f][turn], x.hi[f][turn]), strict=True):
+                        out[turn] = made
+                fields = ((low, 5), (x.key[f], KEY_BYTES), (parts[0], PART_BYTES), (parts[1], PART_BYTES))
+                yield _block_rows(x.runs, chunk, [squeeze.compress(b"".join(_pack(v[a:b], n) for v, n in fields) + doc[a:b].tobytes()) for _, a, b in x.runs])
 
     return run
 
 
+def _joint(gram, part, doc) -> np.ndarray:
+    """Which rows share gram and part with a row of another document."""
+    order = np.lexsort((part, gram))
+    g, p, d = gram[order], part[order], doc[order]
+    head = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (p[1:] != p[:-1])]))
+    several = np.minimum.reduceat(d, head) != np.maximum.reduceat(d, head)
+    out = np.empty(len(gram), bool)
+    out[order] = np.repeat(several, np.diff(np.concatenate([head, [len(g)]])))
+    return out & (part > 0)
+
+
 def _coded(group: pd.DataFrame) -> pd.DataFrame:
-    """Told to each chunk: the keys that go whole, as an earlier document has the same surroundings; and those whose
-    tuples decide, as the gram has other surroundings too."""
-    parts = []
+    """Told to each chunk, in the order of what it sent: which surroundings go whole, as an earlier document has the same;
+    and whose tuples decide, as other surroundings of the gram agree with them on one side as far as a shared string takes."""
+    parts, width = [], 5 + KEY_BYTES + 2 * PART_BYTES
     for block in group["block"]:
         raw = zstandard.ZstdDecompressor().decompress(block)
-        n = len(raw) // (13 + KEY_BYTES)
-        parts.append((_unpack(raw[: 5 * n], 5), _unpack(raw[5 * n : (5 + KEY_BYTES) * n], KEY_BYTES), np.frombuffer(raw[(5 + KEY_BYTES) * n :], "<i8")))
-    gram, key, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
+        n = len(raw) // (8 + width)
+        at = np.cumsum([0, 5, KEY_BYTES, PART_BYTES, PART_BYTES]) * n
+        parts.append((*(_unpack(raw[a:b], int(b - a) // n) for a, b in zip(at, at[1:], strict=False)), np.frombuffer(raw[width * n :], "<i8")))
+    gram, key, before, after, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.lexsort((doc, key, gram))
     g, k, d = gram[order], key[order], doc[order]
-    new_gram = np.concatenate([[True], g[1:] != g[:-1]])
-    new_key = new_gram | np.concatenate([[True], k[1:] != k[:-1]])
-    least = d[np.maximum.accumulate(np.where(new_key, np.arange(len(d)), 0))]
-    run = np.cumsum(new_gram) - 1
-    mixed = np.bincount(run, new_key)[run] > 1
+    new = np.concatenate([[True], (g[1:] != g[:-1]) | (k[1:] != k[:-1])])
+    least = d[np.maximum.accumulate(np.where(new, np.arange(len(d)), 0))]
+    one = order[new]  # each distinct key once, with its least document
+    open_ = _joint(gram[one], before[one], doc[one]) | _joint(gram[one], after[one], doc[one])
     code = np.empty(len(d), np.int8)
-    code[order] = np.where(d > least, 1, np.where(mixed, 2, 0))
+    code[order] = np.where(d > least, 1, np.where(open_[np.cumsum(new) - 1], 2, 0))
     cut = np.cumsum([0, *(len(x[0]) for x in parts)])
-    rows = [(c, _pack(key[a:b][code[a:b] == 1], KEY_BYTES), _pack(key[a:b][code[a:b] == 2], KEY_BYTES)) for c, a, b in zip(group["chunk"], cut, cut[1:], strict=False)]
-    return pd.DataFrame([r for r in rows if r[1] or r[2]], columns=["chunk", "whole", "open"]).astype({"chunk": "int64"})
-
-
-def _keys(blocks) -> np.ndarray:
-    return np.sort(np.concatenate([np.zeros(0, np.uint64), *(_unpack(b, KEY_BYTES) for b in blocks or [] if b)]))
+    rows = [(c, s, _bits(code[a:b] == 1) + _bits(code[a:b] == 2), bool((code[a:b] == 2).any())) for c, s, a, b in zip(group["chunk"], group["shard"], cut, cut[1:], strict=False) if code[a:b].any()]
+    return pd.DataFrame(rows, columns=["chunk", "shard", "codes", "open"]).astype({"chunk": "int64", "shard": "int32", "open": "bool"})
 
 
 def _tuples(shards: int):
-    """The suffix tuples of the keys that need them."""
+    """The suffix tuples of the classes that need them."""
 
     def run(batches):
         squeeze = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            for chunk, head, texts, wanted in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                docs, _, body, offsets = _open(head, texts)
-                row, place, lo, hi, gram = _samples(docs, body, offsets)
-                key, before, after = _context_keys(body, offsets, row, place, lo, hi)
-                hit = _member(key & KEY_MASK, _keys(wanted))
-                row, place, lo, hi, gram, key, before, after = (x[hit] for x in (row, place, lo, hi, gram, key, before, after))
-                first, _ = _classes(key, docs[row])
-                shard = shard_of(gram[first], shards)
-                turn = np.argsort(shard, kind="stable")
-                first = first[turn]
-                padded = np.concatenate([np.zeros(REACH, np.uint8), body, np.zeros(LENGTH, np.uint8)])
-                runs, blocks = _by_shard(shard[turn], shards), []
-                for _, a, b in runs:
-                    f = first[a:b]
+            for chunk, head, texts, told, codes in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                x = Surroundings(head, texts, told, shards)
+                open_ = x.codes(codes) == 2
+                padded = np.concatenate([np.zeros(REACH, np.uint8), x.body, np.zeros(LENGTH, np.uint8)])
+                runs, blocks, at = [], [], 0
+                for shard, a, b in x.runs:
+                    f = x.first[a:b][open_[a:b]]
+                    if not len(f):
+                        continue
                     t = np.zeros(len(f), TUPLE)
-                    t["doc"], t["key"], t["gram"], t["before"], t["after"], t["lo"], t["hi"] = docs[row[f]], key[f], gram[f], before[f], after[f], lo[f], hi[f]
-                    span = padded[place[f][:, None] + np.arange(REACH + LENGTH)]
-                    t["left"] = span[:, REACH - 1 :: -1]
-                    t["right"] = np.where(np.arange(LENGTH) < t["after"][:, None], span[:, REACH:], 0)
+                    t["doc"], t["lo"], t["hi"] = x.docs[x.row[f]], x.lo[f], x.hi[f]
+                    span = padded[x.place[f][:, None] + np.arange(REACH + LENGTH)]
+                    # bytes outside its own strings decide nothing
+                    t["left"] = np.where(np.arange(REACH) < t["hi"][:, None], span[:, REACH - 1 :: -1], 0)
+                    t["right"] = np.where(np.arange(LENGTH) < LENGTH - t["lo"][:, None], span[:, REACH:], 0)
                     # column by column it compresses better
                     blocks.append(squeeze.compress(b"".join(t[name].tobytes() for name in TUPLE.names)))
+                    runs.append((shard, at, at := at + len(f)))
                 yield _block_rows(runs, chunk, blocks)
 
     return run
@@ -385,156 +429,48 @@ def _read_tuples(block: bytes) -> np.ndarray:
     return out
 
 
-def _words(t: np.ndarray) -> list[np.ndarray]:
-    """Sort keys, most significant first: gram, the bytes from the position on, how many there are."""
-    wide = np.zeros((len(t), 56), np.uint8)
-    wide[:, :LENGTH] = t["right"]
-    return [t["gram"], *wide.view(">u8").astype(np.uint64).T, t["after"].astype(np.uint64)]
-
-
-class SuffixQueue:
-    """A disk-backed priority queue of suffix tuples: sorted runs in temporary files, popped in order."""
-
-    def __init__(self):
-        self.runs: list = []
-
-    def push(self, tuples: np.ndarray) -> None:
-        run = tuples[np.lexsort(_words(tuples)[::-1])]
-        file = tempfile.TemporaryFile()
-        run.tofile(file)
-        file.seek(0)
-        self.runs.append(file)
-
-    def _pages(self, i: int, file):
-        with file:
-            while len(page := np.fromfile(file, TUPLE, 8192)):
-                keys = list(zip(*(w.tolist() for w in _words(page)), strict=True))
-                yield from ((k, i, page[x]) for x, k in enumerate(keys))
-
-    def drain(self) -> np.ndarray:
-        return np.array([t for _, _, t in heapq.merge(*(self._pages(i, f) for i, f in enumerate(self.runs)), key=lambda x: x[:2])], TUPLE)
-
-
-def sorted_tuples(parts: list[np.ndarray], run_tuples: int = RUN_TUPLES) -> np.ndarray:
-    total = sum(map(len, parts))
-    if total <= run_tuples:
-        t = np.concatenate(parts)
-        return t[np.lexsort(_words(t)[::-1])]
-    queue, held = SuffixQueue(), []
-    for p in parts:
-        held.append(p)
-        if sum(map(len, held)) >= run_tuples:
-            queue.push(np.concatenate(held))
-            held = []
-    if held:
-        queue.push(np.concatenate(held))
-    return queue.drain()
-
-
-def range_minima(values: np.ndarray) -> list[np.ndarray]:
-    levels, width = [values], 1
-    while 2 * width <= len(values):
-        levels.append(np.minimum(levels[-1][:-width], levels[-1][width:]))
-        width *= 2
-    return levels
+def _mark_rows(frames, page: int = RUN_TUPLES):
+    """From blocks of tuples in order of their shards: (chunk, shard, first tuple, marks) of parts with any mark."""
+    shard, queue = None, None
+    for frame in frames:
+        for no, chunk, block in zip(frame["shard"], frame["chunk"], frame["block"], strict=True):
+            if no != shard:
+                if queue:
+                    yield from ((c, shard, at, marks) for c, at, marks in queue.marked())
+                shard, queue = no, SuffixQueue(page)
+            queue.push(int(chunk), _read_tuples(block))
+    if queue:
+        yield from ((c, shard, at, marks) for c, at, marks in queue.marked())
 
 
-def minimum_between(levels: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Minimum over [a, b) with a < b."""
-    level = np.floor(np.log2(b - a)).astype(np.int64)
-    out = np.empty(len(a), levels[0].dtype)
-    for k in np.unique(level):
-        at = level == k
-        out[at] = np.minimum(levels[k][a[at]], levels[k][b[at] - (1 << k)])
-    return out
+def _marks(frames):
+    for chunk, shard, at, marks in _mark_rows(frames):
+        yield pd.DataFrame({"chunk": [chunk], "shard": [np.int32(shard)], "at": [at], "marks": [_pack(marks, 5)]})
 
 
-def induced_marks(t: np.ndarray) -> np.ndarray:
-    """For sorted tuples: bit d is set if the string starting d bytes before the position is in an earlier document."""
-    n = len(t)
-    marks = np.zeros(n, np.uint64)
-    if n < 2:
-        return marks
-    same = t["right"][1:] == t["right"][:-1]
-    prefix = np.where(same.all(axis=1), LENGTH, same.argmin(axis=1))
-    prefix = np.minimum(prefix, np.minimum(t["after"][1:], t["after"][:-1]))
-    prefix[t["gram"][1:] != t["gram"][:-1]] = 0
-    levels = range_minima(prefix.astype(np.int16))
-    order = np.arange(n)  # suffixes d bytes earlier, in order of those d bytes (nearest first) and then of the suffix
-    left = np.zeros(n, np.int64)  # equal for equal d bytes
-    for d in range(REACH + 1):
-        if d:
-            order = order[t["before"][order] >= d]
-            byte = t["left"][order, d - 1]
-            turn = np.argsort(byte, kind="stable")
-            order, byte = order[turn], byte[turn]
-            edge = np.concatenate([[False], (byte[1:] != byte[:-1]) | (left[order][1:] != left[order][:-1])])[: len(order)]
-            # bytes are compared nearest first: rows with equal bytes so far stay together under the stable pass
-            left[order] = np.cumsum(edge)
-        own = order[(t["lo"][order] <= d) & (t["hi"][order] >= d)]
-        if len(own) < 2:
-            continue
-        own = own[np.lexsort((own, left[own]))]
-        a = np.minimum(own[:-1], n - 2)
-        near = (left[own][1:] == left[own][:-1]) & (minimum_between(levels, a, np.maximum(own[1:], a + 1)) >= LENGTH - d)
-        head = np.flatnonzero(np.concatenate([[True], ~near]))
-        least = np.minimum.reduceat(t["doc"][own], head)
-        later = t["doc"][own] > np.repeat(least, np.diff(np.concatenate([head, [len(own)]])))
-        marks[own[later]] |= U64(1) << U64(d)
-    return marks
-
-
-def _marks(group: pd.DataFrame) -> pd.DataFrame:
-    parts = [_read_tuples(b) for b in group["block"]]
-    t = sorted_tuples(parts)
-    marks = induced_marks(t)
-    found = marks > 0
-    # a chunk sends a key once; other chunks may send the same key for another document, so both name the row
-    keys, docs, marks = t["key"][found], t["doc"][found], marks[found]
-    rows = []
-    by = np.lexsort((docs, keys))
-    keys, docs, marks = keys[by], docs[by], marks[by]
-    for chunk, p in zip(group["chunk"], parts, strict=True):
-        lo = np.searchsorted(keys, p["key"])
-        hi = np.searchsorted(keys, p["key"], "right")
-        at = lo.copy()
-        going = (at < hi) & (docs[np.minimum(at, len(docs) - 1)] != p["doc"]) if len(docs) else np.zeros(len(p), bool)
-        while going.any():
-            at[going] += 1
-            going = (at < hi) & (docs[np.minimum(at, len(docs) - 1)] != p["doc"])
-        hit = at < hi
-        if hit.any():
-            rows.append((chunk, p["key"][hit].tobytes() + _pack(marks[at[hit]], 5)))
-    return pd.DataFrame(rows, columns=["chunk", "block"]).astype({"chunk": "int64"})
-
-
-def removed_bytes(docs, body, offsets, whole: list[bytes], blocks: list[bytes], hot: np.ndarray, later: list[bytes], shards: int) -> np.ndarray:
+def removed_bytes(x: Surroundings, codes, marked, later: list[bytes]) -> np.ndarray:
     """Which bytes of a chunk go."""
-    row, place, lo, hi, _ = _samples(docs, body, offsets)
-    change = np.zeros(len(body) + 1, np.int32)
-    if not len(place):
-        return np.zeros(len(body), bool)
-    key, _, _ = _context_keys(body, offsets, row, place, lo, hi)
-    first, of = _classes(key, docs[row])
-    own = key[first]
+    change = np.zeros(len(x.body) + 1, np.int32)
+    code = x.codes(codes)
     every = U64((1 << REACH + 1) - 1)
-    marks = np.where(_member(own & KEY_MASK, _keys(whole)), every, U64(0))
-    for b in blocks or []:
-        n = len(b) // 13
-        marks[np.searchsorted(own, np.frombuffer(b[: 8 * n], "<u8"))] |= _unpack(b[8 * n :], 5)
-    mark = marks[of]
-    mark[docs[row] > docs[row[first]][of]] = every  # an earlier document of the chunk has the same surroundings
+    marks = np.where(code == 1, every, U64(0))
+    open_ = {k: a + np.flatnonzero(code[a:b] == 2) for k, a, b in x.runs}
+    for m in marked or []:
+        found = _unpack(m["marks"], 5)
+        marks[open_[m["shard"]][m["at"] : m["at"] + len(found)]] |= found
+    mark = marks[x.of]
+    mark[x.docs[x.row] > x.docs[x.row[x.first]][x.of]] = every  # an earlier document of the chunk has the same surroundings
     full = mark == every  # all its strings go: one run of bytes
-    np.add.at(change, (place - hi)[full], 1)
-    np.add.at(change, (place - lo)[full] + LENGTH, -1)
+    np.add.at(change, (x.place - x.hi)[full], 1)
+    np.add.at(change, (x.place - x.lo)[full] + LENGTH, -1)
     some = np.flatnonzero((mark > 0) & ~full)
     for d in range(REACH + 1):
         k = some[((mark[some] >> U64(d)) & U64(1)).astype(bool)]
-        at = (place[k] - d)[(lo[k] <= d) & (hi[k] >= d)]
+        at = (x.place[k] - d)[(x.lo[k] <= d) & (x.hi[k] >= d)]
         np.add.at(change, at, 1)
         np.add.at(change, at + LENGTH, -1)
-    if len(hot):
-        start, hashed, doc = _strings(docs, body, offsets, hot, shards)
+    if len(x.hot):
+        start, hashed, doc = x.strings()
         first, of = _classes(hashed, doc)
         known = np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(b, "<u8") for b in later or [])]))
         at = start[_member(hashed, known) | (doc > doc[first][of])]
@@ -545,9 +481,10 @@ def removed_bytes(docs, body, offsets, whole: list[bytes], blocks: list[bytes],
 
 def _finish(batches, shards: int):
     for batch in batches:
-        for head, texts, whole, blocks, shared, later in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
-            docs, null, body, offsets = _open(head, texts)
-            gone = removed_bytes(docs, body, offsets, whole, blocks, _told(shared, "hot"), later, shards)
+        for head, texts, told, codes, marked, later in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+            x = Surroundings(head, texts, told, shards)
+            docs, null, body, offsets = x.docs, x.null, x.body, x.offsets
+            gone = removed_bytes(x, codes, marked, later)
             begins = gone & ~np.concatenate([[False], gone[:-1]])
             inner = offsets[(offsets > 0) & (offsets < len(body))]
             begins[inner] = gone[inner]
@@ -578,28 +515,49 @@ BLOCKS = "shard int, chunk long, block binary"
 
 
 def dedup_substrings(docs: DataFrame, with_text: bool = False, hot_samples: int = HOT_SAMPLES, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept bytes) for every document."""
-    docs = light_batches(docs)
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept bytes) for every document; ids are whole numbers."""
+    kind = dict(docs.dtypes)["doc_id"]
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"doc_id orders the documents and has to be a whole number, not {kind}")
     spark = docs.sparkSession
-    size = text_bytes(docs)
-    shards = buckets_for(size, TEXT_PER_SHARD, 64)
-    name = f"substring_chunks_{uuid.uuid4().hex}"
-    # bucketed by chunk, so that the later joins move only what is told to the chunks and never the texts
-    spread = max(buckets_for(size, CHUNK_BYTES // 2, 12), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_chunk_rows(chunk_bytes), "chunk long, head binary, texts binary").write.bucketBy(spread, "chunk").saveAsTable(name)
-    chunks = spark.table(name)
+    docs = light_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    with scratch(spark) as keep:
+        size = text_bytes(docs)
+        # bucketed by chunk, so that the later joins move only what is told to the chunks and never the texts
+        spread = max(buckets_for(size, CHUNK_BYTES // 2, 12), int(spark.conf.get("spark.sql.shuffle.partitions")))
+        name = f"substring_chunks_{uuid.uuid4().hex}"
+        try:
+            rows = docs.mapInArrow(_chunk_rows(chunk_bytes), "chunk long, head binary, texts binary")
+            rows.write.bucketBy(spread, "chunk").option("path", new_folder(spark, "substring-chunks")).saveAsTable(name)
+            out = _deduped(spark.table(name), buckets_for(size, TEXT_PER_SHARD, 64), hot_samples, with_text)
+            return keep(out.withColumn("doc_id", F.col("doc_id").cast(kind)), "substring-result")
+        finally:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def _deduped(chunks: DataFrame, shards: int, hot_samples: int, with_text: bool) -> DataFrame:
+    spark = chunks.sparkSession
     shared = chunks.mapInArrow(_grams(shards), BLOCKS).groupBy("shard").applyInPandas(_shared(hot_samples), "chunk long, shard int, block binary, hot binary")
-    told = staged(shared.groupBy("chunk").agg(F.collect_list(F.struct("shard", "block", "hot")).alias("shared")), "substring-grams")
-    spread_out = chunks.join(told.where(F.exists("shared", lambda x: F.length(x["hot"]) > 0)).hint("merge"), "chunk").select("chunk", "head", "texts", "shared")
-    later = spread_out.mapInArrow(_hot_strings(shards), BLOCKS).groupBy("shard").applyInPandas(_later_strings, "chunk long, block binary").groupBy("chunk").agg(F.collect_list("block").alias("later"))
-    contexts = chunks.join(told.hint("merge"), "chunk").select("chunk", "head", "texts", "shared").mapInArrow(_contexts(shards), BLOCKS)
-    coded = contexts.groupBy("shard").applyInPandas(_coded, "chunk long, whole binary, open binary")
-    coded = staged(coded.groupBy("chunk").agg(F.collect_list("whole").alias("whole"), F.collect_list("open").alias("open")), "substring-keys")
-    tuples = chunks.join(coded.hint("merge"), "chunk").select("chunk", "head", "texts", "open").mapInArrow(_tuples(shards), BLOCKS)
-    marks = tuples.groupBy("shard").applyInPandas(_marks, "chunk long, block binary").groupBy("chunk").agg(F.collect_list("block").alias("blocks"))
-    only_hot = F.filter("shared", lambda x: F.length(x["hot"]) > 0)
-    decided = told.select("chunk", only_hot.alias("shared")).join(coded.select("chunk", "whole"), "chunk", "left").join(marks, "chunk", "left").join(later, "chunk", "left")
-    ready = chunks.join(decided.hint("merge"), "chunk", "left").select("head", "texts", "whole", "blocks", "shared", "later")
+    told = staged(shared.groupBy("chunk").agg(F.collect_list(F.struct("shard", "block", "hot")).alias("told")), "substring-grams")
+    freed(spark)
+    contexts = chunks.join(told.hint("merge"), "chunk").select("chunk", "head", "texts", "told").mapInArrow(_contexts(shards), BLOCKS)
+    coded = contexts.groupBy("shard").applyInPandas(_coded, "chunk long, shard int, codes binary, open boolean")
+    coded = staged(coded.groupBy("chunk").agg(F.collect_list(F.struct("shard", "codes")).alias("codes"), F.max("open").alias("open")), "substring-codes")
+    freed(spark)
+    asked = told.join(coded.where("open"), "chunk").select("chunk", "told", "codes")
+    tuples = chunks.join(asked.hint("merge"), "chunk").select("chunk", "head", "texts", "told", "codes").mapInArrow(_tuples(shards), BLOCKS)
+    # blocks stream through the tasks in order of their shards; a shard is never held as a group
+    tasks = max(shards // 4, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    sorted_blocks = tuples.repartition(tasks, "shard").sortWithinPartitions("shard", "chunk")
+    marks = sorted_blocks.mapInPandas(_marks, "chunk long, shard int, at long, marks binary")
+    marks = marks.groupBy("chunk").agg(F.collect_list(F.struct("shard", "at", "marks")).alias("marked"))
+    hot = told.where(F.exists("told", lambda x: F.length(x["hot"]) > 0))
+    later = chunks.join(hot.hint("merge"), "chunk").select("chunk", "head", "texts", "told").mapInArrow(_hot_strings(shards), BLOCKS)
+    later = later.groupBy("shard").applyInPandas(_later_strings, "chunk long, block binary").groupBy("chunk").agg(F.collect_list("block").alias("later"))
+    decided = told.join(coded.drop("open"), "chunk", "left").join(marks, "chunk", "left").join(later, "chunk", "left")
+    decided = staged(decided, "substring-decided")
+    freed(spark)
+    ready = chunks.join(decided.hint("merge"), "chunk", "left").select("head", "texts", "told", "codes", "marked", "later")
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     columns = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     return ready.mapInArrow(_results(shards, [*names, "kept"]), columns + ", kept binary") if with_text else ready.mapInArrow(_results(shards, names), columns)

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from robustclust.llm import substring_dedup as sd
+from robustclust.llm import suffix_queue
 
 from .conftest import ODD
 
@@ -66,16 +67,65 @@ def test_small_chunks_and_hot_grams(documents, hot):
     assert run(documents, docs, hot_samples=hot, chunk_bytes=600) == brute(docs)
 
 
-def test_disk_queue_sorts_like_memory():
+def tuples_of(docs):
+    """Tuples of every sampled position, and for each which of its strings an earlier document has."""
+    rows, want = [], []
+    least = {}
+    for d, t in docs:
+        raw = t.encode()
+        for i in range(len(raw) - 49):
+            least[raw[i : i + 50]] = min(least.get(raw[i : i + 50], d), d)
+    for d, t in docs:
+        raw = np.frombuffer(t.encode(), np.uint8)
+        _, place, lo, hi, _ = sd.sample(raw, np.array([0, len(raw)]))
+        for p, a, b in zip(place, lo, hi, strict=True):
+            left, right = np.zeros(sd.REACH, np.uint8), np.zeros(50, np.uint8)
+            left[:b], right[: 50 - a] = raw[p - b : p][::-1], raw[p : p + 50 - a]
+            rows.append((d, a, b, left, right))
+            want.append(sum(1 << x for x in range(a, b + 1) if least[raw[p - x : p - x + 50].tobytes()] < d))
+    return np.array(rows, sd.TUPLE), want
+
+
+@pytest.mark.parametrize("page", [16, 97, 1 << 18])
+def test_queue_of_many_times_its_memory(page):
+    """A shard of over a hundred pages: runs, streams, queues, marks and open runs go through files."""
+    docs = [(d, t) for d, t in shuffled(11, 60) if t]
+    docs += [(100 + i, docs[0][1] + "tail" * i) for i in range(40)] + [(500 + i, "the edge of a passage that everybody has, and then " + chr(97 + i) * 20) for i in range(26)]
+    tuples, want = tuples_of(docs)
+    assert len(tuples) > 1600
+    queue = suffix_queue.SuffixQueue(page)
+    cuts = np.array_split(np.arange(len(tuples)), 23)
+    for c, at in enumerate(cuts):
+        queue.push(c, tuples[at])
+    got = np.zeros(len(tuples), np.uint64)
+    for c, at, marks in queue.marked():
+        got[cuts[c][at : at + len(marks)]] = marks
+    assert got.tolist() == want
+
+
+def test_merge_is_in_order_and_files_are_used():
     rng = np.random.default_rng(1)
-    t = np.zeros(500, sd.TUPLE)
-    t["gram"] = rng.integers(0, 5, 500)
-    t["right"] = rng.integers(0, 3, (500, 50))
-    t["after"] = 50
-    t["key"] = np.arange(500)
-    parts = np.array_split(t, 7)
-    a, b = sd.sorted_tuples(parts), sd.sorted_tuples(parts, run_tuples=100)
-    assert a["gram"].tolist() == b["gram"].tolist() and (a["right"] == b["right"]).all()
+    t = np.zeros(5000, sd.TUPLE)
+    t["right"] = rng.integers(0, 3, (5000, 50))
+    queue = suffix_queue.SuffixQueue(500)
+    for part in np.array_split(t, 7):
+        queue.push(0, part)
+    pages = list(queue.merged())
+    assert len(queue.runs) >= 10 and max(map(len, pages)) <= 64 * len(queue.runs)
+    right = np.concatenate([p["right"] for p in pages])
+    assert len(right) == 5000 and (np.sort(right) == right).all()
+    assert sorted(np.concatenate([p["number"] for p in pages]).tolist()) == list(range(5000))
+
+
+def test_columns_and_ids(spark, documents):
+    docs = documents(shuffled(3, 12))
+    wide = docs.selectExpr("CAST(doc_id AS INT) AS doc_id", "text", "1 AS chunk", "2 AS n_bytes", "3 AS kept", "4 AS shard")
+    got = sd.dedup_substrings(wide)
+    assert got.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] and dict(got.dtypes)["doc_id"] == "int"
+    assert sorted(map(repr, (tuple(r) for r in got.collect()))) == brute(shuffled(3, 12))
+    with pytest.raises(ValueError):
+        sd.dedup_substrings(docs.selectExpr("CAST(doc_id AS STRING) AS doc_id", "text"))
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("substring")]
 
 
 def test_every_string_is_sampled_at_one_place():
