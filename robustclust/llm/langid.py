@@ -7,7 +7,10 @@ bit is predicted on the training rows; a small lead over the runner-up is flagge
 Training reads text and non-null lang of rows whose crc32(doc_id) mod 5 isn't 0: a sample of at most ``limit`` rows in
 expectation (a documented bound), equal shares a language.
 
-Defined results: a null text, or one without any letter, is ``und`` with score 0; without training rows all are.
+Defined results: a null text, or one without any letter, is ``und`` with score 0; without training rows all are; equal
+losses go to the language that sorts first; identical rows get identical results; an empty table gives no rows; a text of
+any length is read whole; extra columns are ignored. Training rows are ordered by their own values, so the model is the
+same for every partitioning.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from robustclust.llm.learning import Adam, share_for, sigmoid, unit_hash
+from robustclust.llm.learning import Adam, first_rows, share_for, sigmoid, unit_hash
 from robustclust.llm.session import crc_mod, light_batches
 from robustclust.llm.textops import LOWER, byte_table, column_bytes, row_of, text_chunks
 
@@ -61,14 +64,21 @@ def code_matrix(classes: int, seed: int = 3) -> np.ndarray:
     return best
 
 
+def bit_loss(x: np.ndarray, target: np.ndarray, w: np.ndarray, b: np.ndarray) -> tuple[float, tuple[np.ndarray, np.ndarray]]:
+    """The logistic loss of all bits, with its gradients."""
+    margin = target * (x @ w + b)
+    slope = -target * sigmoid(-margin).astype(w.dtype) / len(x)
+    return float(np.logaddexp(0, -margin).sum() / len(x)), (x.T @ slope, slope.sum(axis=0))
+
+
 def fit_bits(x: np.ndarray, y: np.ndarray, codes: np.ndarray, steps: int = 250) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(weights, biases, bit weights of the decoding) of the binary classifiers."""
     target = codes[y].astype(np.float32)
     w, b = np.zeros((x.shape[1], codes.shape[1]), np.float32), np.zeros(codes.shape[1], np.float32)
     adam = Adam([w, b], 0.05)
     for _ in range(steps):
-        slope = -target * sigmoid(-target * (x @ w + b)).astype(np.float32) / len(x)
-        adam.step([x.T @ slope + 1e-5 * w, slope.sum(axis=0)])
+        _, (to_w, to_b) = bit_loss(x, target, w, b)
+        adam.step([to_w + 1e-5 * w, to_b])
     right = ((x @ w + b > 0) == (target > 0)).mean(axis=0)
     trust = np.maximum(2 * right - 1, 0.05)
     return w, b, (trust / trust.sum()).astype(np.float32)
@@ -101,7 +111,10 @@ def fit(docs: DataFrame, limit: int = 6000) -> dict:
         return {"langs": []}
     each = max(1, limit // len(langs))
     shares = F.create_map(*[F.lit(x) for lang in langs for x in (lang, share_for(each, counts[lang]))])
-    rows = usable.where(unit_hash("doc_id", "text") < shares[F.col("lang")]).select("lang", "text").mapInArrow(_features, "lang string, features binary").limit(2 * limit).collect()
+    features = usable.where(unit_hash("doc_id", "text") < shares[F.col("lang")]).select("lang", "text").mapInArrow(_features, "lang string, features binary")
+    rows = first_rows(features, 2 * limit, "features", "lang").collect()
+    if not rows:
+        return {"langs": []}
     x = np.stack([np.frombuffer(r["features"], np.float32) for r in rows])
     y = np.array([langs.index(r["lang"]) for r in rows])
     codes = code_matrix(len(langs))

@@ -5,7 +5,10 @@ those two samples alone (the best-bin estimator: the least ratio of tail masses,
 ``prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))`` with the logistic loss. Inputs are surface statistics of the whole
 text. Both samples are bounded (documented parameters); every document is scored.
 
-Defined results: a null text counts as empty and is scored as such; without positives the score is 0.5 everywhere.
+Defined results: a null text counts as empty and is scored as such; a text of any length is read whole; identical rows
+(ties) get identical scores; without positives the score is 0.5 everywhere; an empty table gives no rows; extra columns
+are ignored, and ``keep_good`` returns them unchanged whatever their names. Training rows are ordered by their own
+values before anything is drawn from them, so the model is the same for every partitioning.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from robustclust.llm.learning import Adam, share_for, sigmoid, unit_hash
+from robustclust.llm.learning import Adam, first_rows, share_for, sigmoid, unit_hash
 from robustclust.llm.session import crc_mod, light_batches
 from robustclust.llm.textops import LOWER, NOT_SPACE, byte_table, column_bytes, row_of, row_sums, text_chunks, word_hashes, words
 
@@ -87,6 +90,29 @@ def estimate_prior(pos: np.ndarray, unl: np.ndarray, delta: float = 0.1, gamma:
     return float(np.clip(u[best] / p[best], 0.05, 0.98))
 
 
+def risk(params: list[np.ndarray], p: np.ndarray, u: np.ndarray, prior: float | None) -> tuple[float, list[np.ndarray]]:
+    """The non-negative unbiased risk of a batch of positives and unlabelled rows, and the step's gradients.
+
+    prior None: the loss of plain separation. Where the risk's negative part falls below zero it overfits; the gradients
+    then lead back along it instead.
+    """
+    x = np.concatenate([p, u])
+    z = np.tanh(x @ params[0] + params[1])
+    g = z @ params[2] + params[3]
+    gp, gu = g[: len(p)], g[len(p) :]
+    loss = lambda v: np.logaddexp(0, v).mean()
+    if prior is None:
+        value = (loss(-gp) + loss(gu)) / 2
+        slope = np.concatenate([-sigmoid(-gp) / len(p), sigmoid(gu) / len(u)]) / 2
+    else:
+        negative = loss(gu) - prior * loss(gp)
+        value = prior * loss(-gp) + max(0.0, negative)
+        on_p, off_p, off_u = -prior * sigmoid(-gp) / len(p), -prior * sigmoid(gp) / len(p), sigmoid(gu) / len(u)
+        slope = np.concatenate([on_p + off_p, off_u]) if negative >= 0 else -np.concatenate([off_p, off_u])
+    back = slope[:, None] * params[2] * (1 - z * z)
+    return float(value), [x.T @ back, back.sum(axis=0), z.T @ slope, slope.sum(keepdims=True)]
+
+
 def fit_network(pos: np.ndarray, unl: np.ndarray, prior: float | None, seed: int = 1, hidden: int = 24, epochs: int = 60, batch: int = 1024) -> list[np.ndarray]:
     """One hidden layer; prior None: plain separation of the two samples (for the estimate of the prior)."""
     rng = np.random.default_rng(seed)
@@ -98,19 +124,8 @@ def fit_network(pos: np.ndarray, unl: np.ndarray, prior: float | None, seed: int
         for _ in range(steps):
             p = pos[rng.integers(0, len(pos), min(batch, len(pos)))]
             u = unl[rng.integers(0, len(unl), min(batch, len(unl)))]
-            x = np.concatenate([p, u])
-            z = np.tanh(x @ params[0] + params[1])
-            g = z @ params[2] + params[3]
-            gp, gu = g[: len(p)], g[len(p) :]
-            if prior is None:
-                slope = np.concatenate([-sigmoid(-gp) / len(p), sigmoid(gu) / len(u)]) / 2
-            else:
-                negative = np.log1p(np.exp(gu)).mean() - prior * np.log1p(np.exp(gp)).mean()
-                on_p, off_p, off_u = -prior * sigmoid(-gp) / len(p), -prior * sigmoid(gp) / len(p), sigmoid(gu) / len(u)
-                # below zero the negative part overfits: step back along it instead
-                slope = np.concatenate([on_p + off_p, off_u]) if negative >= 0 else -np.concatenate([off_p, off_u])
-            back = slope[:, None] * params[2] * (1 - z * z)
-            adam.step([x.T @ back + 1e-4 * params[0], back.sum(axis=0), z.T @ slope + 1e-4 * params[2], slope.sum(keepdims=True)])
+            _, grads = risk(params, p, u, prior)
+            adam.step([g + 1e-4 * w if w.ndim == 2 or w is params[2] else g for g, w in zip(grads, params, strict=True)])
     return params
 
 
@@ -130,13 +145,14 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = 6000, unlabelled: i
     docs = light_batches(docs)
     learn = crc_mod("doc_id", 4) != 2
     trusted = labels.where(learn & (F.col("quality") == 1)).select("doc_id").distinct()
-    trusted = trusted.where(unit_hash("doc_id") < share_for(positives, trusted.count())).limit(2 * positives).withColumn("trusted", F.lit(True))
+    trusted = first_rows(trusted.where(unit_hash("doc_id") < share_for(positives, trusted.count())), 2 * positives, "doc_id").withColumn("trusted", F.lit(True))
     usable = docs.select("doc_id", "text").where(learn)
     drawn = unit_hash("doc_id", "text", seed=9) < share_for(unlabelled, usable.count())
     # the trusted ids are bounded by the parameter, so they may be broadcast
     chosen = usable.join(F.broadcast(trusted), "doc_id", "left").withColumn("drawn", drawn).where("trusted or drawn")
     role = F.array_compact(F.array(F.when(F.col("trusted"), True), F.when(F.col("drawn"), False)))
-    rows = chosen.select(F.explode(role).alias("trusted"), "text").mapInArrow(_features, "trusted boolean, features binary").limit(2 * (positives + unlabelled)).collect()
+    features = chosen.select(F.explode(role).alias("trusted"), "text").mapInArrow(_features, "trusted boolean, features binary")
+    rows = first_rows(features, 2 * (positives + unlabelled), "features", "trusted").collect()
     pos = np.array([np.frombuffer(r["features"], np.float32) for r in rows if r["trusted"]], float).reshape(-1, FEATURES)
     unl = np.array([np.frombuffer(r["features"], np.float32) for r in rows if not r["trusted"]], float).reshape(-1, FEATURES)
     if len(pos) < 8 or len(unl) < 8:
@@ -151,28 +167,25 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = 6000, unlabelled: i
     return {"params": fit_network(pos, unl, prior), "mean": mean, "spread": spread, "prior": prior}
 
 
-def score(docs: DataFrame, model: dict, keep: list[str] | None = None) -> DataFrame:
-    """doc_id, held_out, score, predicted for every document (or all of ``keep`` plus score and predicted)."""
+def score_texts(model: dict, body: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    parts = [np.zeros(0)]
+    for _, _, part, off in text_chunks(body, offsets):
+        x = surface_features(part, off)
+        parts.append(sigmoid(network(model["params"], (x - model["mean"]) / model["spread"])) if model["params"] is not None else np.full(len(x), 0.5))
+    return np.concatenate(parts)
+
+
+def score(docs: DataFrame, model: dict) -> DataFrame:
+    """doc_id, held_out, score, predicted for every document."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    columns = keep or ["doc_id", "held_out"]
-    ready = docs.withColumn("_scored", F.col("text"))
-    if not keep:
-        ready = ready.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "_scored")
 
     def run(batches):
-        m = shared.value
         for batch in batches:
-            body, offsets = column_bytes(batch.column(batch.num_columns - 1))
-            parts = [np.zeros(0)]
-            for _, _, part, off in text_chunks(body, offsets):
-                x = surface_features(part, off)
-                parts.append(sigmoid(network(m["params"], (x - m["mean"]) / m["spread"])) if m["params"] is not None else np.full(len(x), 0.5))
-            s = np.concatenate(parts)
-            out = [*batch.columns[:-1], pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(out, names=[*columns, "score", "predicted"])
+            s = score_texts(shared.value, *column_bytes(batch.column(2)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    kinds = dict(ready.dtypes)
-    return ready.select(*columns, "_scored").mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", score double, predicted int")
+    ready = docs.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "text")
+    return ready.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -180,4 +193,11 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = fit(docs, labels)
     if model["params"] is None:
         return docs
-    return score(docs, model, docs.columns).where("predicted = 1").select(*docs.columns)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            s = score_texts(shared.value, *column_bytes(batch.column(batch.schema.get_field_index("text"))))
+            yield batch.filter(pa.array(s >= THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -5,8 +5,11 @@ the whole text, max pooling keeps each filter's strongest response and a linear
 filters are multiplied into the embeddings beforehand, so a response is a sum of table rows. Thresholds are calibrated
 for the language that a byte-pair model reads from the text itself, and scores shifted so that each threshold is 0.3.
 
-Defined results: a null or empty text has no windows and is scored by the biases alone; without labelled rows of both
-classes the score is 0 everywhere. The training sample is bounded by a documented parameter; every document is scored.
+Defined results: a null or empty text has no windows and is scored by the biases alone; a text of any length is read
+whole; identical rows (ties) get identical scores; without labelled rows of both classes the score is 0 everywhere; an
+empty table gives no rows; extra columns are ignored. The training sample is bounded by documented parameters (rows a
+class and words in all), ordered by its own values and dealt to folds by these, so the model is the same for every
+partitioning; every document is scored.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from robustclust.llm.learning import Adam, share_for, sigmoid, unit_hash
+from robustclust.llm.learning import Adam, first_rows, share_for, sigmoid, unit_hash
 from robustclust.llm.session import crc_mod, light_batches
 from robustclust.llm.textops import ALNUM, LOWER, column_bytes, prefix_hash, row_of, span_hash, text_chunks, words
 
@@ -63,7 +66,7 @@ def windows_of(first: np.ndarray, width: int) -> np.ndarray:
 
 def pooled(response: np.ndarray, ok: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Maximum over each text's windows, not below 0 (the rectifier); 0 for a text without windows."""
-    out = np.zeros((len(first) - 1, response.shape[1]), np.float32)
+    out = np.zeros((len(first) - 1, response.shape[1]), response.dtype)
     some = np.flatnonzero(np.diff(first))
     if len(some):
         response[~ok] = 0
@@ -103,7 +106,8 @@ class Network:
     def logits(self, word, head, first, tables) -> np.ndarray:
         gathered = tables[0][word] + tables[1][head]
         pool = [pooled(r, windows_of(first, w), first) for r, w in zip(self.responses(gathered), WIDTHS, strict=True)]
-        return np.concatenate(pool, axis=1) @ self.out + self.out_bias[0]
+        # row by row, so that a text's score doesn't depend on the texts it is scored with
+        return (np.concatenate(pool, axis=1).astype(float) * self.out).sum(axis=1) + self.out_bias[0]
 
     def train(self, texts: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weight: np.ndarray, epochs: int | None = None, batch: int = 48, seed: int = 6) -> None:
         epochs = epochs or int(np.clip(900 * batch // max(1, len(texts)), 8, 40))  # few texts are seen more often
@@ -121,11 +125,17 @@ class Network:
     def _step(self, adam, rng, word, head, first, y, weight) -> None:
         # words and prefixes that are missing now and then keep the network from learning texts by heart
         kept = (rng.random((2, len(word))) >= self.drop).astype(np.float32) / (1 - self.drop)
+        _, (g_word, g_head, *g_filters, g_bias, g_out, g_out_bias) = self.loss(kept, word, head, first, y, weight)
+        adam.step([g_word + self.l2 * self.word, g_head + self.l2 * self.head, *(g + 1e-5 * f for g, f in zip(g_filters, self.filters, strict=True)), g_bias, g_out, g_out_bias])
+
+    def loss(self, kept, word, head, first, y, weight) -> tuple[float, list[np.ndarray]]:
+        """Weighted logistic loss of a batch and its gradients; ``kept`` scales each word's and each prefix's vector."""
         x = self.word[word] * kept[0][:, None] + self.head[head] * kept[1][:, None]
         responses = self.responses(x @ np.concatenate(self.filters, axis=1))
         pool = [pooled(r, windows_of(first, w), first) for r, w in zip(responses, WIDTHS, strict=True)]
         z = np.concatenate(pool, axis=1)
-        slope = ((sigmoid(z @ self.out + self.out_bias[0]) - y) * weight / len(y)).astype(np.float32)
+        logit = z @ self.out + self.out_bias[0]
+        slope = ((sigmoid(logit) - y) * weight / len(y)).astype(self.out.dtype)
         back = slope[:, None] * self.out * (z > 0)
         g_word, g_head = np.zeros_like(self.word), np.zeros_like(self.head)
         g_filters = [np.zeros_like(f) for f in self.filters]
@@ -141,7 +151,8 @@ class Network:
                     to = g[:, None] * self.filters[c].T[col]
                     np.add.at(g_word, word[at + j], to * kept[0][at + j, None])
                     np.add.at(g_head, head[at + j], to * kept[1][at + j, None])
-        adam.step([g_word + self.l2 * self.word, g_head + self.l2 * self.head, *(g + 1e-5 * f for g, f in zip(g_filters, self.filters, strict=True)), back.sum(axis=0), z.T @ slope, slope.sum(keepdims=True)])
+        value = float(((np.logaddexp(0, logit) - y * logit) * weight).sum() / len(y))
+        return value, [g_word, g_head, *g_filters, back.sum(axis=0), z.T @ slope, slope.sum(keepdims=True)]
 
 
 def fit_language(x: np.ndarray, y: np.ndarray, classes: int, steps: int = 120) -> tuple[np.ndarray, np.ndarray]:
@@ -172,7 +183,7 @@ def _tokens(batches):
         ids, langs = [], []
         for _, _, part, off in text_chunks(body, offsets):
             word, head, first = token_ids(part, off)
-            ids += [np.stack([word[a:b], head[a:b]]).astype(np.int32).tobytes() for a, b in zip(first, first[1:], strict=False)]
+            ids += [np.stack([word[a:b], head[a:b]]).astype(np.uint16).tobytes() for a, b in zip(first, first[1:], strict=False)]
             langs += [v.tobytes() for v in language_features(part, off)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary()), pa.array(langs, pa.binary())], names=["lang", "toxic", "ids", "pairs"])
 
@@ -182,18 +193,24 @@ def _logits(net: Network, texts: list, tables) -> np.ndarray:
     return net.logits(np.concatenate([w for w, _ in texts]), np.concatenate([h for _, h in texts]), first, tables)
 
 
-def fit(docs: DataFrame, labels: DataFrame, each: int = 3000) -> dict:
-    """Network, language model and thresholds from at most ``each`` labelled rows a class, in expectation."""
+def fit(docs: DataFrame, labels: DataFrame, each: int = 3000, most_words: int = 4_000_000) -> dict:
+    """Network, language model and thresholds from at most ``each`` labelled rows a class, in expectation, and of these from
+    whole texts of at most ``most_words`` words (or one longer text)."""
     docs = light_batches(docs)
     known = labels.where((crc_mod("doc_id", 4) != 2) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not counts.get(0) or not counts.get(1):
         return {"net": None}
     share = {k: share_for(each, counts[k]) for k in (0, 1)}
-    chosen = known.where(unit_hash("doc_id") < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0])).limit(4 * each)
+    chosen = first_rows(known.where(unit_hash("doc_id") < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0])), 4 * each, "doc_id")
     # the chosen ids are bounded by the parameter, so they may be broadcast
-    rows = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id").select("lang", "toxic", "text").mapInArrow(_tokens, "lang string, toxic int, ids binary, pairs binary").limit(8 * each).collect()
-    texts = [tuple(np.frombuffer(r["ids"], np.int32).reshape(2, -1)) for r in rows]
+    texts = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id").select("lang", "toxic", "text")
+    read = texts.mapInArrow(_tokens, "lang string, toxic int, ids binary, pairs binary").withColumn("at", F.xxhash64("ids", "toxic"))
+    sizes = read.select("at", F.length("ids").alias("bytes")).orderBy("at").limit(8 * each).collect()
+    held = np.cumsum([r["bytes"] // 4 for r in sizes])
+    last = sizes[max(0, int(np.searchsorted(held, most_words, "right")) - 1)]["at"] if sizes else 0
+    rows = first_rows(read.where(F.col("at") <= last), 8 * each, "ids", "toxic", "lang").collect()
+    texts = [tuple(np.frombuffer(r["ids"], np.uint16).reshape(2, -1).astype(np.int32)) for r in rows]
     y = np.array([r["toxic"] for r in rows], np.float32)
     weight = np.where(y == 1, 1 / share[1], 1 / share[0]).astype(np.float32)
     if len(set(y.tolist())) < 2:
