@@ -5,9 +5,15 @@ file system that Spark reaches will do and a retried task leaves no partial arch
 Content-Length. Each archive gives one run of captures sorted by URL key and timestamp; runs are dealt out by ranges of
 (URL key, timestamp, page_id) and each range is merged by a loser tree whose overfull buffers spill to sorted files.
 
+Archives hold records of about one size each, and so few that none exceeds ``ARCHIVE_BYTES`` unless one record does: a
+task reads one archive at a time. Runs that a merge spills are files of the task; a lost task is run again from the
+staged runs.
+
 Defined results: a null html is an empty payload; a null url becomes ``urn:unknown``; of rows with equal payloads of
-100 bytes or more all but those with the smallest page_id are revisits (a null page_id too, if another has one);
-an empty table gives an empty index; extra columns are ignored.
+100 bytes or more all but those with the smallest page_id are revisits (a null page_id too, if another has one; with
+null page_ids only, all are responses); repeated rows are records of their own, those with the smallest page_id all
+responses; an html of any length is one record; an empty table gives an empty index; extra columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -16,7 +22,6 @@ import hashlib
 import pickle
 import re
 import tempfile
-import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from urllib.parse import urlsplit
@@ -25,15 +30,21 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from robustclust.llm.session import buckets_for, shared_dir, staged
+from robustclust.llm.components import spread_join
+from robustclust.llm.session import buckets_for, new_folder, scratch, staged
 
 LEAST_SHARED_BYTES = 100
-RECORDS_PER_FILE = 4096
+#: bytes of the archives, uncompressed, and the most records of one
+ARCHIVE_BYTES, RECORDS_PER_FILE = 256 << 20, 4096
+#: payload bytes up to which a record goes to the archives of its class; beyond the last, to those of the largest
+CLASSES = (64 << 10, 1 << 20, 16 << 20)
+#: digests (64 characters each) that may be broadcast, counted before
+BROADCAST_DIGESTS = 200_000
 ROWS_PER_RANGE = 50_000
 SPILL_ROWS = 200_000
 #: fixed values of the format
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-EPOCH = 1_704_067_200
+EPOCH = "2024-01-01 00:00:00"
 INDEX = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, urlkey string, captured string, archive string, offset long, length long"
 
 
@@ -42,9 +53,13 @@ def plan_records(pages: DataFrame) -> DataFrame:
     body = F.coalesce("html", F.lit(""))
     known = pages.select("page_id", "url", body.alias("html"), F.sha2(body.cast("binary"), 256).alias("digest"), F.octet_length(body).cast("long").alias("n"))
     shared = known.where(F.col("n") >= LEAST_SHARED_BYTES).groupBy("digest").agg(F.min("page_id").alias("least"), F.count("*").alias("copies")).where("copies > 1 and least is not null")
-    shared = staged(shared.select("digest", "least"), "warc-shared")
+    shared = staged(shared, "warc-shared")
     later = F.col("page_id").isNull() | (F.col("page_id") > F.col("least"))
-    joined = known.join(shared, "digest", "left")
+    count, rows = shared.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0))).first()
+    if count <= BROADCAST_DIGESTS:
+        joined = known.join(F.broadcast(shared), "digest", "left")
+    else:  # a common payload doesn't gather its pages in a task, and short ones travel under no key at all
+        joined = spread_join(known, shared, "digest", "copies", "least", rows, "page_id", F.col("n") < LEAST_SHARED_BYTES)
     return joined.select("page_id", "url", "html", "digest", "n", F.when(later & F.col("least").isNotNull() & (F.col("n") >= LEAST_SHARED_BYTES), F.col("least")).alias("first_id"))
 
 
@@ -55,7 +70,9 @@ def record_text(plan: DataFrame) -> DataFrame:
     again = F.col("first_id").isNotNull()
     block = F.when(again, http).otherwise(F.concat(http, F.col("html")))
     page = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
-    date = F.date_format(F.timestamp_seconds(F.lit(EPOCH) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(10**9))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    # a timestamp without a zone: the text is the same whatever the session's zone is
+    since = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(10**9)).cast("decimal(18,6)"))
+    date = F.concat(F.replace((F.lit(EPOCH).cast("timestamp_ntz") + since).cast("string"), F.lit(" "), F.lit("T")), F.lit("Z"))
     uri = F.regexp_replace(F.coalesce("url", F.lit("urn:unknown")), r"[\x00-\x20\x7F]", "%20")
     head = F.concat(
         F.lit(f"WARC/1.1{crlf}"),
@@ -74,9 +91,18 @@ def record_text(plan: DataFrame) -> DataFrame:
 
 def write_archives(pages: DataFrame, path: str | None = None) -> str:
     """Write the archives; returns their folder."""
-    path = path or f"{shared_dir(pages.sparkSession)}/robustclust-warc-{uuid.uuid4().hex}"
-    sink = record_text(plan_records(pages)).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE)
-    sink.text(path)
+    path = path or new_folder(pages.sparkSession, "warc")
+    plan = plan_records(pages)
+    longest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
+    least = -1
+    for most in (*CLASSES, max(longest, CLASSES[-1])):
+        each = max(1, min(RECORDS_PER_FILE, ARCHIVE_BYTES // most))
+        own = plan.where((F.col("n") > least) & (F.col("n") <= most))
+        sink = record_text(own).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", each)
+        sink.text(f"{path}/to-{most}" if least < CLASSES[-1] else f"{path}/longer")
+        least = most
+        if longest <= most:
+            break
     return path
 
 
@@ -126,7 +152,7 @@ def _runs(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 n = int(re.search(rb"Content-Length: (\d+)", http)[1]) if again else len(payload)
                 digest = headers["WARC-Payload-Digest"].removeprefix("sha256:") if again else hashlib.sha256(payload).hexdigest()
                 captured = re.sub(r"\D", "", headers["WARC-Date"])
-                rows.append((_page(headers["WARC-Record-ID"]), n, digest, headers["WARC-Type"], _page(headers.get("WARC-Refers-To")), url_key(headers["WARC-Target-URI"]), captured, path.rsplit("/", 1)[-1], offset, length))
+                rows.append((_page(headers["WARC-Record-ID"]), n, digest, headers["WARC-Type"], _page(headers.get("WARC-Refers-To")), url_key(headers["WARC-Target-URI"]), captured, "/".join(path.rsplit("/", 2)[1:]), offset, length))
             rows.sort(key=capture_order)
             out = pd.DataFrame(rows, columns=columns)
             for c in ("page_id", "refers_to"):
@@ -238,13 +264,23 @@ def _merge(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame_of(page)
 
 
-def capture_index(spark: SparkSession, path: str) -> DataFrame:
-    """The captures of all archives in a folder, globally ordered by URL key and timestamp."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path).select("path", "content")
-    runs = staged(files.mapInPandas(_runs, INDEX), "warc-runs")
+def _staged_runs(spark: SparkSession, path: str, keep=staged) -> DataFrame:
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    return keep(files.mapInPandas(_runs, INDEX), "warc-runs")
+
+
+def _merged(runs: DataFrame) -> DataFrame:
     ranges = buckets_for(runs.count(), ROWS_PER_RANGE)
     return runs.repartitionByRange(max(ranges, 8), "urlkey", "captured", "page_id", "offset").mapInPandas(_merge, INDEX)
 
 
-def archive_and_index(pages: DataFrame) -> DataFrame:
-    return capture_index(pages.sparkSession, write_archives(pages))
+def capture_index(spark: SparkSession, path: str) -> DataFrame:
+    """The captures of all archives in a folder and below, globally ordered by URL key and timestamp."""
+    return _merged(_staged_runs(spark, path))
+
+
+def archive_and_index(pages: DataFrame, path: str | None = None) -> DataFrame:
+    """The index of archives of ``pages``; the archives stay where a path is given."""
+    with scratch(pages.sparkSession) as keep:
+        runs = _staged_runs(pages.sparkSession, write_archives(pages, path), keep)
+    return _merged(runs)

@@ -46,6 +46,44 @@ def test_index_points_into_the_archives(spark):
         assert offset == 0 and length == r["length"] and headers["WARC-Record-ID"] == f"<urn:page:{r['page_id']}>"
 
 
+def test_dates_are_of_no_zone(spark):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("Asia/Tokyo", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            got = warc.archive_and_index(pages(spark, [(0, "http://a", "x", ""), (6_000_000, "http://b", "x", "")])).collect()
+            assert [r["captured"] for r in got] == ["20240101000000", "20240310104000"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_null_ids_and_common_payloads_beyond_the_broadcast_bound(spark, monkeypatch):
+    """Without broadcast a payload that most pages have is dealt over the tasks, and so are the short ones."""
+    monkeypatch.setattr(warc, "BROADCAST_DIGESTS", -1)
+    common = "<p>" + "c" * 300
+    rows = [(i, f"http://h{i % 7}/{i}", common if i % 10 else "", "e") for i in range(6000)] + [(i, "http://z", f"{i // 2}" * 100, "e") for i in range(6000, 6100)]
+    got = warc.plan_records(pages(spark, [*rows, (None, "http://n", common, "e"), (None, None, None, None)]))
+    found = {r["page_id"]: r["first_id"] for r in got.where("page_id is not null").collect()}
+    assert found[1] is None and found[2] == 1 and found[0] is None and found[6001] == 6000
+    assert {r["n"]: r["first_id"] for r in got.where("page_id is null").collect()} == {303: 1, 0: None}
+    sizes = [len(x) for x in got.select("page_id").rdd.glom().collect()]
+    assert max(sizes) < 3500  # not all 5400 rows of one digest
+    only = warc.archive_and_index(pages(spark, [(None, "http://n", common, "e")] * 2)).collect()
+    assert [(r["page_id"], r["record_type"], r["refers_to"]) for r in only] == [(None, "response", None)] * 2
+
+
+def test_long_pages_get_archives_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(warc, "CLASSES", (100, 1000, 5000))
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 20_000)
+    import glob
+
+    rows = [(i, f"http://a/{i}", f"{i}" + "y" * n, "e") for i, n in enumerate([10, 500, 4000, 70_000, 20, 900, 0, 4900])]
+    path = warc.write_archives(pages(spark, rows))
+    assert len({f.rsplit("/", 2)[1] for f in glob.glob(f"{path}/*/*.txt.gz")}) == 4
+    got = warc.capture_index(spark, path).collect()
+    assert sorted(repr((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"])) for r in got) == expected(rows)
+
+
 def test_empty_table(spark):
     assert warc.archive_and_index(pages(spark, [])).count() == 0
 
