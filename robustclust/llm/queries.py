@@ -37,7 +37,7 @@ def op5_toxicity_cnn(spark, sf_dir):
 
 def op6_mix_pivotal(spark, sf_dir):
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
-    return mixed.selectExpr("doc_id", "size", "source_size", "target", "copies * size AS taken", "explode(array_repeat(copies, CAST(n AS INT))) AS copies")
+    return mixed.selectExpr("doc_id", "size", "source_size", "target", "copies * size AS taken", "copies")
 
 
 def op7_warc_index(spark, sf_dir):

@@ -39,12 +39,12 @@ def test_words_taken_meet_the_targets(spark, documents, fan_in):
         sizes[r[3]] = sizes.get(r[3], 0) + size(r[1])
     want = targets(sizes)
     taken, most = {}, {}
-    assert sum(r["n"] for r in got) == len(rows)
+    assert len(got) == len(rows)
     for r in got:
         assert r["target"] == pytest.approx(want[r["source"]]) and r["source_size"] == sizes[r["source"]]
         assert 0 <= r["copies"] <= 3
-        taken[r["source"]] = taken.get(r["source"], 0) + r["copies"] * r["size"] * r["n"]
-        most[r["source"]] = max(most.get(r["source"], 0), r["size"] * r["n"])
+        taken[r["source"]] = taken.get(r["source"], 0) + r["copies"] * r["size"]
+        most[r["source"]] = max(most.get(r["source"], 0), r["size"])
     for s in want:
         assert abs(taken[s] - want[s]) <= most[s] + 1e-6, s
 
@@ -55,6 +55,28 @@ def test_reruns_and_partitionings_agree(documents):
     assert first == sorted(mixing.mix(docs.repartition(7), fan_in=16).collect())
 
 
+def test_repeated_rows_are_rounded_one_by_one(spark, documents):
+    rows = [(1, "ten words " * 5, "en", "a")] * 400 + [(2, f"{i} other words", "en", "a") for i in range(50)] + [(i, "w " * 9, "en", "b") for i in range(3, 300)]
+    docs = documents(rows)
+    got = mixing.mix(docs, fan_in=16).collect()
+    assert len(got) == len(rows)
+    for s in "ab":
+        own = [r for r in got if r["source"] == s]
+        assert abs(sum(r["copies"] * r["size"] for r in own) - own[0]["target"]) <= 10
+    out = mixing.apply_mix(docs, fan_in=16).collect()
+    for s in "ab":
+        assert sum(r["copies"] * size(r["text"]) for r in out if r["source"] == s) == sum(r["copies"] * r["size"] for r in got if r["source"] == s)
+    assert sorted((r["doc_id"], r["copies"]) for r in out) == sorted((r["doc_id"], r["copies"]) for r in got if r["copies"])
+
+
+def test_clashing_columns(documents):
+    docs = documents([(i, "some words here " * (i + 1), "en", "ab"[i % 2]) for i in range(40)])
+    names = ["copies", "_id", "_key", "_row", "_copies", "number", "size", "row_key", "target"]
+    wide = docs.selectExpr("*", *(f"doc_id * 2 AS `{c}`" for c in names))
+    out = mixing.apply_mix(wide)
+    assert out.columns == [*wide.columns, "copies_"] and all(r["copies"] == 2 * r["doc_id"] == r["_key"] and r["copies_"] > 0 for r in out.collect())
+
+
 def test_expected_copies_are_kept():
     frac, sizes = [0.3] * 400, [float(i % 9 + 1) for i in range(400)]
     rng = np.random.default_rng(0)
