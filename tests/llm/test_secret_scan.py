@@ -1,6 +1,9 @@
 import hashlib
+import random
 import re
 
+import numpy as np
+
 from robustclust.llm import secret_scan
 
 from .conftest import ODD
@@ -56,3 +59,36 @@ def test_redaction(documents):
     assert out[50]["text"] == "é [SECRET]! é" and out[50]["n_chars"] == len("é [SECRET]! é")
     assert out[51]["text"] == "clean" and out[0]["text"] is None and secret_scan.redact(docs).columns == docs.columns
     assert secret_scan.scan(documents([])).count() == 0
+
+
+def matches_of(rule, raw):
+    return [(m.start(), m.end()) for m in re.finditer(rule.pattern.encode(), raw, re.I if rule.any_case else 0) if m.end(rule.group) - m.start(rule.group) >= rule.least]
+
+
+def test_the_index_loses_no_match_of_any_rule():
+    """Random texts with cut, joined and recased samples of every rule: the scan equals a full scan of each text."""
+    rng = random.Random(9)
+    samples = [
+        "password=hunter22", 'API_KEY": "abcdef/123"', "secret:\x20\x20zzzzzz", "AKIA" + "B2" * 9, "0123456789abcdef" * 2, "-----BEGIN RSA PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----",
+        "ghp_" + "aB3" * 13, "gho_" + "x" * 36, "xoxb-" + "1a-" * 5, "eyJ" + "aZ9_" * 3 + "." + "b-" * 5 + "." + "c" * 9, "AIza" + "0_-Zz" * 7,
+        "sk_live_" + "a1B" * 6, "Bearer  abcdefghijklmnopqrst", "https://user:passw0rd@host",
+    ]
+    scanner = secret_scan.Scanner()
+    letters = "abcXYZ019 _-.:=/\"'\n"
+    found = 0
+    for _ in range(60):
+        texts = []
+        for _ in range(12):
+            parts = []
+            for _ in range(rng.randint(0, 5)):
+                s = rng.choice(samples)
+                s = rng.choice((s, s[rng.randint(0, 3) :], s[: rng.randint(1, len(s))], s.upper(), s.swapcase()))
+                parts += ["".join(rng.choices(letters, k=rng.randint(0, 12))), s]
+            texts.append("".join(parts))
+        raw = [t.encode() for t in texts]
+        offsets = np.cumsum([0, *map(len, raw)])
+        for text, spans in zip(raw, scanner.segment(np.frombuffer(b"".join(raw), np.uint8), offsets), strict=True):
+            want = sorted((s, k, e) for k, rule in enumerate(secret_scan.RULES) for s, e in matches_of(rule, text))
+            assert sorted(spans) == want
+            found += len(want)
+    assert found > 500 and {"any"} == {scanner.queries[k][0] for k, r in enumerate(secret_scan.RULES) if r.kind == "hex"}
