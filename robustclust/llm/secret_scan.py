@@ -5,7 +5,9 @@ segments: postings (bitmaps over the segment's documents) are built for the trig
 query intersects and unites them, and only the candidates are verified with the regex. A rule without mandatory
 trigrams scans every document. Segments are independent and bounded in bytes, so nothing is shuffled.
 
-Defined results: a null or empty text has no spans; identical rows get identical results; extra columns are ignored.
+Defined results: a null or empty text has no spans; identical rows get identical results; spans that begin together are
+listed in the order of the rules; a text of any length is scanned whole; an empty table gives no rows; extra columns are
+ignored, and ``redact`` returns them unchanged whatever their names.
 """
 
 from __future__ import annotations

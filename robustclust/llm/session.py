@@ -50,6 +50,11 @@ def delete(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
 def unstaged(table: DataFrame) -> None:
     """Delete a staged table that nothing will read any more."""
     delete(table.sparkSession, table._staged_in)
@@ -97,11 +102,11 @@ BROADCAST_IDS = 1_000_000
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def light_batches(df: DataFrame) -> DataFrame:
+def light_batches(df: DataFrame, most: int = 8 << 20) -> DataFrame:
     """Sees to it that batches of long texts stay small in the Python workers: 8 MB unless the session has less."""
     spark = df.sparkSession
-    if not 0 < int(re.sub(r"\D", "", spark.conf.get(BATCH)) or 0) <= 8 << 20:
-        spark.conf.set(BATCH, str(8 << 20))
+    if not 0 < int(re.sub(r"\D", "", spark.conf.get(BATCH)) or 0) <= most:
+        spark.conf.set(BATCH, str(most))
     return df
 
 
