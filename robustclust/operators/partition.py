@@ -39,17 +39,19 @@ def arbitrarily(points: DataFrame, m: int, seed: int = 0) -> DataFrame:
 def split_sites(points: DataFrame, most: int = 10_000) -> DataFrame:
     """Splits every site of more than ``most`` rows evenly into ceil(n / most) sites; sites are renumbered from 0.
 
-    Within a site rows are ranked by hash-free id order; the rank's window holds one site at a time.
+    Rows are ranked by site and id over ranges of bounded size, so no task holds an oversized site.
     """
     sizes = points.groupBy("machine_id").agg(F.count("*").alias("_n"))
     parts = sizes.withColumn("_parts", F.ceil(F.col("_n") / most).cast("long"))
-    before = F.coalesce(F.sum("_parts").over(Window.orderBy("machine_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    numbered = parts.withColumn("_first", before)  # one row a site
-    ranked = points.join(F.broadcast(numbered) if numbered.count() <= 100_000 else numbered, "machine_id")
-    rank = F.row_number().over(Window.partitionBy("machine_id").orderBy("id")) - 1
+    earlier = Window.orderBy("machine_id").rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0))
+    numbered = parts.withColumn("_first", before("_parts")).withColumn("_before", before("_n"))  # one row a site
+    ranked = row_numbers(points, "machine_id", ["id"], "_rank")
+    ranked = ranked.join(F.broadcast(numbered) if numbered.count() <= 100_000 else numbered, "machine_id")
+    rank = F.col("_rank") - F.col("_before") - 1
     block = F.greatest(F.floor(F.col("_n") / F.col("_parts")), F.lit(1))
     sub = F.least(F.floor(rank / block), F.col("_parts") - 1)
-    return ranked.withColumn("machine_id", (F.col("_first") + sub).cast("int")).drop("_n", "_parts", "_first")
+    return ranked.withColumn("machine_id", (F.col("_first") + sub).cast("int")).drop("_n", "_parts", "_first", "_before", "_rank")
 
 
 def union_sites(*parts: DataFrame) -> DataFrame:

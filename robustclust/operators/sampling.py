@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from robustclust.functions.ranks import hash_uniform, running_sum
+from robustclust.functions.ranks import hash_uniform, row_numbers, running_sum
 from robustclust.operators import kernels
 
 
@@ -24,11 +24,13 @@ def draws(sites: DataFrame, size: Column, seed: int) -> DataFrame:
 
 
 def with_replacement(points: DataFrame, sizes: DataFrame, seed: int = 0) -> DataFrame:
-    """machine_id, draw, id, features; sizes: machine_id, draws."""
-    ranked = points.withColumn("rank", F.row_number().over(Window.partitionBy("machine_id").orderBy("id")))
+    """machine_id, draw, id, features; sizes: machine_id, draws. Rows are ranked by site and id over ranges of bounded size."""
+    ranked = row_numbers(points, "machine_id", ["id"], "rank").select("rank", "id", "features")
     counts = points.groupBy("machine_id").agg(F.count("*").alias("n"))
-    drawn = draws(sizes, F.col("draws"), seed).join(counts, "machine_id").withColumn("rank", (F.floor(F.col("u") * F.col("n")) + 1).cast("int"))
-    return drawn.join(ranked, ["machine_id", "rank"]).select("machine_id", "draw", "id", "features")
+    before = F.coalesce(F.sum("n").over(Window.orderBy("machine_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.withColumn("before", before)  # one row a site
+    drawn = draws(sizes, F.col("draws"), seed).join(counts, "machine_id").withColumn("rank", F.col("before") + F.floor(F.col("u") * F.col("n")) + 1)
+    return drawn.join(ranked, "rank").select("machine_id", "draw", "id", "features")
 
 
 def multinomial_shares(points: DataFrame, total: int, seed: int = 0) -> DataFrame:

@@ -309,3 +309,14 @@ def test_many_outliers_are_found_by_rank(spark, monkeypatch):
     want = {r["id"] for r in costs.farthest_rows(p, 30).collect()}
     monkeypatch.setattr(costs, "HEAP_ROWS", 10)
     assert {r["id"] for r in costs.farthest_rows(p, 30).collect()} == want and len(want) == 30
+
+
+def test_one_site_with_most_rows_is_split_over_ranges(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "ROWS_PER_RANGE", 40)
+    p = frame(spark, np.arange(600, dtype=float).reshape(300, 2), np.where(np.arange(300) % 10 == 0, np.arange(300) % 3, 7))
+    split = partition.split_sites(p, 25)
+    sizes = [r["count"] for r in split.groupBy("machine_id").count().collect()]
+    assert sum(sizes) == 300 and max(sizes) <= 25 + 11  # the last part of a site takes the remainder
+    drawn = sampling.with_replacement(p, spark.createDataFrame([(7, 50), (1, 5)], "machine_id int, draws int"), 3).collect()
+    site = {r["id"]: r["machine_id"] for r in p.collect()}
+    assert len(drawn) == 55 and all(site[r["id"]] == r["machine_id"] for r in drawn)
