@@ -5,7 +5,9 @@ needs all tokens, so the necessary prefix is the rarest token alone: a document
 window would start; length and positional bounds discard impossible starts; the rest is verified word by word.
 
 Defined results: a null or word-less text has no words and no hits; an item without words has no windows; repeated
-item ids are one item, an item without an id hits but isn't counted; identical rows each get the same result; extra columns are ignored.
+item ids are one item, an item without an id hits but isn't counted; identical rows each get the same result; an empty
+table gives no rows; a text of any length is read whole; extra columns are ignored, and ``drop_contaminated`` returns
+them unchanged whatever their names. Frequent tokens of the shuffled join are split by adaptive skew handling.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from robustclust.llm.session import BROADCAST_IDS, free_name, scratch
+
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: bytes of item text up to which windows (13 words each) are broadcast; a larger benchmark is shuffled
 BROADCAST_ITEM_BYTES = 2 << 20
@@ -53,21 +57,22 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 13, share: int
         .agg(F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "token", "offset")).alias("first"))
         .where(F.col("first.seen") > 0)
     )
-    # the empty token stands after each text's last word and matches the empty window: it carries texts without hits
-    anchors = rarest.select(F.col("first.token").alias("token"), F.col("first.offset").alias("offset"), "window", "window_id").union(
-        docs.sparkSession.range(1).select(F.lit("").alias("token"), F.lit(0).alias("offset"), F.array().cast("array<string>").alias("window"), F.lit("").alias("window_id"))
-    )
-    probes = texts.select("doc_id", "text_md5", "w", F.posexplode(F.concat("w", F.array(F.lit("")))).alias("at", "token"))
+    anchors = rarest.select(F.col("first.token").alias("token"), F.col("first.offset").alias("offset"), "window", "window_id")
     start, length = F.col("at") - F.col("offset"), F.size("window")
     if small is F.broadcast:
         fits = (start >= 0) & (start + length <= F.size("w")) & (F.slice("w", F.greatest(start, F.lit(0)) + 1, length) == F.col("window"))
-        met = probes.join(F.broadcast(anchors), "token").where((length == 0) | fits)
+        # the empty token stands after each text's last word and matches the empty window: it carries texts without hits
+        empty = docs.sparkSession.range(1).select(F.lit("").alias("token"), F.lit(0).alias("offset"), F.array().cast("array<string>").alias("window"), F.lit("").alias("window_id"))
+        probes = texts.select("doc_id", "text_md5", "w", F.posexplode(F.concat("w", F.array(F.lit("")))).alias("at", "token"))
+        met = probes.join(F.broadcast(anchors.union(empty)), "token").where((length == 0) | fits)
         found = met.select("doc_id", "text_md5", F.size("w").alias("n_words"), start.alias("start"), length.alias("length"), "window_id")
-    else:  # only the words around a position travel, not the whole text
+    else:  # only the words around a position travel, not the whole text; texts without hits come by a union, not by a key
+        probes = texts.select("doc_id", "text_md5", "w", F.posexplode("w").alias("at", "token"))
         first = F.greatest(F.col("at") - (size - 1), F.lit(0))
         near = probes.select("doc_id", "text_md5", "token", "at", F.size("w").alias("n_words"), first.alias("first"), F.slice("w", first + 1, 2 * size - 1).alias("near"))
         fits = (start >= 0) & (start + length <= F.col("n_words")) & (F.slice("near", F.greatest(start - F.col("first"), F.lit(0)) + 1, length) == F.col("window"))
-        found = near.join(anchors, "token").where((length == 0) | fits).select("doc_id", "text_md5", "n_words", start.alias("start"), length.alias("length"), "window_id")
+        hits = near.join(anchors, "token").where(fits).select("doc_id", "text_md5", "n_words", start.alias("start"), length.alias("length"), "window_id")
+        found = hits.unionByName(texts.select("doc_id", "text_md5", F.size("w").alias("n_words"), F.lit(0).alias("start"), F.lit(0).alias("length"), F.lit("").alias("window_id")))
     hit = F.col("length") > 0
     per_text = found.groupBy("doc_id", "text_md5").agg(
         F.max("n_words").alias("n_words"),
@@ -106,6 +111,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 13, share: int
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, size: int = 13, share: int = 20) -> DataFrame:
     """The documents that aren't contaminated, with their columns."""
-    judged = decontaminate(docs, items, size, share).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_md5").alias("_md5")).distinct()
-    keyed = docs.withColumn("_key", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    return keyed.join(judged, keyed["doc_id"].eqNullSafe(judged["_id"]) & (keyed["_key"] == judged["_md5"]), "left_anti").drop("_key")
+    id_, md5, key = (free_name(docs.columns, name) for name in ("_id", "_md5", "_key"))
+    with scratch(docs.sparkSession) as keep:
+        judged = decontaminate(docs, items, size, share).where("contaminated").select(F.col("doc_id").alias(id_), F.col("text_md5").alias(md5)).distinct()
+        judged = keep(judged, "contaminated")
+    gone = F.broadcast(judged) if judged.count() <= BROADCAST_IDS else judged
+    keyed = docs.withColumn(key, F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    return keyed.join(gone, keyed["doc_id"].eqNullSafe(judged[id_]) & (keyed[key] == judged[md5]), "left_anti").drop(key)
