@@ -1,10 +1,12 @@
 """N-gram Jaccard join by PartEnum signatures, and the groups that its links form.
 
 Sets of hashed word shingles fall into bands of near-equal size. Linked sets of a band (or of it and the one below)
-differ in at most k elements, so if the element domain is dealt into k + 1 + e partitions, at least 1 + e of them hold
-the same elements in both. Each set therefore emits one signature a partition (the hash of its elements there), in its
-own band and the next; up to e partitions with the fewest elements may be left out, which spares the signatures that
-unrelated sets share. Linked sets share a signature: no link is lost.
+differ in at most k elements. The element domain is dealt into n = k // 2 + 1 + e first-level partitions, so in at least
+1 + e of them the two differ in one element at most; each is dealt again into ``PARTS`` second-level partitions, of which
+all but one hold the same elements in both. A set's signatures are the hashes of its elements in every subset of all but
+one of the second-level partitions of a first-level one, in its own band and the next; subsets of very few elements are
+left out as far as they lie in e first-level partitions, which spares the signatures that unrelated sets share. Linked sets
+share a signature: no link is lost.
 
 Signatures travel in blocks of bytes dealt by hash. Of up to ``FEW`` sets that share one, the pairs are candidates; more
 are searched within their group, of which only a spanning forest leaves. Candidates whose sketches (parities of hashed
@@ -13,12 +15,14 @@ size, and every pair of blocks is verified exactly, by counting common elements.
 Shingles are identified by 64-bit hashes.
 
 Defined results: a null or word-less text has an empty set, links with nothing and is its own component; identical rows
-share a component; a null doc_id is never a component's id unless all its ids are null.
+share a component; a null doc_id is never a component's id unless all its ids are null; of equal ids any row's set may
+name the group, as the id is the same; an empty table gives no rows; extra columns are ignored, and ``keep_one`` returns
+them unchanged whatever their names; a text of any length is one set.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -27,16 +31,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from robustclust.llm.components import connected
-from robustclust.llm.session import buckets_for, light_batches, staged, text_bytes
+from robustclust.llm.components import connected, spread_join
+from robustclust.llm.session import BROADCAST_IDS, buckets_for, exists, free_name, freed, light_batches, new_folder, scratch, staged, text_bytes, unstaged
 from robustclust.llm.textops import LOWER, NOT_SPACE, U64, column_bytes, cumulative, gram_hashes, mix, row_of, text_chunks, word_hashes, words
 
 #: bytes of text for each signature bucket, bytes of sets in a verified block, and its most rows
-TEXT_PER_BUCKET, BLOCK_BYTES, BLOCK_ROWS = 4 << 20, 8 << 20, 1024
-#: documents of a batch (their index takes two bytes) and ids (8 bytes each) that may be broadcast
-BATCH_DOCS, BROADCAST_IDS = 60_000, 1_000_000
-#: sets sharing a signature of which all pairs are candidates; bits of the shortest sketch; rows above which a key is hot
-FEW, LEAST_BITS, HOT_ROWS = 6, 256, 500
+TEXT_PER_BUCKET, BLOCK_BYTES, BLOCK_ROWS = 4 << 20, 4 << 20, 1024
+#: bytes of text that a task works on at once, and that it is handed at once
+PIECE_BYTES, BATCH_BYTES = 256 << 10, 4 << 20
+#: documents of a batch (their index takes two bytes) and signatures held back until they are dealt out in blocks
+BATCH_DOCS, BATCH_SIGNATURES = 60_000, 300_000
+#: sets sharing a signature of which all pairs are candidates; bits of the shortest sketch
+FEW, LEAST_BITS = 6, 256
+#: second-level partitions of a first-level one; rounds in which the buckets of signatures are worked through
+PARTS, ROUNDS = 3, 3
 
 
 def shingle_sets(body: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
@@ -67,11 +75,14 @@ def bands(num: int, den: int, most: int = 1 << 31) -> np.ndarray:
 
 
 def band_plan(band: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(k, e, partitions) of bands: links have a difference of at most k; e partitions may be left out."""
+    """(k, e, first-level partitions) of bands: links have a difference of at most k; e partitions may lack subsets.
+
+    With n partitions fewer than k // 2 + 1 of them can hold two differences or more, so 1 + e hold one at most.
+    """
     top = bands(num, den)[band]
     k = 2 * top * (den - num) // (num + den)
-    e = np.where(k >= 3, k // 4 + 1, 0)
-    return k, e, k + 1 + e
+    e = np.where(k >= 4, k // 8 + 1, 0)
+    return k, e, k // 2 + 1 + e
 
 
 def signatures(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,7 +91,7 @@ def signatures(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray,
     values = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
     own = np.searchsorted(bands(num, den), size)
     sig, who = [], []
-    spread = (mix(values * U64(0xA24BAED4963EE407)) >> U64(32)).astype(np.uint64)
+    spread = mix(values * U64(0xA24BAED4963EE407)) >> U64(32)
     content = mix(values ^ U64(0x9FB21C651E98DF25))
     low, high = (content & U64(0xFFFFFFFF)).astype(float), (content >> U64(32)).astype(float)
     for up in (0, 1):
@@ -94,21 +105,29 @@ def signatures(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray,
             continue
         owner = np.repeat(np.arange(len(sets)), size)
         keep = use[owner]
-        part = (spread * parts[owner].astype(np.uint64) >> U64(32)).astype(np.int64)
-        key = (base[:-1][owner] + part)[keep]
-        count = np.bincount(key, minlength=total)
-        content_sum = np.bincount(key, low[keep], total).astype(np.uint64) + (np.bincount(key, high[keep], total).astype(np.uint64) << U64(32))
+        # both levels at once: the first-level partition and, of its second-level ones, which
+        place = (spread * (parts[owner] * PARTS).astype(np.uint64) >> U64(32)).astype(np.int64)
+        key = (base[:-1][owner] * PARTS + place)[keep]
+        count = np.bincount(key, minlength=total * PARTS).reshape(total, PARTS)
+        content_sum = np.bincount(key, low[keep], total * PARTS).astype(np.uint64) + (np.bincount(key, high[keep], total * PARTS).astype(np.uint64) << U64(32))
+        content_sum = content_sum.reshape(total, PARTS)
         holder = row_of(base)
-        place = np.arange(total) - base[:-1][holder]
-        # the highest bar under which at most e partitions fall
-        bar = np.zeros(len(sets), np.int64)
-        for t in (1, 2, 3, 4):
-            below = np.bincount(holder[count < t], minlength=len(sets))
+        # every subset that leaves one second-level partition out
+        inside = count.sum(axis=1, keepdims=True) - count
+        subset = content_sum.sum(axis=1, keepdims=True, dtype=np.uint64) - content_sum
+        # the highest bar under which the poorest subsets of at most e partitions fall; subsets below it are left out. Of
+        # two linked sets that with the higher bar has a partition that counts with all subsets at or above it, and the
+        # subset that the two have alike there has as many elements in the other, so both keep it
+        poorest, bar = inside.min(axis=1), np.zeros(len(sets), np.int64)
+        for t in range(1, 7):
+            below = np.bincount(holder[poorest < t], minlength=len(sets))
             bar[below <= e] = t
-        chosen = count >= bar[holder]
-        salt = mix((band[holder].astype(np.uint64) << U64(32)) + place.astype(np.uint64))
-        sig.append(mix(content_sum + salt + count.astype(np.uint64) * U64(0x632BE59BD9B4E019))[chosen])
-        who.append(holder[chosen])
+        chosen = inside >= bar[holder][:, None]
+        number = ((np.arange(total) - base[:-1][holder])[:, None] * PARTS + np.arange(PARTS)).astype(np.uint64)
+        salt = mix((band[holder].astype(np.uint64) << U64(32))[:, None] + number)
+        made = mix(subset + salt + inside.astype(np.uint64) * U64(0x632BE59BD9B4E019))
+        sig.append(made[chosen])
+        who.append(np.broadcast_to(holder[:, None], chosen.shape)[chosen])
     return (np.concatenate(sig), np.concatenate(who)) if sig else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
@@ -144,20 +163,60 @@ def most_difference(a, b, num: int, den: int):
     return (a + b) * (den - num) // (num + den)
 
 
-ROWS = "batch long, idx int, doc_id {kind}, n_shingles long, set_id long, bucket int, block binary"
+ROWS = "batch long, idx int, doc_id {kind}, n_shingles long, set_id long, bucket long, block binary"
+NAMES = ["batch", "idx", "doc_id", "n_shingles", "set_id", "bucket", "block"]
+
+
+def packed_blocks(sig: np.ndarray, who: np.ndarray, buckets: int) -> tuple[np.ndarray, list[bytes]]:
+    """(buckets, their blocks): the low halves of signatures, then the steps from one document to the next by bytes."""
+    bucket = ((sig >> U64(32)) * U64(buckets) >> U64(32)).astype(np.uint32)
+    order = np.lexsort((who, bucket))
+    low, who, bucket = sig[order].astype(np.uint32), who[order].astype(np.int64), bucket[order]
+    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])[: len(bucket)])
+    ends = [*first[1:].tolist(), len(sig)][: len(first)]
+    step = np.diff(who, prepend=0)
+    step[first] = who[first]
+    step = step.astype("<u2").view(np.uint8).reshape(-1, 2)
+    return bucket[first], [low[a:b].tobytes() + step[a:b].T.tobytes() for a, b in zip(first.tolist(), ends, strict=True)]
+
+
+def unpacked_block(block: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(low halves of signatures, documents) of a block."""
+    n = len(block) // 6
+    step = np.ascontiguousarray(np.frombuffer(block, np.uint8, offset=4 * n).reshape(2, n).T).view("<u2").ravel()
+    return np.frombuffer(block, np.uint32, n), np.cumsum(step, dtype=np.int64)
 
 
 def _sketch(k: int, num: int, den: int, buckets: int):
     """Rows of two kinds: a document (bucket null, its sketch as block) and, for each batch and bucket, packed signatures."""
 
     def run(batches):
-        batch_no = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 24
+        no = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 24
+        used, held, waiting, seen = 0, [], 0, set()
+
+        def dealt():
+            sig, who = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            at, blocks = packed_blocks(sig, who, buckets)
+            m = len(at)
+            zero = np.zeros(m, np.int64)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.full(m, no)), pa.array(zero.astype(np.int32)), pa.nulls(m, kind), pa.array(zero), pa.array(zero), pa.array(at, pa.int64()), pa.array(blocks, pa.binary())], names=NAMES
+            )
+
         for batch in batches:
+            kind = batch.column(0).type
             for start in range(0, batch.num_rows, BATCH_DOCS):
                 piece = batch.slice(start, BATCH_DOCS)
+                n = piece.num_rows
+                if used + n > BATCH_DOCS:
+                    if held:
+                        yield dealt()
+                    no, used, waiting = no + 1, 0, 0
+                    seen.clear()
                 body, offsets = column_bytes(piece.column(1))
-                sizes, ids, sketches, sig, who, seen = [], [], [], [], [], set()
-                for first, _, part, off in text_chunks(body, offsets):
+                sizes, ids, sketches = [], [], []
+                for first, _, part, off in text_chunks(body, offsets, PIECE_BYTES):
                     sets = shingle_sets(part, off, k)
                     sizes += [len(s) for s in sets]
                     sketches += [parity_sketch(s) for s in sets]
@@ -165,44 +224,35 @@ def _sketch(k: int, num: int, den: int, buckets: int):
                     ids += own
                     fresh = [i for i, x in enumerate(own) if not (x in seen or seen.add(x))]
                     s, w = signatures([sets[i] for i in fresh], num, den)
-                    sig.append(s)
-                    who.append(np.array(fresh, np.int64)[w] + first if len(fresh) else w)
-                n = piece.num_rows
-                null = lambda kind, m: pa.nulls(m, kind)
-                sig, who = np.concatenate([np.zeros(0, np.uint64), *sig]), np.concatenate([np.zeros(0, np.int64), *who])
-                bucket = ((sig >> U64(40)) * U64(buckets) >> U64(24)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                packed = np.empty((len(sig), 7), np.uint8)
-                packed[:, :5] = sig[order].view(np.uint8).reshape(-1, 8)[:, :5]
-                packed[:, 5:] = who[order].astype(np.uint16).view(np.uint8).reshape(-1, 2)
-                cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                full = np.flatnonzero(np.diff(cut))
-                blocks = [packed[cut[b] : cut[b + 1]].tobytes() for b in full]
-                m = len(blocks)
+                    held.append((s, (np.array([*fresh, 0], np.int64)[w] + first + used).astype(np.uint16)))
+                    waiting += len(s)
+                    if waiting > BATCH_SIGNATURES:
+                        yield dealt()
+                        waiting = 0
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.full(n + m, batch_no)),
-                        pa.array(np.concatenate([np.arange(n), np.zeros(m)]).astype(np.int32)),
-                        pa.chunked_array([piece.column(0), null(piece.column(0).type, m)]).combine_chunks(),
-                        pa.array(np.concatenate([np.array(sizes, np.int64), np.zeros(m, np.int64)])),
-                        pa.array(np.concatenate([np.array(ids, np.int64), np.zeros(m, np.int64)])),
-                        pa.chunked_array([null(pa.int32(), n), pa.array(full.astype(np.int32))]).combine_chunks(),
-                        pa.array([*sketches, *blocks], pa.binary()),
+                        pa.array(np.full(n, no)),
+                        pa.array((np.arange(n) + used).astype(np.int32)),
+                        piece.column(0),
+                        pa.array(np.array(sizes, np.int64)),
+                        pa.array(np.array(ids, np.int64)),
+                        pa.nulls(n, pa.int64()),
+                        pa.array(sketches, pa.binary()),
                     ],
-                    names=["batch", "idx", "doc_id", "n_shingles", "set_id", "bucket", "block"],
+                    names=NAMES,
                 )
-                batch_no += 1
+                used += n
+        if held:
+            yield dealt()
 
     return run
 
 
 def _shared_signatures(group: pd.DataFrame) -> pd.DataFrame:
     """Within a bucket: the pairs of nodes that share a signature (a, b), or for groups of many sig and node (a)."""
-    blocks = [np.frombuffer(b, np.uint8).reshape(-1, 7) for b in group["block"]]
-    node = np.concatenate([(np.int64(b) << 16) + x[:, 5:].copy().view(np.uint16).ravel().astype(np.int64) for b, x in zip(group["batch"], blocks, strict=True)])
-    raw = np.zeros((len(node), 8), np.uint8)
-    raw[:, :5] = np.concatenate([x[:, :5] for x in blocks])
-    sig = raw.view(np.uint64).ravel()
+    blocks = [unpacked_block(b) for b in group["block"]]
+    node = np.concatenate([(np.int64(b) << 16) + who for b, (_, who) in zip(group["batch"], blocks, strict=True)])
+    sig = np.concatenate([low for low, _ in blocks])
     order = np.lexsort((node, sig))
     sig, node = sig[order], node[order]
     head = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
@@ -213,7 +263,7 @@ def _shared_signatures(group: pd.DataFrame) -> pd.DataFrame:
         pairs += [np.column_stack([node[at + i], node[at + j]]) for i in range(m) for j in range(i + 1, m)]
     pairs = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *pairs]), axis=0)
     many = np.repeat(size > FEW, size)
-    label = (sig[many] | (np.uint64(int(group["bucket"].iloc[0])) << U64(40))).view(np.int64)
+    label = sig[many].astype(np.int64) | np.int64(int(group["bucket"].iloc[0]) << 32)
     none = np.full(len(pairs), -1, np.int64)
     return pd.DataFrame({"sig": np.concatenate([none, label]), "a": np.concatenate([pairs[:, 0], node[many]]), "b": np.concatenate([pairs[:, 1], np.full(int(many.sum()), -1, np.int64)])})
 
@@ -312,7 +362,7 @@ def _sets(k: int):
     def run(batches):
         for batch in batches:
             body, offsets = column_bytes(batch.column(1))
-            sets = [s for _, _, part, off in text_chunks(body, offsets) for s in shingle_sets(part, off, k)]
+            sets = [s for _, _, part, off in text_chunks(body, offsets, PIECE_BYTES) for s in shingle_sets(part, off, k)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["wanted", "set_id", "block"]
             )
@@ -326,35 +376,46 @@ def _block_pairs(rows: DataFrame) -> DataFrame:
     return rows.withColumn("other", other).withColumn("i", F.least("block_no", "other")).withColumn("j", F.greatest("block_no", "other"))
 
 
-def _spread_join(left: DataFrame, right: DataFrame, key: str, rows: str, value: str, total: int, salt: str) -> DataFrame:
-    """A left join on a unique key: keys of many rows (no more than 2000 can be hot) are broadcast, the rest is shuffled."""
-    hot = F.col(rows) > max(HOT_ROWS, total // 2000)
-    some = F.broadcast(right.where(hot).select(F.col(key).alias("_hot"), F.col(value).alias("_hot_value")))
-    rest = right.where(~hot).select(F.col(key).alias("_key"), F.col(value).alias("_value"))
-    known = left.join(some, left[key] == F.col("_hot"), "left")
-    # rows that have their value already scatter instead of meeting at their key
-    known = known.withColumn("_at", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(F.xxhash64(salt, key)))
-    out = known.join(rest, F.col("_at") == F.col("_key"), "left")
-    return out.withColumn(value, F.coalesce("_hot_value", "_value")).drop("_hot", "_hot_value", "_key", "_value", "_at")
-
-
 def jaccard_groups(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, set_id, component_id for every document; linked: intersection/union >= num/den."""
-    kind = dict(docs.dtypes)["doc_id"]
-    docs = light_batches(docs)
-    size = text_bytes(docs)
-    buckets = min(1 << 22, buckets_for(size, TEXT_PER_BUCKET, 64))
-    rows = staged(docs.select("doc_id", "text").mapInArrow(_sketch(k, num, den, buckets), ROWS.format(kind=kind)), "jaccard-rows")
-    texts = rows.where("bucket is null").select("batch", "idx", "doc_id", "n_shingles", "set_id")
-    filled = rows.where("bucket is null and n_shingles > 0")
+    with scratch(docs.sparkSession) as keep:
+        return keep(_groups(light_batches(docs.select("doc_id", "text"), BATCH_BYTES), k, num, den), "jaccard-groups")
+
+
+def _staged_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of documents and those of signatures, staged apart, as the latter go early."""
+    spark, path = rows.sparkSession, new_folder(rows.sparkSession, "jaccard-rows")
+    rows.withColumn("kind", F.when(F.col("bucket").isNull(), 0).otherwise(1)).write.partitionBy("kind").parquet(path)
+    out = []
+    for kind in (0, 1):
+        folder = f"{path}/kind={kind}"
+        there = exists(spark, folder)
+        out.append(spark.read.schema(rows.schema).parquet(folder) if there else spark.createDataFrame([], rows.schema))
+        out[-1]._staged_in = folder
+    return out[0], out[1]
+
+
+def _candidates(rows: DataFrame, blocks: DataFrame, buckets: int, num: int, den: int) -> DataFrame:
+    """node, root: components of the sets that share a signature and whose sketches are close."""
+    spark = rows.sparkSession
+    filled = rows.where("n_shingles > 0")
     nodes = filled.select((F.shiftleft("batch", 16) + F.col("idx")).alias("node"), "set_id")
     sketches = filled.groupBy("set_id").agg(F.first("n_shingles").alias("n"), F.first("block").alias("sketch"))
-    met = rows.where("bucket is not null").select("bucket", "batch", "block").groupBy("bucket").applyInPandas(_shared_signatures, "sig long, a long, b long")
-    met = staged(met, "jaccard-met")
+    rounds = []
+    for r in range(ROUNDS):  # the exchange holds the signatures of a round only
+        own = blocks.where((F.col("bucket") >= r * buckets // ROUNDS) & (F.col("bucket") < (r + 1) * buckets // ROUNDS))
+        shared = own.select("bucket", "batch", "block").groupBy("bucket").applyInPandas(_shared_signatures, "sig long, a long, b long")
+        rounds.append(staged(shared, "jaccard-met"))
+        del own, shared
+        freed(spark)
+    unstaged(blocks)
+    met = reduce(DataFrame.union, rounds)
     named = lambda c: nodes.select(F.col("node").alias(c), F.col("set_id").alias(f"s{c}"))
-    pairs = met.where("sig < 0").join(named("a"), "a").join(named("b"), "b").where("sa <> sb").select(F.least("sa", "sb").alias("a"), F.greatest("sa", "sb").alias("b")).distinct()
+    # a pair shares many signatures: it counts once, before its sets are looked up
+    few = met.where("sig < 0").select("a", "b").distinct()
+    pairs = few.join(named("a"), "a").join(named("b"), "b").where("sa <> sb").select(F.least("sa", "sb").alias("a"), F.greatest("sa", "sb").alias("b")).distinct()
     pairs = pairs.join(sketches.select(F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("x")), "a").join(sketches.select(F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("y")), "b")
-    close = pairs.select("a", "b", "na", "nb", "x", "y").mapInPandas(_close_pairs(num, den), "a long, b long")
+    close = staged(pairs.select("a", "b", "na", "nb", "x", "y").mapInPandas(_close_pairs(num, den), "a long, b long"), "jaccard-close")
     many = met.where("sig >= 0").join(named("a"), "a").select("sig", F.col("sa").alias("set_id")).distinct()
     sized = many.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"), F.count("*").alias("sets"))
     split = many.join(sized.where("sets > 1"), "sig").select("sig", "set_id", "blocks")
@@ -362,33 +423,49 @@ def jaccard_groups(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -
     lists = split.where("blocks = 1").groupBy("sig").agg(F.array_sort(F.collect_set("set_id")).alias("sets")).select("sets").distinct()
     bounded = lists.select(F.xxhash64("sets").alias("sig"), F.explode("sets").alias("set_id"), F.lit(1).alias("blocks"))
     dealt = bounded.union(split.where("blocks > 1")).join(sketches, "set_id").withColumn("block_no", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
-    spare = max(64, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    spare = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     packed = _block_pairs(dealt).withColumn("pack", F.pmod(F.xxhash64("sig", "i", "j"), F.lit(spare)))
     grouped = packed.select("pack", "sig", "i", "j", "set_id", "n", "sketch").groupBy("pack").applyInPandas(_forest(num, den), "a long, b long")
-    candidates = connected(close.union(grouped))
+    grouped = staged(grouped, "jaccard-grouped")
+    for table in rounds:
+        unstaged(table)
+    freed(spark)
+    return connected(close.union(grouped))
+
+
+def _groups(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    spark, kind = docs.sparkSession, dict(docs.dtypes)["doc_id"]
+    buckets = buckets_for(text_bytes(docs), TEXT_PER_BUCKET, 64)
+    rows, blocks = _staged_rows(docs.mapInArrow(_sketch(k, num, den, buckets), ROWS.format(kind=kind)))
+    candidates = _candidates(rows, blocks, buckets, num, den)
 
     # one document for each candidate set, and the block that its set goes to
+    texts = staged(rows.select("batch", "idx", "doc_id", "n_shingles", "set_id"), "jaccard-texts")
     whole = texts.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
     members = staged(candidates.select(F.col("node").alias("set_id"), F.col("root").alias("comp")).join(whole, "set_id"), "jaccard-members")
+    unstaged(rows)
     spans = members.groupBy("comp").agg(F.greatest(F.ceil(F.sum("n") * 8 / BLOCK_BYTES), F.ceil(F.count("*") / BLOCK_ROWS)).cast("int").alias("blocks"))
     dealt = members.join(spans, "comp").withColumn("block_no", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
     dealt = dealt.select(F.col("doc_id").alias("wanted"), F.col("set_id").alias("wanted_set"), "comp", "blocks", "block_no", "n")
     few = members.count() <= BROADCAST_IDS
     wanted = dealt.select("wanted").distinct()
-    picked = docs.select("doc_id", "text").join(F.broadcast(wanted) if few else wanted, docs["doc_id"].eqNullSafe(wanted["wanted"])).select("wanted", "text")
+    picked = docs.join(F.broadcast(wanted) if few else wanted, docs["doc_id"].eqNullSafe(wanted["wanted"])).select("wanted", "text")
     sets = picked.mapInArrow(_sets(k), f"wanted {kind}, set_id long, block binary")
     held = sets.join(dealt, (sets["set_id"] == dealt["wanted_set"]) & sets["wanted"].eqNullSafe(dealt["wanted"])).select("comp", "blocks", "block_no", "set_id", "n", "block")
     spread = _block_pairs(held)
     packs = buckets_for((members.agg(F.sum("n")).first()[0] or 0) * 8, BLOCK_BYTES // 8, 24)
     packed = spread.select(F.pmod(F.xxhash64("comp", "i", "j"), F.lit(packs)).alias("pack"), "comp", "i", "j", "set_id", "block")
-    links = connected(packed.groupBy("pack").applyInPandas(_verify(num, den), "a long, b long"))
+    # written before its components are sought, so that no task runs two Python workers at once
+    verified = staged(packed.groupBy("pack").applyInPandas(_verify(num, den), "a long, b long"), "jaccard-verified")
+    freed(spark)
+    links = connected(verified)
 
     total = texts.count()
     sets = texts.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
     rooted = staged(sets.join(links.select(F.col("node").alias("set_id"), "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id")), "jaccard-roots")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("sets"))
-    by_set = _spread_join(rooted, least, "root", "sets", "component_id", total, "set_id").select("set_id", "rows", "component_id")
-    out = _spread_join(texts.where("n_shingles > 0").withColumn("node", F.shiftleft("batch", 16) + F.col("idx")), by_set, "set_id", "rows", "component_id", total, "node")
+    by_set = spread_join(rooted, least, "root", "sets", "component_id", total, "set_id").select("set_id", "rows", "component_id")
+    out = spread_join(texts.where("n_shingles > 0").withColumn("node", F.shiftleft("batch", 16) + F.col("idx")), by_set, "set_id", "rows", "component_id", total, "node")
     alone = texts.where("n_shingles = 0").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("set_id"), F.col("doc_id").alias("component_id"))
     return out.select("doc_id", "n_shingles", "set_id", "component_id").union(alone)
 
@@ -399,13 +476,17 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 85, den: int = 100) -> Data
     Rows alike in doc_id and text are one document, of which one row stays. Where ids repeat, a document is known by its
     doc_id and text together; of a group that of the least id (nulls last) and then the least md5 of the text stays.
     """
+    named, row, gone = docs, free_name(docs.columns, "_row"), free_name(docs.columns, "_gone")
     repeats = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    named = docs
     if repeats:
         text = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
-        named = docs.withColumn("_row", F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), text.alias("md5")))
-    key = "_row" if repeats else "doc_id"
-    groups = jaccard_groups(named.select(F.col(key).alias("doc_id"), "text"), k, num, den)
-    spare = groups.where("n_shingles > 0 and not (doc_id <=> component_id)").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = named.join(spare, named[key].eqNullSafe(spare["_gone"]), "left_anti")
-    return kept.drop("_row").dropDuplicates(["doc_id", "text"]) if repeats else kept
+        named = docs.withColumn(row, F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), text.alias("md5")))
+    key = row if repeats else "doc_id"
+    with scratch(docs.sparkSession) as keep:
+        groups = jaccard_groups(named.select(F.col(key).alias("doc_id"), "text"), k, num, den)
+        spare = groups.where("n_shingles > 0 and not (doc_id <=> component_id)").select(F.col("doc_id").alias(gone)).distinct()
+        spare = keep(spare, "jaccard-gone")
+    if spare.count() <= BROADCAST_IDS:
+        spare = F.broadcast(spare)
+    kept = named.join(spare, named[key].eqNullSafe(spare[gone]), "left_anti")
+    return kept.drop(row).dropDuplicates(["doc_id", "text"]) if repeats else kept

@@ -127,3 +127,46 @@ def test_null_and_repeated_ids_take_no_other_text_along(documents):
     kept = [(r["doc_id"], r["text"]) for r in jaccard.keep_one(documents(rows)).collect()]
     assert {(1, near[0]), (None, other[0]), (7, other[1]), (None, None), (None, other[2])} < set(kept)
     assert len(kept) == 7 and sum(t is not None and t[0] == "v" for _, t in kept) == 1 == sum(t is not None and t[0] == "u" for _, t in kept)
+
+
+def test_star_steps_with_a_hot_node(spark, monkeypatch):
+    """Beyond one task's edges: a node of most edges is told to all tasks; the result is that of one task."""
+    monkeypatch.setattr(components, "HOT_ROWS", 20)
+    rng = np.random.default_rng(5)
+    edges = [(0, i) for i in range(1, 400)] + [(int(a), int(b)) for a, b in rng.integers(500, 900, (250, 2))] + [(i, i + 1) for i in range(2000, 2030)]
+    table = spark.createDataFrame(edges, "a long, b long")
+    want = sorted(components.connected(table).collect())
+    assert sorted(components.connected(table, local_edges=0).collect()) == want
+    assert sum(r["root"] == 0 for r in want) == 400
+
+
+def test_blocks_of_signatures():
+    rng = np.random.default_rng(1)
+    sig, who = rng.integers(0, 2**64, 4000, dtype=np.uint64), np.sort(rng.integers(0, 60_000, 4000)).astype(np.uint16)
+    at, blocks = jaccard.packed_blocks(sig, who, 37)
+    got = [(b, low, w) for b, block in zip(at.tolist(), blocks, strict=True) for low, w in zip(*(x.tolist() for x in jaccard.unpacked_block(block)), strict=True)]
+    assert sorted(got) == sorted(((int(s) >> 32) * 37 >> 32, int(s) & 0xFFFFFFFF, w) for s, w in zip(sig.tolist(), who.tolist(), strict=True))
+    assert jaccard.packed_blocks(sig[:0], who[:0], 37)[1] == []
+
+
+def test_every_subset_of_second_level_partitions_is_a_signature():
+    """Two sets that differ in one element share the signatures of the subsets without its partition, in every other partition all."""
+    rng = np.random.default_rng(3)
+    a = np.unique(rng.integers(0, 2**63, 200).astype(np.uint64))
+    b = np.unique(np.concatenate([a[1:], a[:1] + np.uint64(1)]))
+    sig, who = jaccard.signatures([a, b], 85, 100)
+    x, y = set(sig[who == 0].tolist()), set(sig[who == 1].tolist())
+    # two elements, in two bands, are in two of three subsets each; others may fall under another bar
+    most = 2 * 2 * 2 + 2 * jaccard.PARTS
+    assert len(x - y) <= most and len(x) > 3 * most
+
+
+def test_long_texts_and_batches(documents, monkeypatch):
+    """Texts beyond a piece, blocks dealt out within a batch, and copies in several batches."""
+    monkeypatch.setattr(jaccard, "BATCH_SIGNATURES", 500)
+    monkeypatch.setattr(jaccard, "BATCH_DOCS", 7)
+    words = [f"word{i}" for i in range(60_000)]
+    docs = [(1, " ".join(words)), (2, " ".join([*words[:-400], *(f"other{i}" for i in range(400))])), (3, " ".join(words[:30_000]))]
+    docs += [(10 + i, t) for i, t in enumerate(t for _, t in noisy(4, bases=8, copies=4))]
+    got = run(documents, docs)
+    assert got == brute(docs)
