@@ -329,3 +329,14 @@ def test_weighted_samples_over_many_ranges(spark, monkeypatch):
     assert len(want) == 40 and sorted(map(tuple, sampling.by_weight(p, "weight", 40, 3).collect())) == want
     exact = ranks.running_sum(p.select("id", F.lit(1).cast("decimal(5,1)").alias("one")), "id", [], F.col("one"), "s")
     assert [int(r["s"]) for r in exact.orderBy("id").collect()] == list(range(1, 301))
+
+
+def test_cover_of_a_point_set_in_blocks(spark, monkeypatch):
+    x = np.random.default_rng(5).normal(size=(400, 3))
+    p = frame(spark, x)
+    want = kernels.cover(x, np.ones(400), 4, 0.5, 2, 2.1)
+    for block in (20_000, 70):
+        monkeypatch.setattr(joins, "QUERIES_A_BLOCK", block)
+        got = kcenter.cover(p, 4, 0.5, 2, 2.1).orderBy("pick").collect()
+        assert [r["id"] for r in got] == want.picks.tolist() and [r["mass"] for r in got] == want.weights.tolist()
+    assert kcenter.cover(p, 4, 100.0).collect()[0]["mass"] == 400 and kcenter.cover(p, 4, 100.0).count() == 1

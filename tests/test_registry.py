@@ -57,3 +57,14 @@ def test_coreset_estimators_run_at_the_default_accuracy(spark, monkeypatch, name
     fit, seen = estimators.DistributedKZLp.fit, []
     monkeypatch.setattr(estimators.DistributedKZLp, "fit", lambda self, points: seen.append(self.epsilon) or fit(self, points))
     assert registry.queries()[name](spark, FOLDER).count() == 6 and seen == [estimators.DistributedKZLp.epsilon]
+
+
+@pytest.mark.parametrize("n", [3, 10_050])
+def test_a_cover_is_of_the_whole_table(spark, tmp_path, n):
+    """More rows than a site holds, and fewer than there are rounds."""
+    spark.range(n).selectExpr("id AS vec_id", "array(CAST(id * 7919 % 501 AS FLOAT) * 0.3F, CAST(id % 7 AS FLOAT) * 1.1F) AS embedding", "0 AS label").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = registry.queries()["charikar_cover_fixed_r"](spark, str(tmp_path)).orderBy("pick").collect()
+    want = con.execute(registry.oracle_sql()["charikar_cover_fixed_r"] + " ORDER BY pick").fetchall()
+    assert len(want) == 4 and [tuple(r) for r in got] == want
