@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from robustclust.llm.session import staged, unstaged
+from robustclust.llm.session import lean, staged, unstaged
 
 #: edges (16 bytes each) that one task may hold
 LOCAL_EDGES = 500_000
@@ -91,12 +91,12 @@ def _star_steps(pairs: DataFrame, before: tuple, most_rounds: int) -> DataFrame:
 
 def connected(edges: DataFrame, most_rounds: int = 60, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """node, root for every node of ``edges`` (a, b longs); root is the component's smallest node."""
-    pairs = staged(edges.where("a <> b").mapInPandas(_stars, EDGES), "cc")
+    pairs = staged(edges.where("a <> b").mapInPandas(lean(_stars), EDGES), "cc")
     before = _signature(pairs)
     if before[0] > local_edges:
         pairs = _star_steps(pairs, before, most_rounds)
     else:
-        old, pairs = pairs, staged(pairs.coalesce(1).mapInPandas(_stars, EDGES), "cc")
+        old, pairs = pairs, staged(pairs.coalesce(1).mapInPandas(lean(_stars), EDGES), "cc")
         unstaged(old)
     roots = pairs.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)

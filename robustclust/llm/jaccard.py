@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from robustclust.llm.components import connected, spread_join
-from robustclust.llm.session import BROADCAST_IDS, buckets_for, exists, free_name, freed, light_batches, new_folder, scratch, staged, text_bytes, unstaged
+from robustclust.llm.session import BROADCAST_IDS, buckets_for, exists, free_name, freed, lean, light_batches, new_folder, scratch, staged, text_bytes, unstaged
 from robustclust.llm.textops import LOWER, NOT_SPACE, U64, column_bytes, cumulative, gram_hashes, mix, row_of, text_chunks, word_hashes, words
 
 #: bytes of text for each signature bucket, bytes of sets in a verified block, and its most rows
@@ -404,7 +404,7 @@ def _candidates(rows: DataFrame, blocks: DataFrame, buckets: int, num: int, den:
     rounds = []
     for r in range(ROUNDS):  # the exchange holds the signatures of a round only
         own = blocks.where((F.col("bucket") >= r * buckets // ROUNDS) & (F.col("bucket") < (r + 1) * buckets // ROUNDS))
-        shared = own.select("bucket", "batch", "block").groupBy("bucket").applyInPandas(_shared_signatures, "sig long, a long, b long")
+        shared = own.select("bucket", "batch", "block").groupBy("bucket").applyInPandas(lean(_shared_signatures), "sig long, a long, b long")
         rounds.append(staged(shared, "jaccard-met"))
         del own, shared
         freed(spark)
@@ -415,7 +415,7 @@ def _candidates(rows: DataFrame, blocks: DataFrame, buckets: int, num: int, den:
     few = met.where("sig < 0").select("a", "b").distinct()
     pairs = few.join(named("a"), "a").join(named("b"), "b").where("sa <> sb").select(F.least("sa", "sb").alias("a"), F.greatest("sa", "sb").alias("b")).distinct()
     pairs = pairs.join(sketches.select(F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("x")), "a").join(sketches.select(F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("y")), "b")
-    close = staged(pairs.select("a", "b", "na", "nb", "x", "y").mapInPandas(_close_pairs(num, den), "a long, b long"), "jaccard-close")
+    close = staged(pairs.select("a", "b", "na", "nb", "x", "y").mapInPandas(lean(_close_pairs(num, den)), "a long, b long"), "jaccard-close")
     many = met.where("sig >= 0").join(named("a"), "a").select("sig", F.col("sa").alias("set_id")).distinct()
     sized = many.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"), F.count("*").alias("sets"))
     split = many.join(sized.where("sets > 1"), "sig").select("sig", "set_id", "blocks")
@@ -425,7 +425,7 @@ def _candidates(rows: DataFrame, blocks: DataFrame, buckets: int, num: int, den:
     dealt = bounded.union(split.where("blocks > 1")).join(sketches, "set_id").withColumn("block_no", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
     spare = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     packed = _block_pairs(dealt).withColumn("pack", F.pmod(F.xxhash64("sig", "i", "j"), F.lit(spare)))
-    grouped = packed.select("pack", "sig", "i", "j", "set_id", "n", "sketch").groupBy("pack").applyInPandas(_forest(num, den), "a long, b long")
+    grouped = packed.select("pack", "sig", "i", "j", "set_id", "n", "sketch").groupBy("pack").applyInPandas(lean(_forest(num, den)), "a long, b long")
     grouped = staged(grouped, "jaccard-grouped")
     for table in rounds:
         unstaged(table)
@@ -436,7 +436,7 @@ def _candidates(rows: DataFrame, blocks: DataFrame, buckets: int, num: int, den:
 def _groups(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     spark, kind = docs.sparkSession, dict(docs.dtypes)["doc_id"]
     buckets = buckets_for(text_bytes(docs), TEXT_PER_BUCKET, 64)
-    rows, blocks = _staged_rows(docs.mapInArrow(_sketch(k, num, den, buckets), ROWS.format(kind=kind)))
+    rows, blocks = _staged_rows(docs.mapInArrow(lean(_sketch(k, num, den, buckets)), ROWS.format(kind=kind)))
     candidates = _candidates(rows, blocks, buckets, num, den)
 
     # one document for each candidate set, and the block that its set goes to
@@ -450,13 +450,13 @@ def _groups(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     few = members.count() <= BROADCAST_IDS
     wanted = dealt.select("wanted").distinct()
     picked = docs.join(F.broadcast(wanted) if few else wanted, docs["doc_id"].eqNullSafe(wanted["wanted"])).select("wanted", "text")
-    sets = picked.mapInArrow(_sets(k), f"wanted {kind}, set_id long, block binary")
+    sets = picked.mapInArrow(lean(_sets(k)), f"wanted {kind}, set_id long, block binary")
     held = sets.join(dealt, (sets["set_id"] == dealt["wanted_set"]) & sets["wanted"].eqNullSafe(dealt["wanted"])).select("comp", "blocks", "block_no", "set_id", "n", "block")
     spread = _block_pairs(held)
     packs = buckets_for((members.agg(F.sum("n")).first()[0] or 0) * 8, BLOCK_BYTES // 8, 24)
     packed = spread.select(F.pmod(F.xxhash64("comp", "i", "j"), F.lit(packs)).alias("pack"), "comp", "i", "j", "set_id", "block")
     # written before its components are sought, so that no task runs two Python workers at once
-    verified = staged(packed.groupBy("pack").applyInPandas(_verify(num, den), "a long, b long"), "jaccard-verified")
+    verified = staged(packed.groupBy("pack").applyInPandas(lean(_verify(num, den)), "a long, b long"), "jaccard-verified")
     freed(spark)
     links = connected(verified)
 

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from robustclust.llm.session import BROADCAST_IDS, free_name, scratch, staged, unstaged
+from robustclust.llm.session import BROADCAST_IDS, free_name, lean, scratch, staged, unstaged
 
 #: sources up to which their targets are broadcast (one short row each)
 BROADCAST_SOURCES = 100_000
@@ -115,7 +115,7 @@ def _mixed(docs: DataFrame, weights, most: float, fan_in: int, seed: int) -> Dat
     while most_buckets:
         bucket = F.pmod(F.xxhash64(F.lit(seed + 1000 * level), "doc_id", "size", "row_key", "number"), F.greatest("buckets", F.lit(1)))
         dealt = state.withColumn("u", _uniform(seed, level)).withColumn("bucket", bucket)
-        reduced = staged(dealt.groupBy("source", "bucket").applyInPandas(_reduce, schema), f"mix-level{level}")
+        reduced = staged(dealt.groupBy("source", "bucket").applyInPandas(lean(_reduce), schema), f"mix-level{level}")
         if not level:
             unstaged(units)
         open_ = (F.col("frac") > 0) & (F.col("frac") < 1)

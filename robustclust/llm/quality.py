@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from robustclust.llm.learning import Adam, first_rows, share_for, sigmoid, unit_hash
-from robustclust.llm.session import crc_mod, light_batches
+from robustclust.llm.session import crc_mod, lean, light_batches
 from robustclust.llm.textops import LOWER, NOT_SPACE, byte_table, column_bytes, row_of, row_sums, text_chunks, word_hashes, words
 
 THRESHOLD = 0.7
@@ -151,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = 6000, unlabelled: i
     # the trusted ids are bounded by the parameter, so they may be broadcast
     chosen = usable.join(F.broadcast(trusted), "doc_id", "left").withColumn("drawn", drawn).where("trusted or drawn")
     role = F.array_compact(F.array(F.when(F.col("trusted"), True), F.when(F.col("drawn"), False)))
-    features = chosen.select(F.explode(role).alias("trusted"), "text").mapInArrow(_features, "trusted boolean, features binary")
+    features = chosen.select(F.explode(role).alias("trusted"), "text").mapInArrow(lean(_features), "trusted boolean, features binary")
     rows = first_rows(features, 2 * (positives + unlabelled), "features", "trusted").collect()
     pos = np.array([np.frombuffer(r["features"], np.float32) for r in rows if r["trusted"]], float).reshape(-1, FEATURES)
     unl = np.array([np.frombuffer(r["features"], np.float32) for r in rows if not r["trusted"]], float).reshape(-1, FEATURES)
@@ -185,7 +185,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     ready = docs.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "text")
-    return ready.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, score double, predicted int")
+    return ready.mapInArrow(lean(run), f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -200,4 +200,4 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
             s = score_texts(shared.value, *column_bytes(batch.column(batch.schema.get_field_index("text"))))
             yield batch.filter(pa.array(s >= THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

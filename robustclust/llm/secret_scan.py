@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from robustclust.llm.session import light_batches
+from robustclust.llm.session import lean, light_batches
 from robustclust.llm.textops import LOWER, column_bytes, text_chunks
 
 
@@ -201,7 +201,7 @@ def _scan(batches, rules=RULES):
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans (kind:start:end in code points, comma-joined)."""
     kind = dict(docs.dtypes)["doc_id"]
-    return light_batches(docs).select("text", "doc_id").mapInArrow(_scan, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return light_batches(docs).select("text", "doc_id").mapInArrow(lean(_scan), f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def _mask(text: str, spans: list[tuple[int, int]]) -> str:
@@ -235,5 +235,5 @@ def _redact(batches):
 
 def redact(docs: DataFrame) -> DataFrame:
     """The documents with every secret replaced by ``[SECRET]``; ``n_chars`` follows where there is such a column."""
-    out = light_batches(docs).mapInArrow(_redact, docs.schema)
+    out = light_batches(docs).mapInArrow(lean(_redact), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out

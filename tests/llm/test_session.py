@@ -70,3 +70,17 @@ def test_stages_return_columns_of_any_name(spark, documents, stage):
     assert got.columns == wide.columns
     assert all(r[c] == 2 * (9 if r["doc_id"] is None else r["doc_id"]) for r in got.collect() for c in names)
     assert sorted(map(repr, got.select(*docs.columns).collect())) == sorted(map(repr, run(docs).collect()))
+
+
+def test_workers_give_memory_back_after_their_rows(monkeypatch):
+    given = []
+    monkeypatch.setattr(session, "give_back", lambda least=0.0: given.append(least))
+
+    def doubled(batches):
+        for b in batches:
+            yield 2 * b
+
+    assert list(session.lean(doubled)([1, 2])) == [2, 4] and given == [0.0]
+    assert session.lean(lambda group: group + 1)(4) == 5 and len(given) == 2
+    monkeypatch.undo()
+    session.give_back()
